@@ -1,7 +1,7 @@
 """Logistic regression with statistics, stepwise selection and iterative cleaning.
 
 Fits use Spark's binomial GLM. Binned features are first grouped into distinct
-design rows with frequency weights: the likelihood, and so every coefficient and
+design rows (bad share and total weight): the likelihood, and so every coefficient and
 standard error, is unchanged while the fit runs on a table of at most
 bins^features rows.
 """
@@ -46,7 +46,11 @@ def imbalance(df: DataFrame, target: str, strategy: str = "auto") -> DataFrame:
 
 
 def design_table(df: DataFrame, features: Sequence[str], target: str, weight: Column | None = None, group: bool | None = None) -> DataFrame:
-    """(features..., y, w, n): complete rows, grouped when there are few distinct feature vectors."""
+    """(features..., y, w, n): complete rows, or one row per distinct feature vector.
+
+    A grouped row carries the weighted bad share as ``y`` and the weight as ``w``,
+    which is the binomial model's own form and has the same likelihood.
+    """
     w = F.lit(1.0) if weight is None else weight
     rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col(target).cast("double").alias("y"), w.cast("double").alias("w")).dropna()
     if group is None:
@@ -54,7 +58,8 @@ def design_table(df: DataFrame, features: Sequence[str], target: str, weight: Co
         group = est <= DESIGN_ROWS
     if not group:
         return rows.withColumn("n", F.lit(1))
-    return rows.groupBy(*features, "y").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    cells = rows.groupBy(*features).agg(F.sum(F.col("w") * F.col("y")).alias("b"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    return cells.where("w > 0").select(*features, F.least(F.col("b") / F.col("w"), F.lit(1.0)).alias("y"), "w", "n")
 
 
 @dataclass
@@ -235,7 +240,10 @@ def coefficient_signs(df: DataFrame, features: Sequence[str], target: str, mode:
         return list(features), df.sparkSession.createDataFrame([], schema)
     from pyspark.ml.classification import LogisticRegression
 
-    design = design_table(df, features, target)
+    cells = design_table(df, features, target)
+    design = cells.select(*features, F.inline(F.array(
+        F.struct(F.lit(1.0).alias("y"), (F.col("w") * F.col("y")).alias("w")), F.struct(F.lit(0.0).alias("y"), (F.col("w") * (1 - F.col("y"))).alias("w"))
+    ))).where("w > 0")
     n = design.agg(F.sum("w").alias("n")).first()["n"]
     vec = VectorAssembler(inputCols=list(features), outputCol="x").transform(design)
     model = LogisticRegression(

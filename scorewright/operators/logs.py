@@ -51,7 +51,7 @@ def model_stats(logs: DataFrame) -> DataFrame:
 
 
 def token_cost(model: Column, prompt_tokens: Column, completion_tokens: Column) -> Column:
-    """Estimated cost of one call: the price list is short, so it is one CASE in the row expression."""
+    """Estimated cost of one call at full precision: the short price list is one CASE per row."""
     low = F.lower(model)
 
     def cost(i: float, o: float) -> Column:
@@ -60,7 +60,7 @@ def token_cost(model: Column, prompt_tokens: Column, completion_tokens: Column)
     out = None
     for key, i, o in TOKEN_PRICES:
         out = F.when(low.contains(key), cost(i, o)) if out is None else out.when(low.contains(key), cost(i, o))
-    return F.round(out.otherwise(cost(*DEFAULT_PRICE)), 6)
+    return out.otherwise(cost(*DEFAULT_PRICE))
 
 
 def cost_summary(logs: DataFrame) -> DataFrame:

@@ -38,12 +38,25 @@ def _refined(lo: float, hi: float, parts: int) -> list[float]:
 
 
 def order_statistics(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], resolution: int = 2000
+    df: DataFrame, ranks: Mapping[str, Sequence[int]], resolution: int = 2000, buffer_rows: int = BUFFER_ROWS
 ) -> dict[str, dict[int, float]]:
     """0-based rank -> value for each column, exact."""
     wanted = {c: sorted(set(r)) for c, r in ranks.items() if len(r)}
     found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    if not wanted:
+        return found
     spans = column_ranges(df, list(wanted))
+    asked = [(c, r) for c, rs in wanted.items() for r in rs if 0 <= r < spans[c][0]]
+    if asked and len(asked) <= 8 and max(spans[c][0] for c in wanted) <= buffer_rows:
+        # the middle of a rank's share picks exactly that element
+        exprs = [
+            F.expr(f"percentile_disc({(r + 0.5) / spans[c][0]!r}D) WITHIN GROUP (ORDER BY __v{i})").alias(f"r{i}")
+            for i, (c, r) in enumerate(asked)
+        ]
+        row = df.select(*[clean_double(c).alias(f"__v{i}") for i, (c, _) in enumerate(asked)]).agg(*exprs).first()
+        for i, (c, r) in enumerate(asked):
+            found[c][r] = row[f"r{i}"]
+        return found
     cuts: dict[str, list[float]] = {}
     for c in wanted:
         n, lo, hi = spans[c]

@@ -143,26 +143,26 @@ def weighted_iv(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "bin_statistics",
     f"""WITH {LOANS}, {sql_long(['l_extendedprice'])}, {sql_quantile_bins(5)}, ends AS (SELECT min(v) AS a, max(v) AS b, count(*) AS t FROM long)
-    SELECT feature, bin, round(CASE WHEN bin = 0 THEN a ELSE c[bin] END, 6) AS lo, round(CASE WHEN bin = len(c) THEN b ELSE c[bin + 1] END, 6) AS hi,
-    count(*) AS n, round(count(*) * 100 / t, 6) AS pct, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(median(v), 6) AS median,
-    round(stddev_samp(v), 6) AS std FROM binned, ends GROUP BY feature, bin, c, a, b, t""",
+    SELECT feature, bin, round(CASE WHEN bin = 0 THEN a ELSE c[bin] END, 8) AS lo, round(CASE WHEN bin = len(c) THEN b ELSE c[bin + 1] END, 8) AS hi,
+    count(*) AS n, round(count(*) * 100 / t, 8) AS pct, min(v) AS min, max(v) AS max, round(avg(v), 8) AS mean, round(median(v), 8) AS median,
+    round(stddev_samp(v), 8) AS std FROM binned, ends GROUP BY feature, bin, c, a, b, t""",
 )
 def bin_statistics(spark: SparkSession, sf: str) -> DataFrame:
     df = loans(spark, sf)
     edges = binning.quantile_edges(df, ["l_extendedprice"], 5)["l_extendedprice"]
-    return rounded(binning.bin_statistics(df, "l_extendedprice", edges))
+    return rounded(binning.bin_statistics(df, "l_extendedprice", edges), default=8)
 
 
 @query(
     "custom_bins",
     f"""WITH {LOANS}, b AS (SELECT l_quantity AS v, CASE WHEN l_quantity <= 10 THEN 0 WHEN l_quantity <= 30 THEN 1 ELSE 2 END AS bin
-      FROM loans WHERE l_quantity BETWEEN 5 AND 45), t AS (SELECT count(*) AS t FROM b)
+      FROM loans WHERE l_quantity BETWEEN 5 AND 45), t AS (SELECT count(l_quantity) AS t FROM loans)
     SELECT 'l_quantity' AS feature, bin, ([5.0, 10.0, 30.0]::DOUBLE[])[bin + 1] AS lo, ([10.0, 30.0, 45.0]::DOUBLE[])[bin + 1] AS hi, count(*) AS n,
-    round(count(*) * 100 / t, 6) AS pct, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(median(v), 6) AS median,
-    round(stddev_samp(v), 6) AS std FROM b, t GROUP BY bin, t""",
+    round(count(*) * 100 / t, 8) AS pct, min(v) AS min, max(v) AS max, round(avg(v), 8) AS mean, round(median(v), 8) AS median,
+    round(stddev_samp(v), 8) AS std FROM b, t GROUP BY bin, t""",
 )
 def custom_bins(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(binning.bin_statistics(loans(spark, sf), "l_quantity", [5, 10, 30, 45], "right"))
+    return rounded(binning.bin_statistics(loans(spark, sf), "l_quantity", [5, 10, 30, 45], "right"), default=8)
 
 
 @query("kmeans_bins")
