@@ -158,13 +158,18 @@ def likelihood_sums(design: DataFrame, models: Mapping[int, tuple[list[str], np.
     return {m: (t[0, -1], t[:, -2], t[:, :-2]) for m, t in out.items()}
 
 
-def fit_many(design: DataFrame, models: Sequence[Sequence[str]], ridge: float = 0.0, max_scans: int = 40) -> list[LogitFit]:
-    """Maximum-likelihood (or ridge) fits of several feature lists over one design table."""
-    t = design.agg(F.sum(F.col("w") * F.col("y")).alias("b"), F.sum("w").alias("w")).first()
-    rate = min(max(t["b"] / t["w"], 1e-9), 1 - 1e-9)
-    start = math.log(rate / (1 - rate))
+def fit_many(
+    design: DataFrame, models: Sequence[Sequence[str]], ridge: float = 0.0, guess: LogitFit | None = None, max_scans: int = 40
+) -> list[LogitFit]:
+    """Maximum-likelihood (or ridge) fits of several feature lists over one design table, started from ``guess``."""
+    if guess is None:
+        t = design.agg(F.sum(F.col("w") * F.col("y")).alias("b"), F.sum("w").alias("w")).first()
+        rate = min(max(t["b"] / t["w"], 1e-9), 1 - 1e-9)
+        start, known = math.log(rate / (1 - rate)), {}
+    else:
+        start, known = guess.intercept, guess.by_feature(guess.coef)
     feats = [list(m) for m in models]
-    beta = {m: np.array([start, *[0.0] * len(f)]) for m, f in enumerate(feats)}
+    beta = {m: np.array([start, *[known.get(f, 0.0) for f in fs]]) for m, fs in enumerate(feats)}
     last: dict[int, tuple[float, np.ndarray]] = {}
     cov: dict[int, np.ndarray] = {}
     active = set(beta)
@@ -263,25 +268,24 @@ def stepwise(
     design = design_table(df, features, target, F.col(weight) if weight else None).cache()
     log: list[tuple[int, str, str, float]] = []
     chosen = list(features) if direction == "backward" else []
+    current = fit_many(design, [chosen])[0] if chosen else None
     try:
         for rnd in range(1, max_rounds + 1):
             changed = False
-            if direction in ("forward", "both"):
-                rest = [f for f in features if f not in chosen]
-                trial = [(fit.p[-1], f) for f, fit in zip(rest, fit_many(design, [[*chosen, f] for f in rest]))] if rest else []
-                if trial and min(trial)[0] < level:
-                    p, f = min(trial)
-                    if direction == "both" and any(a == "remove" and g == f for _, a, g, _ in log[-1:]):
-                        break
-                    chosen.append(f)
+            rest = [f for f in features if f not in chosen]
+            if direction in ("forward", "both") and rest:
+                fits = fit_many(design, [[*chosen, f] for f in rest], guess=current)
+                p, f, fit = min(((fit.p[-1], f, fit) for f, fit in zip(rest, fits)), key=lambda t: t[:2])
+                # a feature that was just dropped would come straight back
+                if p < level and not any(a == "remove" and g == f for _, a, g, _ in log[-1:]):
+                    chosen, current, changed = [*chosen, f], fit, True
                     log.append((rnd, "add", f, p))
-                    changed = True
             if direction in ("backward", "both") and chosen:
-                fit = fit_design(design, chosen)
-                p, f = max(zip(fit.p, chosen))
+                p, f = max(zip(current.p, chosen))
                 if p > level:
-                    chosen.remove(f)
+                    chosen = [c for c in chosen if c != f]
                     log.append((rnd, "remove", f, p))
+                    current = fit_many(design, [chosen], guess=current)[0] if chosen else None
                     changed = True
             if not changed:
                 break
@@ -320,10 +324,10 @@ def clean_model(
     Log rows: (round, features in the fit, removed, reason, value). The intercept never counts.
     """
     design = design_table(df, features, target, weight).cache()
-    left, log = list(features), []
+    left, log, fit = list(features), [], None
     try:
         for rnd in range(1, max_rounds + 1):
-            fit = fit_design(design, left)
+            fit = fit_many(design, [left], guess=fit)[0]
             weak = [(p, f) for p, f in zip(fit.p, left) if p > level]
             negative = [(c, f) for c, f in zip(fit.coef, left) if c < 0]
             if significance_mode == "remove" and weak:
@@ -339,7 +343,8 @@ def clean_model(
             left.remove(drop)
             if not left:
                 raise ValueError("cleaning removed every feature")
-        final = fit_design(design, left, with_info=True, weighted=weight is not None)
+        final = fit if fit.features == left else fit_many(design, [left], guess=fit)[0]
+        final.info = fit_statistics(design, final, weight is not None)
     finally:
         design.unpersist()
     return final, log

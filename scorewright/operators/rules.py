@@ -90,11 +90,12 @@ def complexity_report(rules: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- parsing
 
 
-def parse_rule_text(df: DataFrame, text: str = "text") -> DataFrame:
+def parse_rule_text(df: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """One rule per line of a text column; blank lines and ``#`` comments are skipped."""
-    lines = df.select(F.posexplode(F.split(F.trim(F.col(text)), "\n")).alias("line_no", "line"))
+    lines = df.select(*keep, F.posexplode(F.split(F.trim(F.col(text)), "\n")).alias("line_no", "line"))
     rule = F.trim("line")
     return lines.where((rule != "") & ~rule.startswith("#")).select(
+        *keep,
         F.concat(F.lit("R"), F.lpad((F.col("line_no") + 1).cast("string"), 3, "0")).alias("rule_id"),
         rule.alias("rule"),
         F.lit("expression").alias("mode"),

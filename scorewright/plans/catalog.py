@@ -6,7 +6,7 @@ from importlib import import_module
 
 from scorewright.plans.registry import ORACLE, QUERIES, Query
 
-MODULES = ["queries_data", "queries_rules", "queries_models"]
+MODULES = ["queries_data", "queries_rules", "queries_models", "queries_flows"]
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
