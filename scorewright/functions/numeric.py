@@ -27,6 +27,13 @@ def count_when(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
+def distinct_estimate(c: Column, *more: Column) -> Column:
+    """Distinct values by sketch: under 1% error, exact in practice up to about a thousand values."""
+    h = F.xxhash64(c, *more)
+    key = F.when(c.isNotNull(), h) if not more else h
+    return F.hll_sketch_estimate(F.hll_sketch_agg(key, F.lit(14)))
+
+
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] | list[str] = ()) -> list[str]:
     return [
         f.name

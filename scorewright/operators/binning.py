@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.functions.numeric import ratio
+from scorewright.functions.numeric import distinct_estimate, ratio
 from scorewright.operators.histogram import binned_long, clean_double, edge_table, histogram
 from scorewright.operators.quantiles import BUFFER_ROWS, column_ranges, quantiles
 
@@ -96,7 +96,7 @@ def small_domains(df: DataFrame, features: Sequence[str], limit: int) -> dict[st
     feats = list(features)
     if not feats:
         return {}
-    est = df.agg(*[F.approx_count_distinct(clean_double(f), 0.02).alias(f"d{i}") for i, f in enumerate(feats)]).first()
+    est = df.agg(*[distinct_estimate(clean_double(f)).alias(f"d{i}") for i, f in enumerate(feats)]).first()
     near = [f for i, f in enumerate(feats) if est[f"d{i}"] <= 2 * limit]
     if not near:
         return {}

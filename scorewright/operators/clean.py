@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.datetimes import DEFAULT_DATETIME_FEATURES, add_datetime_features
-from scorewright.functions.numeric import nan_to_null, numeric_columns
+from scorewright.functions.numeric import distinct_estimate, nan_to_null, numeric_columns
 from scorewright.functions.texts import add_text_features
 from scorewright.operators.columns import categorical_report, datetime_columns, long_text_columns, named_id
 from scorewright.operators.profile import constant_columns, missing_report
@@ -83,7 +83,7 @@ def categories(df: DataFrame, columns: Sequence[str], max_categories: int = 50)
     cols = list(columns)
     if not cols:
         return {}
-    est = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    est = df.agg(*[distinct_estimate(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
     near = [c for i, c in enumerate(cols) if est[f"d{i}"] <= 2 * max_categories]
     if not near:
         return {}

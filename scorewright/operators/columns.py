@@ -84,7 +84,7 @@ def long_text_columns(df: DataFrame, exclude: Sequence[str] = (), min_unique: fl
     if not cols:
         return []
     return [
-        r["column"] for r in profile(df, cols).collect()
+        r["column"] for r in profile(df, cols, "approx", lambda c, d, n: abs(d - min_unique * n) <= 0.05 * n).collect()
         if r["n"] and r["n_distinct"] / r["n"] >= min_unique and (r["avg_length"] or 0) >= min_length
     ]
 
@@ -115,7 +115,9 @@ def categorical_report(
     ints = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     kinds = {f.name: f.dataType for f in df.schema.fields if f.name not in exclude}
     look = [c for c, t in kinds.items() if isinstance(t, (T.StringType, *ints)) and c not in force_numeric and c not in force_categorical]
-    prof = {r["column"]: r for r in profile(df, look).collect()} if look else {}
+    # codes have few values; counts near or under the limits are taken exactly
+    close = 2 * max(max_categories, 50)
+    prof = {r["column"]: r for r in profile(df, look, "approx", lambda c, d, n: d <= close).collect()} if look else {}
     rows = []
     for c in kinds:
         if c in force_numeric:
@@ -146,7 +148,11 @@ def non_feature_columns(df: DataFrame, exclude: Sequence[str] = (), uniqueness:
     """(column, reason): id, time, sample_type, high_cardinality; a column may have several of the first three."""
     cols = [c for c in df.columns if c not in exclude]
     types = {f.name: f.dataType for f in df.schema.fields}
-    prof = {r["column"]: r for r in profile(df, cols).collect()}
+    near = 0.05
+    prof = {
+        r["column"]: r
+        for r in profile(df, cols, "approx", lambda c, d, n: d <= 10 or abs(d - uniqueness * n) <= near * n).collect()
+    }
     texts = [c for c in cols if isinstance(types[c], T.StringType)]
     ask = [c for c in texts if not named_time(c) and not any(w in c.lower() for w in NOT_TIME_WORDS)]
     parsed: set[str] = set()

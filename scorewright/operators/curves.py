@@ -30,8 +30,10 @@ def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _with_totals(t: DataFrame, counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    tot = F.broadcast(_totals(counts, by))
-    return t.join(tot, list(by)) if by else t.crossJoin(tot)
+    if by:
+        return t.join(_totals(counts, by), list(by))
+    row = _totals(counts, by).first()
+    return t.select("*", *[F.lit(row[c]).cast("long").alias(c) for c in ("all_n", "all_bad", "all_good")])
 
 
 def ks_curve(df: DataFrame, score: str, target: str, by: Sequence[str] = ()) -> DataFrame:
@@ -89,12 +91,12 @@ def discrimination(df: DataFrame, score: str, target: str, by: Sequence[str] = (
 
 def overfit_check(metrics: DataFrame, split: str = "split", ks_gap: float = 0.05, auc_gap: float = 0.03) -> DataFrame:
     """Train minus other-sample gaps and whether they pass the limits."""
-    base = metrics.where(F.col(split) == "train").select(F.col("ks").alias("ks0"), F.col("auc").alias("auc0"))
-    other = metrics.where(F.col(split) != "train")
-    k, a = F.col("ks0") - F.col("ks"), F.col("auc0") - F.col("auc")
-    return other.crossJoin(F.broadcast(base)).select(
-        split, k.alias("ks_gap"), a.alias("auc_gap"), ((k > ks_gap) | (a > auc_gap)).alias("overfit")
-    )
+    every = Window.partitionBy(F.lit(0))
+    train = F.col(split) == "train"
+    k = F.max(F.when(train, F.col("ks"))).over(every) - F.col("ks")
+    a = F.max(F.when(train, F.col("auc"))).over(every) - F.col("auc")
+    gaps = metrics.select(split, k.alias("ks_gap"), a.alias("auc_gap")).where(~train)
+    return gaps.withColumn("overfit", (F.col("ks_gap") > ks_gap) | (F.col("auc_gap") > auc_gap))
 
 
 # ---------------------------------------------------------------- bands

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.functions.numeric import ratio
+from scorewright.functions.numeric import distinct_estimate, ratio
 from scorewright.functions.rule_expr import BadRule, compile_rules
 from scorewright.operators.histogram import edge_table, histogram
 from scorewright.operators.rules import number_text
@@ -179,10 +179,10 @@ def funnel_counts(funnel: DataFrame) -> DataFrame:
 
 def rule_source_stats(rules: DataFrame, by: str = "feature") -> DataFrame:
     """Rules per variable combination or per feature (exact variable names) with their share."""
-    n = rules.agg(F.count(F.lit(1)).alias("n_all"))
+    n = rules.count()
     key = F.explode(F.array_distinct(F.split("used_var", " & "))) if by == "feature" else F.col("used_var")
     counts = rules.select(key.alias(by)).groupBy(by).agg(F.count(F.lit(1)).alias("n_rules"))
-    return counts.join(F.broadcast(n)).select(by, "n_rules", (F.col("n_rules") * 100.0 / F.col("n_all")).alias("pct"))
+    return counts.select(by, "n_rules", (F.col("n_rules") * 100.0 / F.lit(n)).alias("pct"))
 
 
 def leakage(df: DataFrame, features: Sequence[str], target: str, max_groups: int = 10) -> DataFrame:
@@ -191,7 +191,7 @@ def leakage(df: DataFrame, features: Sequence[str], target: str, max_groups: int
     A sketch rules out the many-valued columns first, so only few-valued ones are
     grouped; their counts combine map-side whatever the skew.
     """
-    est = df.agg(*[F.approx_count_distinct(F.col(f"`{f}`"), 0.02).alias(f"d{i}") for i, f in enumerate(features)]).first()
+    est = df.agg(*[distinct_estimate(F.col(f"`{f}`")).alias(f"d{i}") for i, f in enumerate(features)]).first()
     few = [f for i, f in enumerate(features) if est[f"d{i}"] <= 2 * max_groups]
     if not few:
         return df.sparkSession.createDataFrame([], "feature string, n_groups bigint, n_pure bigint, leaky boolean")

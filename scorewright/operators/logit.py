@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.functions.numeric import distinct_estimate
 from scorewright.operators.evaluate import weight_column
 
 Z95 = 1.96
@@ -55,7 +56,7 @@ def design_table(df: DataFrame, features: Sequence[str], target: str, weight: Co
     """
     w = F.lit(1.0) if weight is None else weight
     rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col(target).cast("double").alias("y"), w.cast("double").alias("w")).dropna()
-    est = rows.agg(F.approx_count_distinct(F.struct(*features)).alias("d")).first()["d"] if features else 0
+    est = rows.agg(distinct_estimate(*[F.col(f) for f in features]).alias("d")).first()["d"] if features else 0
     if group is None:
         group = est <= DESIGN_ROWS
     if not group:

@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 RANGE_ROWS = 1_000_000
 
 
-def _range_cuts(table: DataFrame, key: str, by: Sequence[str], range_rows: int) -> list[float]:
-    n = table.count()
-    parts = -(-n // range_rows)
+# Ranges a sketch can place; with more rows the ranges grow instead.
+MAX_RANGES = 1000
+
+
+def _range_cuts(table: DataFrame, key: str, range_rows: int) -> list[float]:
+    probs = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
+    row = table.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, probs, 10 * MAX_RANGES).alias("q")).first()
+    parts = min(MAX_RANGES, -(-row["n"] // range_rows))
     if parts <= 1:
         return []
-    probs = [i / parts for i in range(1, parts)]
-    return sorted({float(v) for v in table.stat.approxQuantile(key, probs, 0.2 / parts)})
+    return sorted({float(row["q"][i * MAX_RANGES // parts - 1]) for i in range(1, parts)})
 
 
 def _range_id(key: str, cuts: Sequence[float]) -> Column:
@@ -39,7 +43,7 @@ def running_totals(
 
     ``table`` holds one row per (by..., key), numeric key.
     """
-    cuts = _range_cuts(table, key, by, range_rows)
+    cuts = _range_cuts(table, key, range_rows)
     t = table.withColumn("__range", _range_id(key, cuts))
     order = F.desc(key) if descending else F.asc(key)
     inner = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +57,8 @@ def running_totals(
     offsets = t.groupBy(*by, "__range").agg(*[F.sum(m).alias(m) for m in measures]).select(
         *by, "__range", *[F.coalesce(F.sum(m).over(outer), F.lit(0)).alias(f"__off_{m}") for m in measures]
     )
-    return t.join(F.broadcast(offsets), [*by, "__range"]).select(
+    # without groups there is one offset row per range
+    return t.join(offsets if by else F.broadcast(offsets), [*by, "__range"]).select(
         *table.columns, *[(F.col(f"__in_{m}") + F.col(f"__off_{m}")).alias(f"before_{m}") for m in measures]
     )
 

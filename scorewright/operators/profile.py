@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewright.functions.numeric import numeric_columns, ratio
+from scorewright.functions.numeric import distinct_estimate, numeric_columns, ratio
 from scorewright.functions.datetimes import is_datetime
 from scorewright.operators.histogram import clean_double
 from scorewright.operators.quantiles import quantiles
@@ -50,8 +50,14 @@ def distinct_and_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, cols: Sequence[str] | None = None, distinct: str = "exact") -> DataFrame:
-    """One row per column; ``distinct`` is exact (value counts), approx (sketch) or none."""
+def profile(
+    df: DataFrame, cols: Sequence[str] | None = None, distinct: str = "exact", exact_for: Callable[[str, int, int], bool] | None = None
+) -> DataFrame:
+    """One row per column. ``distinct``: exact (value counts), approx (sketch) or none.
+
+    With ``approx``, ``exact_for(column, estimate, rows)`` picks the columns whose
+    estimate is too close to call; only those pay for exact value counts.
+    """
     cols = list(cols or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     facts: dict[str, dict] = {}
@@ -66,15 +72,16 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, distinct: str = "e
             if isinstance(types[c], T.StringType):
                 aggs.append(F.avg(F.length(f"`{c}`")).alias(f"l{i}"))
             if distinct == "approx":
-                aggs.append(F.approx_count_distinct(F.col(f"`{c}`"), 0.01).alias(f"d{i}"))
+                aggs.append(distinct_estimate(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(f"d{i}"))
         row = df.agg(*aggs).first().asDict()
         n = row["n"]
         for i, c in enumerate(chunk):
             facts[c] = {k: row.get(f"{k}{i}") for k in "mabusld"}
-    if distinct == "exact":
-        for r in distinct_and_mode(df, cols).collect():
+    exact = cols if distinct == "exact" else [c for c in cols if exact_for and exact_for(c, facts[c]["d"], n)]
+    if exact:
+        for r in distinct_and_mode(df, exact).collect():
             facts[r["column"]].update(d=r["n_distinct"], mode=r["mode_n"] / r["n_values"])
-        for c in cols:
+        for c in exact:
             facts[c]["d"] = facts[c]["d"] or 0
     rows = [
         (c, types[c].simpleString(), n, f["m"], f["m"] / n if n else 0.0, f["d"], f.get("mode"), f["a"], f["b"], f["u"], f["s"], f["l"])
@@ -89,13 +96,9 @@ def preview(df: DataFrame, n: int = 10, order: Sequence[str] = ()) -> DataFrame:
 
 
 def sample_values(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
-    """Up to k smallest distinct values per column as text."""
-    counts = value_counts(df, cols)
-    out = None
-    for c in cols:
-        top = counts.where(F.col("column") == c).select("column", "value").orderBy("value").limit(k)
-        out = top if out is None else out.unionByName(top)
-    return out
+    """Up to k smallest distinct values per column as text; the top-k is taken before the shuffle."""
+    w = Window.partitionBy("column").orderBy("value")
+    return value_counts(df, cols).select("column", "value", F.row_number().over(w).alias("r")).where(F.col("r") <= k).select("column", "value")
 
 
 # ---------------------------------------------------------------- missing values
@@ -200,8 +203,9 @@ def data_quality(
 ) -> DataFrame:
     """Score 0-100 with its parts, and whether feature engineering is advised."""
     feats = [c for c in df.columns if c not in (target, weight)]
-    rows = profile(df, feats).collect()
     numeric = set(numeric_columns(df))
+    # only "one value" and "more than the limit" matter
+    rows = profile(df, feats, "approx", lambda c, d, n: d <= 2 * cardinality_limit).collect()
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     return df.sparkSession.createDataFrame(
         [_quality(rows, numeric, text, missing_limit, cardinality_limit, variance_limit)],
@@ -252,7 +256,7 @@ def check_target(df: DataFrame, target: str) -> None:
 def role_suggestions(df: DataFrame) -> DataFrame:
     """Numeric / categorical / binary flags and possible target, weight and id columns."""
     numeric = set(numeric_columns(df))
-    prof = {r["column"]: r for r in profile(df).collect()}
+    prof = {r["column"]: r for r in profile(df, None, "approx", lambda c, d, n: d <= 4).collect()}
     two = [c for c, r in prof.items() if r["n_distinct"] == 2]
     zero_one = set()
     if two:

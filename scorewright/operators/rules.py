@@ -52,16 +52,13 @@ def threshold_rules(
 
 
 def categorical_rules(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One equality rule per distinct value, built as a table (never collected)."""
-    parts = [
-        df.select(F.lit(c).alias("used_var"), F.col(f"`{c}`").cast("string").alias("value"),
-                  F.lit(dict(df.dtypes)[c] == "string").alias("quoted"))
+    """One equality rule per distinct value, from one scan, built as a table (never collected)."""
+    types = dict(df.dtypes)
+    cells = [
+        F.struct(F.lit(c).alias("used_var"), F.col(f"`{c}`").cast("string").alias("value"), F.lit(types[c] == "string").alias("quoted"))
         for c in columns
     ]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    vals = long.where(F.col("value").isNotNull()).distinct()
+    vals = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).distinct()
     lit = F.when(F.col("quoted"), F.concat(F.lit("'"), F.col("value"), F.lit("'"))).otherwise(F.col("value"))
     return vals.select(
         "used_var",

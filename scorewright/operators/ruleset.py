@@ -348,11 +348,11 @@ def rejection_reasons(
     ranked = rank_by_bad_rate(metrics.select("rule", "bad_rate", "hit_rate", "lift"))
     chosen = selected.select("rule", "cum_recall", "cum_hit_rate")
     last = ranked.join(chosen, "rule").agg(
-        F.max("rank").alias("last_rank"), F.max("cum_recall").alias("reached"), F.max("cum_hit_rate").alias("used")
-    )
-    beyond = F.col("rank") > F.coalesce(F.col("last_rank"), F.lit(0))
-    goal_met = F.lit(False) if recall_goal is None else F.coalesce(F.col("reached") >= recall_goal * 0.95, F.lit(False))
-    limit = F.coalesce(F.col("used") >= max_hit_rate * 0.95, F.lit(False))
+        F.max("rank").alias("rank"), F.max("cum_recall").alias("reached"), F.max("cum_hit_rate").alias("used")
+    ).first()
+    beyond = F.col("rank") > (last["rank"] or 0)
+    goal_met = F.lit(recall_goal is not None and (last["reached"] or 0.0) >= recall_goal * 0.95)
+    limit = F.lit((last["used"] or 0.0) >= max_hit_rate * 0.95)
     rest = F.when(beyond, "ranked_low").otherwise("unexpected") if allow_overlap else F.lit("rows_consumed")
     reason = (
         F.when(beyond & goal_met, "target_bad_rate_met" if from_bad_rate else "recall_target_met")
@@ -360,7 +360,7 @@ def rejection_reasons(
         .otherwise(rest)
     )
     return (
-        ranked.join(chosen.select("rule"), "rule", "left_anti").join(F.broadcast(last))
+        ranked.join(chosen.select("rule"), "rule", "left_anti")
         .select("rule", "bad_rate", "hit_rate", "lift", "rank", reason.alias("reason"))
     )
 

@@ -12,7 +12,7 @@ from scorewright.functions.rule_expr import any_of
 from scorewright.operators.evaluate import hit_list
 from scorewright.operators.histogram import histogram
 from scorewright.operators.quantiles import column_ranges
-from scorewright.operators.ruleset import compiled, names_table
+from scorewright.operators.ruleset import compiled
 
 PSI_EPS = 1e-6
 
@@ -26,12 +26,13 @@ def psi_label(psi: Column) -> Column:
 def hit_rates_by(df: DataFrame, rules: Sequence[str], split: str) -> DataFrame:
     """(pos, rule, split, rate) in one scan: rows per split and hits per (split, rule)."""
     good = compiled(df, rules)
+    listed = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(r).alias("rule")) for i, (r, _) in enumerate(good)])
     sizes = df.groupBy(split).agg(F.count(F.lit(1)).alias("n"))
     hits = (
         df.select(split, F.explode(hit_list([h for _, h in good])).alias("pos")).groupBy(split, "pos")
         .agg(F.count(F.lit(1)).alias("hit_n"))
     )
-    grid = names_table(df, [r for r, _ in good]).join(F.broadcast(sizes), F.lit(True))
+    grid = sizes.select(split, "n", F.inline(listed))
     return grid.join(hits, [split, "pos"], "left").select(
         "pos", "rule", split, ratio(F.coalesce(F.col("hit_n"), F.lit(0)), F.col("n")).alias("rate")
     )

@@ -149,14 +149,16 @@ def validate_rules(df: DataFrame, rules: Sequence[str], target: str) -> DataFram
 def score_distribution(df: DataFrame, score: str) -> DataFrame:
     """Distinct scores, range, population std and the resulting status."""
     x = F.col(score).cast("double")
-    n_distinct = df.where(x.isNotNull()).groupBy(x.alias("s")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("unique_scores"))
-    t = df.agg(F.min(x).alias("score_min"), F.max(x).alias("score_max"), F.stddev_pop(x).alias("score_std"), F.avg(x).alias("score_mean"))
+    t = df.agg(
+        F.count_distinct(x).alias("unique_scores"), F.min(x).alias("score_min"), F.max(x).alias("score_max"), F.stddev_pop(x).alias("score_std"),
+        F.avg(x).alias("score_mean"),
+    )
     issues = (
         (F.col("unique_scores") < DISTINCT_MIN).cast("int") + (F.col("score_max") - F.col("score_min") < RANGE_MIN).cast("int")
         + (F.col("score_std") < STD_MIN).cast("int")
     )
     status = F.element_at(F.array(*[F.lit(s) for s in _STATUS]), issues + 1)
-    return t.crossJoin(F.broadcast(n_distinct)).select(
+    return t.select(
         "unique_scores", "score_min", "score_max", (F.col("score_max") - F.col("score_min")).alias("score_range"), "score_std",
         "score_mean", status.alias("status"),
     )

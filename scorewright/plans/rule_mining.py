@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions.rule_expr import BadRule, compile_rules
 from scorewright.operators import binning, clean, columns, evaluate, logit, profile, rules, ruleset, split, stability, trees, validation
-from scorewright.plans.staging import cut_lineage
+from scorewright.plans.staging import stage
 from scorewright.roles import Roles
 
 
@@ -102,7 +102,7 @@ def run(df: DataFrame, roles: Roles, params: RuleMiningParams | None = None) ->
     params = params or RuleMiningParams()
     res = RuleMiningResult()
     ready, res.info = prepare(df, roles, params)
-    ready = cut_lineage(ready)
+    ready = stage(ready, ("split",))
     dev = ready.where(F.col("split") != "oot")
     t = res.tables
     candidates = [c for c in clean.feature_columns(ready, [*roles.non_features(), "split"])]

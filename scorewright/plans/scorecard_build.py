@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions.numeric import nan_to_null
 from scorewright.operators import binning, clean, curves, logit, profile, scorecard, selection, split, stability, validation
-from scorewright.plans.staging import cut_lineage
+from scorewright.plans.staging import stage
 from scorewright.roles import Roles
 
 
@@ -54,7 +54,7 @@ def run(df: DataFrame, roles: Roles, params: ScorecardParams | None = None) -> S
     ready = split.split_data(
         ready, roles.target, list(roles.keys), roles.sample_type, roles.time, params.oot_ratio if roles.time else 0.0, params.test_ratio
     )
-    ready = cut_lineage(ready)
+    ready = stage(ready, ("split",))
     train = ready.where("split = 'train'")
     tables: dict[str, DataFrame] = {}
     cols = clean.feature_columns(ready, [*roles.non_features(), "split"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +21,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="scorewright-ckpt-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages restart from files, so a lost executor costs no upstream work."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint()
+def stage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Writes the table to the shared folder and reads it back.
+
+    Later stages start from files: a lost executor costs no upstream work, and
+    columns and partitions are pruned at the scan.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
