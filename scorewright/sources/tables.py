@@ -33,8 +33,14 @@ def describe_columns(df: DataFrame) -> DataFrame:
 
 
 def read_rule_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rule CSV with lower-cased headers; a file that does not decode as UTF-8 is read as GBK."""
+    """Rule CSV with lower-cased headers; a file that does not decode as UTF-8 is read as GBK.
+
+    Spark 4 reads GBK only with ``spark.sql.legacy.javaCharsets``, which is switched
+    on for the session when it is needed.
+    """
     for enc in ENCODINGS:
+        if enc == "gbk":
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         df = spark.read.option("header", True).option("encoding", "UTF-8" if enc == "utf-8-sig" else enc).csv(path)
         df = df.toDF(*[c.strip().lstrip("﻿").lower() for c in df.columns])
         broken = df.where(" OR ".join(f"`{c}` LIKE '%�%'" for c in df.columns) or "false")
