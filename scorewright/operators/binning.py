@@ -22,13 +22,14 @@ Cuts = dict[str, list[float]]
 # ---------------------------------------------------------------- cut points
 
 
-def quantile_edges(df: DataFrame, features: Sequence[str], n_bins: int, **kw) -> dict[str, list[float]]:
-    """All distinct quantile edges including both ends."""
-    probs = [i / n_bins for i in range(n_bins + 1)]
+def quantile_edges(df: DataFrame, features: Sequence[str], n_bins: int | Mapping[str, int], **kw) -> dict[str, list[float]]:
+    """All distinct quantile edges including both ends; ``n_bins`` for all or per feature."""
+    k = {f: n_bins[f] if isinstance(n_bins, Mapping) else n_bins for f in features}
+    probs = {f: [i / k[f] for i in range(k[f] + 1)] for f in features}
     return {f: sorted({v for v in q if v is not None}) for f, q in quantiles(df, features, probs, **kw).items()}
 
 
-def quantile_cuts(df: DataFrame, features: Sequence[str], n_bins: int, **kw) -> Cuts:
+def quantile_cuts(df: DataFrame, features: Sequence[str], n_bins: int | Mapping[str, int], **kw) -> Cuts:
     return {f: e[1:-1] for f, e in quantile_edges(df, features, n_bins, **kw).items()}
 
 

@@ -1,7 +1,7 @@
 """The long histogram: one row per (feature, bin) with counts and weighted sums.
 
 Binning runs in the JVM (``Bucketizer`` does a binary search per value), the
-long form is built by ``inline`` and every aggregate is algebraic, so map-side
+long form is built by ``stack`` and every aggregate is algebraic, so map-side
 partial aggregation leaves at most features x bins rows per task to shuffle -
 whatever the skew of the values.
 """
@@ -35,37 +35,35 @@ def clean_double(name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def binned_long(
-    df: DataFrame,
-    cuts: Mapping[str, Sequence[float]],
-    keep: Sequence[Column] = (),
-    closed: str = "left",
-) -> DataFrame:
-    """Rows x features in long form: keep columns, feature, bin (null = missing), value."""
+def _numbered_long(df: DataFrame, cuts: Mapping[str, Sequence[float]], keep: Sequence[Column], closed: str) -> DataFrame:
+    """Keep columns, fid (position in ``cuts``), bin (null = missing), value."""
     feats = list(cuts)
-    cut_feats = [f for f in feats if len(cuts[f])]
+    live = [i for i, f in enumerate(feats) if len(cuts[f])]
     base = df.select(*keep, *[clean_double(f).alias(f"__x{i}") for i, f in enumerate(feats)])
     kept = base.columns[: len(keep)]
-    pos = {f: i for i, f in enumerate(feats)}
-    if cut_feats:
+    if live:
         base = Bucketizer(
-            inputCols=[f"__x{pos[f]}" for f in cut_feats],
-            outputCols=[f"__b{pos[f]}" for f in cut_feats],
-            splitsArray=[splits(cuts[f], closed) for f in cut_feats],
+            inputCols=[f"__x{i}" for i in live],
+            outputCols=[f"__b{i}" for i in live],
+            splitsArray=[splits(cuts[feats[i]], closed) for i in live],
             handleInvalid="keep",
         ).transform(base)
-    cells = []
-    for f, i in pos.items():
-        x = F.col(f"__x{i}")
-        b = F.col(f"__b{i}").cast("int") if f in cut_feats else F.lit(0)
-        cells.append(
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.when(x.isNotNull(), b).alias("bin"),
-                x.alias("value"),
-            )
-        )
-    return base.select(*[F.col(f"`{k}`") for k in kept], F.inline(F.array(*cells)))
+    cells = [
+        f"{i}, CASE WHEN __x{i} IS NOT NULL THEN {f'CAST(__b{i} AS INT)' if i in live else '0'} END, __x{i}" for i in range(len(feats))
+    ]
+    return base.select(*[F.col(f"`{k}`") for k in kept], F.expr(f"stack({len(cells)}, {', '.join(cells)}) AS (fid, bin, value)"))
+
+
+def _feature_name(feats: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("fid") + 1).alias("feature")
+
+
+def binned_long(
+    df: DataFrame, cuts: Mapping[str, Sequence[float]], keep: Sequence[Column] = (), closed: str = "left"
+) -> DataFrame:
+    """Rows x features in long form: keep columns, feature, bin (null = missing), value."""
+    long = _numbered_long(df, cuts, keep, closed)
+    return long.select(*[F.col(f"`{k}`") for k in long.columns[: len(keep)]], _feature_name(list(cuts)), "bin", "value")
 
 
 def histogram(
@@ -77,14 +75,18 @@ def histogram(
     closed: str = "left",
     missing: bool = False,
 ) -> DataFrame:
-    """(by..., feature, bin) -> n, bad, w, bad_w, vmin, vmax; missing rows only on request."""
+    """(by..., feature, bin) -> n, bad, w, bad_w, vmin, vmax; missing rows only on request.
+
+    Grouping runs on feature numbers; names come back on the few aggregated rows.
+    """
+    if not cuts:
+        raise ValueError("no features to bin")
     y = (F.col(target) if target else F.lit(0)).cast("double")
     w = (F.col(weight) if weight else F.lit(1.0)).cast("double")
-    keep = [*[F.col(b) for b in by], y.alias("__y"), w.alias("__w")]
-    long = binned_long(df, cuts, keep, closed)
+    long = _numbered_long(df, cuts, [*[F.col(b) for b in by], y.alias("__y"), w.alias("__w")], closed)
     if not missing:
         long = long.where(F.col("bin").isNotNull())
-    return long.groupBy(*by, "feature", "bin").agg(
+    counted = long.groupBy(*by, "fid", "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("__y").alias("bad"),
         F.sum("__w").alias("w"),
@@ -92,6 +94,7 @@ def histogram(
         F.min("value").alias("vmin"),
         F.max("value").alias("vmax"),
     )
+    return counted.select(*by, _feature_name(list(cuts)), "bin", "n", "bad", "w", "bad_w", "vmin", "vmax")
 
 
 def edge_table(spark: SparkSession, cuts: Mapping[str, Sequence[float]]) -> DataFrame:

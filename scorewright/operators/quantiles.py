@@ -1,27 +1,54 @@
 """Exact order statistics and quantiles without gathering a column in one task.
 
+Wanted ranks are found by refining a histogram: each pass is one scan with
+map-side aggregation, the driver sees at most ``resolution`` counts per column,
+and once few rows are left in the open cells their value counts finish the job.
 The built-in exact ``percentile`` keeps every distinct value in one buffer, so it
-is used only when the row count is known to be small. Beyond that, the wanted
-ranks are found by refining a histogram: each pass is one scan with map-side
-aggregation, and the driver sees at most ``resolution`` counts per column.
+is used only for tables known to be small.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.operators.histogram import clean_double, histogram
+from scorewright.operators.histogram import binned_long, clean_double, histogram
 
 # Rows up to which one aggregation buffer may hold a whole column.
-BUFFER_ROWS = 2_000_000
+BUFFER_ROWS = 100_000
+# Distinct values the driver may take to settle the last open cells.
+FINISH_ROWS = 100_000
+# Tied rows up to which the driver may take the smallest ones directly.
+TAKE_ROWS = 10_000
+
+Span = tuple[int, float | None, float | None]
+Probs = Sequence[float] | Mapping[str, Sequence[float]]
+
+
+class Element(NamedTuple):
+    """A value in sorted order, the rows before it and the rows equal to it."""
+
+    value: float
+    below: int
+    same: int
+
 
+class _Cell(NamedTuple):
+    low: float
+    high: float
+    below: int
+    n: int
+    ranks: list[int]
 
-def column_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, float | None, float | None]]:
+
+def column_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, Span]:
     """(non-null count, min, max) per column, one scan."""
+    if not cols:
+        return {}
     aggs = []
     for i, c in enumerate(cols):
         x = clean_double(c)
@@ -37,100 +64,110 @@ def _refined(lo: float, hi: float, parts: int) -> list[float]:
     return sorted(p for p in pts if lo <= p)
 
 
-def order_statistics(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], resolution: int = 2000, buffer_rows: int = BUFFER_ROWS
-) -> dict[str, dict[int, float]]:
-    """0-based rank -> value for each column, exact."""
-    wanted = {c: sorted(set(r)) for c, r in ranks.items() if len(r)}
-    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    if not wanted:
-        return found
-    spans = column_ranges(df, list(wanted))
-    asked = [(c, r) for c, rs in wanted.items() for r in rs if 0 <= r < spans[c][0]]
-    if asked and len(asked) <= 8 and max(spans[c][0] for c in wanted) <= buffer_rows:
-        # the middle of a rank's share picks exactly that element
-        exprs = [
-            F.expr(f"percentile_disc({(r + 0.5) / spans[c][0]!r}D) WITHIN GROUP (ORDER BY __v{i})").alias(f"r{i}")
-            for i, (c, r) in enumerate(asked)
-        ]
-        row = df.select(*[clean_double(c).alias(f"__v{i}") for i, (c, _) in enumerate(asked)]).agg(*exprs).first()
-        for i, (c, r) in enumerate(asked):
-            found[c][r] = row[f"r{i}"]
-        return found
-    cuts: dict[str, list[float]] = {}
-    for c in wanted:
-        n, lo, hi = spans[c]
-        wanted[c] = [r for r in wanted[c] if 0 <= r < n]
-        if wanted[c]:
-            cuts[c] = _refined(lo, hi, resolution)
+def select_ranks(
+    df: DataFrame,
+    ranks: Mapping[str, Sequence[int] | Callable[[int], Sequence[int]]],
+    bounds: Mapping[str, tuple[float, float]] | None = None,
+    resolution: int = 2000,
+    finish_rows: int = FINISH_ROWS,
+) -> dict[str, dict[int, Element]]:
+    """0-based rank -> element per column. Ranks may be a function of the column's row count;
+    known ``bounds`` of the values save the scan that looks for them."""
+    bounds = dict(bounds or {})
+    spans = column_ranges(df, [c for c in ranks if c not in bounds])
+    bounds.update({c: (lo, hi) for c, (n, lo, hi) in spans.items() if n})
+    found: dict[str, dict[int, Element]] = {c: {} for c in ranks}
+    cuts = {c: _refined(lo, hi, resolution) for c, (lo, hi) in bounds.items() if c in ranks}
+    wanted: dict[str, list[int]] = {}
     while cuts:
-        counts: dict[str, list] = {c: [] for c in cuts}
-        for row in histogram(df, cuts).select("feature", "bin", "n", "vmin", "vmax").collect():
-            counts[row["feature"]].append((row["bin"], row["n"], row["vmin"], row["vmax"]))
-        nxt: dict[str, list[float]] = {}
-        for c, cells in counts.items():
-            below, open_cells = 0, []
-            pending = [r for r in wanted[c] if r not in found[c]]
-            for _, n, vmin, vmax in sorted(cells):
-                inside = [r for r in pending if below <= r < below + n]
-                for r in inside:
-                    if vmin == vmax or r == below:
-                        found[c][r] = vmin
-                    elif r == below + n - 1:
-                        found[c][r] = vmax
-                if any(r not in found[c] for r in inside):
-                    open_cells.append((vmin, vmax))
+        cells: dict[str, list] = {c: [] for c in cuts}
+        for r in histogram(df, cuts).select("feature", "bin", "n", "vmin", "vmax").collect():
+            cells[r["feature"]].append((r["bin"], r["n"], r["vmin"], r["vmax"]))
+        still: dict[str, list[_Cell]] = {}
+        for c, counted in cells.items():
+            if c not in wanted:
+                n = sum(k[1] for k in counted)
+                asked = ranks[c](n) if callable(ranks[c]) else ranks[c]
+                wanted[c] = sorted({r for r in asked if 0 <= r < n})
+            todo, below = [r for r in wanted[c] if r not in found[c]], 0
+            for _, n, low, high in sorted(counted):
+                inside = [r for r in todo if below <= r < below + n]
+                if inside and low == high:
+                    found[c].update(dict.fromkeys(inside, Element(low, below, n)))
+                elif inside:
+                    still.setdefault(c, []).append(_Cell(low, high, below, n, inside))
                 below += n
-            if open_cells:
-                parts = max(8, resolution // len(open_cells))
-                nxt[c] = sorted({p for lo, hi in open_cells for p in _refined(lo, hi, parts)})
-        cuts = nxt
+        if sum(k.n for ks in still.values() for k in ks) <= finish_rows:
+            _finish(df, still, found)
+            break
+        cuts = {
+            c: sorted({p for k in ks for p in _refined(k.low, k.high, max(8, resolution // len(ks)))}) for c, ks in still.items()
+        }
     return found
 
 
-def quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    buffer_rows: int = BUFFER_ROWS,
-    rows: int | None = None,
-) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles (the numpy default) of each column."""
+def _finish(df: DataFrame, still: Mapping[str, list[_Cell]], found: dict[str, dict[int, Element]]) -> None:
+    """Value counts of the open cells settle the remaining ranks."""
+    if not still:
+        return
+    cuts = {}
+    for c, cells in still.items():
+        edges: list[float] = []
+        for k in cells:
+            if edges and edges[-1] == k.low:
+                edges.pop()  # neighbours become one range
+            else:
+                edges.append(k.low)
+            edges.append(math.nextafter(k.high, math.inf))
+        cuts[c] = edges
+    # edges alternate start, end: odd bins are inside
+    rows = (
+        binned_long(df, cuts).where(F.col("bin") % 2 == 1).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+    )
+    values: dict[str, list[tuple[float, int]]] = {c: [] for c in still}
+    for r in rows:
+        values[r["feature"]].append((r["value"], r["n"]))
+    for c, cells in still.items():
+        counted = sorted(values[c])
+        i = 0
+        for k in sorted(cells):
+            below = k.below
+            while i < len(counted) and counted[i][0] <= k.high:
+                v, n = counted[i]
+                found[c].update({r: Element(v, below, n) for r in k.ranks if below <= r < below + n})
+                below += n
+                i += 1
+
+
+def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]], **options) -> dict[str, dict[int, float]]:
+    """0-based rank -> value for each column, exact."""
+    return {c: {r: e.value for r, e in found.items()} for c, found in select_ranks(df, ranks, **options).items()}
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Probs, buffer_rows: int = BUFFER_ROWS) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles (the numpy default); ``probs`` for all columns or per column."""
     cols = list(cols)
     if not cols:
         return {}
-    n_rows = df.count() if rows is None else rows
-    if n_rows <= buffer_rows:
-        row = df.agg(
-            *[F.percentile(clean_double(c), [float(p) for p in probs]).alias(f"q{i}") for i, c in enumerate(cols)]
-        ).first()
-        return {c: list(row[f"q{i}"]) if row[f"q{i}"] else [None] * len(probs) for i, c in enumerate(cols)}
+    per = {c: [float(p) for p in (probs[c] if isinstance(probs, Mapping) else probs)] for c in cols}
     spans = column_ranges(df, cols)
-    ranks = {}
-    for c in cols:
-        n = spans[c][0]
-        pos = [p * (n - 1) for p in probs]
-        ranks[c] = [r for p in pos for r in (math.floor(p), math.ceil(p))] if n else []
-    values = order_statistics(df, ranks)
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        n = spans[c][0]
-        if not n:
-            out[c] = [None] * len(probs)
-            continue
-        res = []
-        for p in probs:
-            at = p * (n - 1)
-            lo, hi = values[c][math.floor(at)], values[c][math.ceil(at)]
-            res.append(lo + (hi - lo) * (at - math.floor(at)))
-        out[c] = res
+    out: dict[str, list[float | None]] = {c: [None] * len(per[c]) for c in cols}
+    live = [c for c in cols if spans[c][0] and per[c]]
+    if not live:
+        return out
+    if max(spans[c][0] for c in live) <= buffer_rows:
+        row = df.agg(*[F.percentile(clean_double(c), per[c]).alias(f"q{i}") for i, c in enumerate(live)]).first()
+        out.update({c: list(row[f"q{i}"]) for i, c in enumerate(live)})
+        return out
+    at = {c: [p * (spans[c][0] - 1) for p in per[c]] for c in live}
+    ranks = {c: [r for p in at[c] for r in (math.floor(p), math.ceil(p))] for c in live}
+    values = order_statistics(df, ranks, bounds={c: spans[c][1:] for c in live})
+    for c in live:
+        v = values[c]
+        out[c] = [v[math.floor(p)] + (v[math.ceil(p)] - v[math.floor(p)]) * (p - math.floor(p)) for p in at[c]]
     return out
 
 
-# Tied rows up to which the driver may take the smallest ones directly.
-TAKE_ROWS = 10_000
-
-
 def kth_row(df: DataFrame, order: Sequence[str], k: int) -> tuple[float, ...] | None:
     """Key of the k-th row (0-based) in lexicographic order of numeric columns.
 
@@ -140,22 +177,17 @@ def kth_row(df: DataFrame, order: Sequence[str], k: int) -> tuple[float, ...] |
     key: list[float] = []
     tied = df.select(*[clean_double(c).alias(c) for c in order])
     for i, c in enumerate(order):
-        value = order_statistics(tied, {c: [k]})[c].get(k)
-        if value is None:
+        hit = select_ranks(tied, {c: [k]})[c].get(k)
+        if hit is None:
             return None
-        x = F.col(f"`{c}`")
-        stats = tied.agg(
-            F.count(F.when(x < value, 1)).alias("below"), F.count(F.when(x == value, 1)).alias("same")
-        ).first()
-        key.append(value)
-        k -= stats["below"]
-        if stats["same"] == 1:
-            break
-        tied = tied.where(x == value)
+        key.append(hit.value)
+        k -= hit.below
         rest = list(order[i + 1:])
-        if rest and stats["same"] <= TAKE_ROWS:
-            top = tied.select(*rest).orderBy(*rest).limit(k + 1).collect()
-            key += list(top[k])
+        if hit.same == 1 or not rest:
+            break
+        tied = tied.where(F.col(f"`{c}`") == hit.value)
+        if hit.same <= TAKE_ROWS:
+            key += list(tied.select(*rest).orderBy(*rest).limit(k + 1).collect()[k])
             break
     return tuple(key)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.datetimes import order_value, parse_formats
-from scorewright.operators.quantiles import at_or_after, kth_row, order_statistics
+from scorewright.operators.quantiles import at_or_after, kth_row, select_ranks
 
 SEED = 42
 
@@ -33,18 +33,19 @@ def split_by_label(df: DataFrame, label: str) -> DataFrame:
 
 
 def stratified_test(df: DataFrame, target: str, keys: Sequence[str], ratio: float = 0.3, seed: int = SEED, among: Column | None = None) -> Column:
-    """'test' for the int(n * ratio) rows of each class with the smallest hash, else 'train'."""
+    """'test' for the int(n * ratio) rows of each class (0 and 1) with the smallest hash, else 'train'."""
     pool = df if among is None else df.where(among)
-    ranked = pool.select(F.col(target).cast("int").alias("y"), hash_rank(keys, seed).alias("h"))
-    sizes = {r["y"]: r["n"] for r in ranked.where("y IS NOT NULL").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    take = {y: int(n * ratio) for y, n in sizes.items()}
-    wide = ranked.select(*[F.when(F.col("y") == y, F.col("h")).alias(f"h{y}") for y in sizes])
-    found = order_statistics(wide, {f"h{y}": [k - 1] for y, k in take.items() if k > 0})
-    h = hash_rank(keys, seed)
+    h, y = hash_rank(keys, seed), F.col(target).cast("int")
+    wide = pool.select(h.alias("h"), y.alias("y")).select(*[F.when(F.col("y") == c, F.col("h")).alias(f"h{c}") for c in (0, 1)])
+
+    def last(n: int) -> list[int]:
+        return [int(n * ratio) - 1]
+
+    found = select_ranks(wide, {"h0": last, "h1": last}, bounds={"h0": (0.0, 2.0**52), "h1": (0.0, 2.0**52)})
     test = F.lit(False)
-    for y, k in take.items():
-        if k > 0:
-            test = test | ((F.col(target).cast("int") == y) & (h <= F.lit(found[f"h{y}"][k - 1])))
+    for c in (0, 1):
+        for e in found[f"h{c}"].values():
+            test = test | ((y == c) & (h <= F.lit(e.value)))
     return F.when(test, F.lit("test")).otherwise(F.lit("train"))
 
 

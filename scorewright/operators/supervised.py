@@ -25,13 +25,9 @@ _CUT_SCHEMA = "feature string, cut double"
 def _fine_cells(df: DataFrame, features: Sequence[str], target: str) -> tuple[DataFrame, Cuts]:
     """(feature, bin, lo, n, bad) on min(100, distinct) quantile cells."""
     small = small_domains(df, features, FINE_CELLS - 1)
-    cuts: Cuts = {}
-    by_size: dict[int, list[str]] = {}
-    for f in features:
-        by_size.setdefault(len(small[f]) if f in small else FINE_CELLS, []).append(f)
-    for size, fs in by_size.items():
-        if size >= 2:
-            cuts.update({f: e[1:-1] for f, e in quantile_edges(df, fs, size).items() if len(e) >= 3})
+    size = {f: len(small[f]) if f in small else FINE_CELLS for f in features}
+    edges = quantile_edges(df, [f for f in features if size[f] >= 2], size)
+    cuts: Cuts = {f: e[1:-1] for f, e in edges.items() if len(e) >= 3}
     cells = histogram(df, cuts, target).select("feature", "bin", "n", "bad")
     return cells.join(F.broadcast(edge_table(df.sparkSession, cuts)), ["feature", "bin"]), cuts
 

@@ -21,6 +21,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="scorewright-ckpt-")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalances a source that offers fewer splits than there are cores; large inputs pass through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes the table to the shared folder and reads it back.
 
@@ -28,5 +34,5 @@ def stage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     columns and partitions are pruned at the scan.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    spread(df).write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -57,13 +57,13 @@ def test_quantiles_exact_both_ways(spark, numbers, buffer_rows):
         np.testing.assert_allclose(q, want, rtol=1e-12, err_msg=c)
 
 
-@pytest.mark.parametrize("buffer_rows", [0, 10**9])
-def test_order_statistics(spark, numbers, buffer_rows):
+@pytest.mark.parametrize("finish_rows", [0, 100, 10**9])
+def test_order_statistics(spark, numbers, finish_rows):
     df = spark.createDataFrame(numbers)
     for c in ("x", "hot", "big"):
         v = np.sort(numbers[c].dropna())
         ranks = [0, 1, len(v) // 3, len(v) - 1]
-        got = order_statistics(df, {c: ranks}, resolution=16, buffer_rows=buffer_rows)[c]
+        got = order_statistics(df, {c: ranks}, resolution=16, finish_rows=finish_rows)[c]
         assert got == {r: v[r] for r in ranks}
 
 
