@@ -159,6 +159,26 @@ def quality_filter(df: DataFrame, cols: Sequence[str], missing_limit: float = 0.
     return miss.join(F.broadcast(mode), "variable", "left").select("variable", "missing_rate", share.alias("mode_share"), reason.alias("reason"))
 
 
+def dominated_columns(df: DataFrame, cols: Sequence[str], limit: float = 0.95) -> dict[str, float]:
+    """Columns where one value holds at least ``limit`` (over one half) of the present rows, with its exact share.
+
+    Such a value is also the median of any order, so the approximate median of a
+    hash names the only candidate; counting it settles the matter without a shuffle.
+    """
+    if limit <= 0.5:
+        raise ValueError("limit must be over one half")
+    out: dict[str, float] = {}
+    for chunk in _chunks(cols):
+        h = {c: F.when(~is_missing(df, c), F.xxhash64(F.col(f"`{c}`"))) for c in chunk}
+        mid = df.agg(*[F.percentile_approx(h[c], 0.5, 1000).alias(f"m{i}") for i, c in enumerate(chunk)]).first()
+        aggs = []
+        for i, c in enumerate(chunk):
+            aggs += [F.count(h[c]).alias(f"n{i}"), F.count(F.when(h[c] == F.lit(mid[f"m{i}"]), 1)).alias(f"k{i}")]
+        row = df.agg(*aggs).first()
+        out.update({c: row[f"k{i}"] / row[f"n{i}"] for i, c in enumerate(chunk) if row[f"n{i}"] and row[f"k{i}"] >= limit * row[f"n{i}"]})
+    return out
+
+
 # ---------------------------------------------------------------- outliers
 
 

@@ -1,7 +1,7 @@
 """Exact order statistics and quantiles without gathering a column in one task.
 
 Wanted ranks are found by refining a histogram: each pass is one scan with
-map-side aggregation, the driver sees at most ``resolution`` counts per column,
+map-side aggregation, the driver sees a bounded number of cell counts,
 and once few rows are left in the open cells their value counts finish the job.
 The built-in exact ``percentile`` keeps every distinct value in one buffer, so it
 is used only for tables known to be small.
@@ -13,15 +13,18 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.operators.histogram import binned_long, clean_double, histogram
+from scorewright.operators.histogram import clean_double
 
 # Rows up to which one aggregation buffer may hold a whole column.
 BUFFER_ROWS = 100_000
 # Distinct values the driver may take to settle the last open cells.
 FINISH_ROWS = 100_000
+# Histogram cells of one pass over all columns.
+CELLS = 20_000
 # Tied rows up to which the driver may take the smallest ones directly.
 TAKE_ROWS = 10_000
 
@@ -57,52 +60,108 @@ def column_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, Span]:
     return {c: (row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
 
 
-def _refined(lo: float, hi: float, parts: int) -> list[float]:
-    step = (hi - lo) / parts
-    pts = {lo, hi, math.nextafter(hi, math.inf)}
-    pts |= {lo + step * k for k in range(1, parts)}
-    return sorted(p for p in pts if lo <= p)
+def _disjoint(cells: list[_Cell]) -> list[_Cell]:
+    """Cells in order, neighbours with no double between them joined into one."""
+    out: list[_Cell] = []
+    for k in sorted(cells):
+        if out and math.nextafter(out[-1].high, math.inf) >= k.low:
+            p = out[-1]
+            out[-1] = _Cell(p.low, k.high, p.below, p.n + k.n, p.ranks + k.ranks)
+        else:
+            out.append(k)
+    return out
+
+
+def _inside(df: DataFrame, cells: Mapping[str, list[_Cell]]) -> DataFrame:
+    """(fid, cell, value) of the values inside each column's cells; fid is the column's position."""
+    base = df.select(*[clean_double(c).alias(f"x{i}") for i, c in enumerate(cells)])
+    many = [i for i, ks in enumerate(cells.values()) if len(ks) > 1]
+    if many:
+        edges = [[e for k in list(cells.values())[i] for e in (k.low, math.nextafter(k.high, math.inf))] for i in many]
+        base = Bucketizer(
+            inputCols=[f"x{i}" for i in many], outputCols=[f"b{i}" for i in many],
+            splitsArray=[[-math.inf, *e, math.inf] for e in edges], handleInvalid="keep",
+        ).transform(base)
+    parts = []
+    for i, ks in enumerate(cells.values()):
+        # edges alternate start, end: odd bins are inside
+        if len(ks) > 1:
+            at = f"CASE WHEN b{i} % 2 = 1 THEN CAST((b{i} - 1) / 2 AS INT) END"
+        else:
+            at = f"CASE WHEN x{i} >= {ks[0].low!r}D AND x{i} <= {ks[0].high!r}D THEN 0 END"
+        parts.append(f"{i}, {at}, x{i}")
+    return base.select(F.expr(f"stack({len(parts)}, {', '.join(parts)}) AS (fid, cell, value)")).where("cell IS NOT NULL")
+
+
+def _doubles(values: Sequence[float]) -> str:
+    return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+
+
+def _subdivide(df: DataFrame, cells: Mapping[str, list[_Cell]], resolution: int) -> dict[str, list[_Cell]]:
+    """Each cell cut into equal widths: the non-empty parts with count, min and max, from one scan."""
+    ks = list(cells.values())
+    per = [max(8, resolution // len(k)) for k in ks]
+    # flat lists over (column, cell): where it starts and how wide a part is
+    start = [0]
+    for k in ks:
+        start.append(start[-1] + len(k))
+    lows = [c.low for k in ks for c in k]
+    widths = [(c.high / n - c.low / n) or (c.high - c.low) or 1.0 for k, n in zip(ks, per) for c in k]
+    flat = f"element_at(array({', '.join(map(str, start))}), fid + 1) + cell + 1"
+    long = _inside(df, cells).withColumn("k", F.expr(flat))
+    part = f"CAST(least(floor((value - element_at({_doubles(lows)}, k)) / element_at({_doubles(widths)}, k)), element_at(array({', '.join(map(str, per))}), fid + 1) - 1) AS INT)"
+    rows = (
+        long.groupBy("fid", "cell", F.expr(part).alias("part"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    )
+    names = list(cells)
+    out: dict[str, list[_Cell]] = {c: [] for c in cells}
+    below: dict[tuple[int, int], int] = {}
+    for r in sorted(rows, key=lambda r: (r["fid"], r["cell"], r["part"])):
+        c = names[r["fid"]]
+        at = below.setdefault((r["fid"], r["cell"]), cells[c][r["cell"]].below)
+        out[c].append(_Cell(r["low"], r["high"], at, r["n"], []))
+        below[(r["fid"], r["cell"])] += r["n"]
+    return out
 
 
 def select_ranks(
     df: DataFrame,
     ranks: Mapping[str, Sequence[int] | Callable[[int], Sequence[int]]],
     bounds: Mapping[str, tuple[float, float]] | None = None,
-    resolution: int = 2000,
+    resolution: int | None = None,
     finish_rows: int = FINISH_ROWS,
 ) -> dict[str, dict[int, Element]]:
     """0-based rank -> element per column. Ranks may be a function of the column's row count;
     known ``bounds`` of the values save the scan that looks for them."""
+    resolution = resolution or max(1000, CELLS // max(1, len(ranks)))
     bounds = dict(bounds or {})
     spans = column_ranges(df, [c for c in ranks if c not in bounds])
     bounds.update({c: (lo, hi) for c, (n, lo, hi) in spans.items() if n})
     found: dict[str, dict[int, Element]] = {c: {} for c in ranks}
-    cuts = {c: _refined(lo, hi, resolution) for c, (lo, hi) in bounds.items() if c in ranks}
+    still = {c: [_Cell(float(lo), float(hi), 0, 0, [])] for c, (lo, hi) in bounds.items() if c in ranks}
     wanted: dict[str, list[int]] = {}
-    while cuts:
-        cells: dict[str, list] = {c: [] for c in cuts}
-        for r in histogram(df, cuts).select("feature", "bin", "n", "vmin", "vmax").collect():
-            cells[r["feature"]].append((r["bin"], r["n"], r["vmin"], r["vmax"]))
-        still: dict[str, list[_Cell]] = {}
-        for c, counted in cells.items():
+    while still:
+        nxt: dict[str, list[_Cell]] = {}
+        for c, cells in _subdivide(df, still, resolution).items():
             if c not in wanted:
-                n = sum(k[1] for k in counted)
+                n = sum(k.n for k in cells)
                 asked = ranks[c](n) if callable(ranks[c]) else ranks[c]
                 wanted[c] = sorted({r for r in asked if 0 <= r < n})
-            todo, below = [r for r in wanted[c] if r not in found[c]], 0
-            for _, n, low, high in sorted(counted):
-                inside = [r for r in todo if below <= r < below + n]
-                if inside and low == high:
-                    found[c].update(dict.fromkeys(inside, Element(low, below, n)))
+            todo = [r for r in wanted[c] if r not in found[c]]
+            left = []
+            for k in cells:
+                inside = [r for r in todo if k.below <= r < k.below + k.n]
+                if inside and k.low == k.high:
+                    found[c].update(dict.fromkeys(inside, Element(k.low, k.below, k.n)))
                 elif inside:
-                    still.setdefault(c, []).append(_Cell(low, high, below, n, inside))
-                below += n
+                    left.append(k._replace(ranks=inside))
+            if left:
+                nxt[c] = _disjoint(left)
+        still = nxt
         if sum(k.n for ks in still.values() for k in ks) <= finish_rows:
             _finish(df, still, found)
             break
-        cuts = {
-            c: sorted({p for k in ks for p in _refined(k.low, k.high, max(8, resolution // len(ks)))}) for c, ks in still.items()
-        }
     return found
 
 
@@ -110,33 +169,15 @@ def _finish(df: DataFrame, still: Mapping[str, list[_Cell]], found: dict[str, di
     """Value counts of the open cells settle the remaining ranks."""
     if not still:
         return
-    cuts = {}
-    for c, cells in still.items():
-        edges: list[float] = []
-        for k in cells:
-            if edges and edges[-1] == k.low:
-                edges.pop()  # neighbours become one range
-            else:
-                edges.append(k.low)
-            edges.append(math.nextafter(k.high, math.inf))
-        cuts[c] = edges
-    # edges alternate start, end: odd bins are inside
-    rows = (
-        binned_long(df, cuts).where(F.col("bin") % 2 == 1).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).collect()
-    )
-    values: dict[str, list[tuple[float, int]]] = {c: [] for c in still}
-    for r in rows:
-        values[r["feature"]].append((r["value"], r["n"]))
-    for c, cells in still.items():
-        counted = sorted(values[c])
-        i = 0
-        for k in sorted(cells):
-            below = k.below
-            while i < len(counted) and counted[i][0] <= k.high:
-                v, n = counted[i]
-                found[c].update({r: Element(v, below, n) for r in k.ranks if below <= r < below + n})
-                below += n
-                i += 1
+    names = list(still)
+    rows = _inside(df, still).groupBy("fid", "cell", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+    below: dict[tuple[int, int], int] = {}
+    for r in sorted(rows, key=lambda r: (r["fid"], r["cell"], r["value"])):
+        c = names[r["fid"]]
+        k = still[c][r["cell"]]
+        at = below.setdefault((r["fid"], r["cell"]), k.below)
+        found[c].update({q: Element(r["value"], at, r["n"]) for q in k.ranks if at <= q < at + r["n"]})
+        below[(r["fid"], r["cell"])] += r["n"]
 
 
 def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]], **options) -> dict[str, dict[int, float]]:

@@ -129,9 +129,8 @@ def score_statistics(df: DataFrame, score: str, split: str, values: Sequence[str
     base = df.groupBy(split).agg(
         F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")
     )
-    rows = []
-    for v in values:
-        q = quantiles(df.where(F.col(split) == v), [score], [0.25, 0.5, 0.75])[score]
-        rows.append((v, q[0], q[1], q[2]))
+    wide = df.select(*[F.when(F.col(split) == v, x).alias(f"s{i}") for i, v in enumerate(values)])
+    q = quantiles(wide, wide.columns, [0.25, 0.5, 0.75])
+    rows = [(v, *q[f"s{i}"]) for i, v in enumerate(values)]
     qs = df.sparkSession.createDataFrame(rows, f"{split} string, q25 double, median double, q75 double")
     return base.join(F.broadcast(qs), split)

@@ -24,15 +24,12 @@ def psi_label(psi: Column) -> Column:
 
 
 def hit_rates_by(df: DataFrame, rules: Sequence[str], split: str) -> DataFrame:
-    """(pos, rule, split, rate) in one scan: rows per split and hits per (split, rule)."""
+    """(pos, rule, split, rate) in one scan: hits per (split, rule), with position -1 counting all rows."""
     good = compiled(df, rules)
     listed = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(r).alias("rule")) for i, (r, _) in enumerate(good)])
-    sizes = df.groupBy(split).agg(F.count(F.lit(1)).alias("n"))
-    hits = (
-        df.select(split, F.explode(hit_list([h for _, h in good])).alias("pos")).groupBy(split, "pos")
-        .agg(F.count(F.lit(1)).alias("hit_n"))
-    )
-    grid = sizes.select(split, "n", F.inline(listed))
+    every = F.concat(F.array(F.lit(-1)), hit_list([h for _, h in good]))
+    hits = df.select(split, F.explode(every).alias("pos")).groupBy(split, "pos").agg(F.count(F.lit(1)).alias("hit_n"))
+    grid = hits.where("pos = -1").select(split, F.col("hit_n").alias("n"), F.inline(listed))
     return grid.join(hits, [split, "pos"], "left").select(
         "pos", "rule", split, ratio(F.coalesce(F.col("hit_n"), F.lit(0)), F.col("n")).alias("rate")
     )

@@ -58,9 +58,11 @@ def run(df: DataFrame, roles: Roles, params: ScorecardParams | None = None) -> S
     train = ready.where("split = 'train'")
     tables: dict[str, DataFrame] = {}
     cols = clean.feature_columns(ready, [*roles.non_features(), "split"])
-    quality = profile.quality_filter(train, cols, params.missing_limit, params.identical_limit).cache()
-    tables["quality"] = quality
-    feats = [r["variable"] for r in quality.where("reason = ''").orderBy("variable").collect()]
+    missing = {r["variable"]: r["missing_rate"] for r in profile.missing_report(train, cols).collect()}
+    same = profile.dominated_columns(train, cols, params.identical_limit)
+    quality = [(c, missing[c], same.get(c), "missing" if missing[c] >= params.missing_limit else "identical" if c in same else "") for c in cols]
+    tables["quality"] = df.sparkSession.createDataFrame(quality, "variable string, missing_rate double, mode_share double, reason string")
+    feats = sorted(c for c, _, _, reason in quality if not reason)
     feats = binning.usable_features(train, feats)
     bins = binning.fit_woe(train, roles.target, feats, params.max_bins, params.bin_method).cache()
     iv = binning.iv_table(bins).cache()

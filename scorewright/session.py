@@ -13,6 +13,9 @@ def get_session(app: str = "scorewright", master: str | None = None, shuffle_par
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # everything runs in the driver; takes effect when it is the first session
+            b = b.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return (

@@ -90,6 +90,14 @@ def test_target_check(spark):
             profile.check_target(spark.createDataFrame(bad, "y int"), "y")
 
 
+def test_dominated_columns(spark):
+    rows = [(1 if i % 50 else 7, "x" if i >= 4 else str(i), float(i), None) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b string, c double, d string")
+    assert profile.dominated_columns(df, ["a", "b", "c", "d"], 0.95) == {"a": 0.98, "b": 0.98}
+    q = {r["variable"]: r["reason"] for r in profile.quality_filter(df, ["a", "b", "c", "d"]).collect()}
+    assert q == {"a": "identical", "b": "identical", "c": "", "d": "missing"}
+
+
 def test_leakage(spark):
     df = spark.createDataFrame([(i % 4, i % 2, int(i % 4 == 0)) for i in range(100)], "a int, b int, y int")
     got = {r["feature"]: r["leaky"] for r in evaluate.leakage(df, ["a", "b"], "y").collect()}
