@@ -82,22 +82,39 @@ def threshold_rule_metrics(
     )
 
 
-def hit_list(hits: Sequence[Column]) -> Column:
-    """Positions (0-based, ascending) of the rules a row hits."""
-    return F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hits)]))
+# Rules whose conditions still compile into one method the JVM optimises.
+RULES_PER_SCAN = 16
+
+
+def hit_list(hits: Sequence[Column], first: int = 0) -> Column:
+    """Positions (ascending, from ``first``) of the rules a row hits."""
+    if len(hits) <= RULES_PER_SCAN:
+        return F.array_remove(F.array(*[F.when(h, F.lit(i)).otherwise(F.lit(-1)) for i, h in enumerate(hits, first)]), -1)
+    return F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hits, first)]))
+
+
+def exploded_hits(df: DataFrame, keep: Sequence[Column], hits: Sequence[Column]) -> DataFrame:
+    """One row (keep..., pos) per row and rule hit.
+
+    Long rule lists are cut into short ones over the same pruned scan: a hundred
+    conditions in one expression would run uncompiled, many times slower.
+    """
+    out = None
+    for a in range(0, max(len(hits), 1), RULES_PER_SCAN):
+        part = df.select(*keep, F.explode(hit_list(hits[a:a + RULES_PER_SCAN], a)).alias("pos"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def compound_rule_metrics(
     df: DataFrame, rules: Sequence[str], target: str, weight: str | None = None
 ) -> tuple[DataFrame, list[BadRule]]:
-    """Metrics of arbitrary rules: one scan, hit positions exploded and summed map-side."""
+    """Metrics of arbitrary rules: hit positions are exploded and summed map-side."""
     good, bad = compile_rules(rules, df.columns)
     total = totals(df, target, weight)
     names = [r for r, _ in good]
     w = weight_column(weight)
-    pos = df.select(
-        w.alias("w"), (F.col(target) == 1).alias("is_bad"), F.explode(hit_list([h for _, h in good])).alias("pos")
-    )
+    pos = exploded_hits(df, [w.alias("w"), (F.col(target) == 1).alias("is_bad")], [h for _, h in good])
     sums = pos.groupBy("pos").agg(
         F.count(F.lit(1)).alias("hit_n"), F.sum("w").alias("hit_w"),
         F.coalesce(F.sum(F.when(F.col("is_bad"), F.col("w"))), F.lit(0.0)).alias("bad_w"),

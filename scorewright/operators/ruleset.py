@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions.numeric import ratio, when_sum
 from scorewright.functions.rule_expr import any_of, compile_rules
-from scorewright.operators.evaluate import hit_list, totals, weight_column
+from scorewright.operators.evaluate import exploded_hits, hit_list, totals, weight_column
 
 
 def compiled(df: DataFrame, rules: Sequence[str]) -> list[tuple[str, Column]]:
@@ -88,10 +88,8 @@ def prior_increment(
     good = compiled(df, rules)
     total = totals(df, target, weight)
     prior_hit = any_of([h for _, h in compiled(df, prior)])
-    pos = df.select(
-        weight_column(weight).alias("w"), (F.col(target) == 1).alias("bad"), prior_hit.alias("in_prior"),
-        F.explode(hit_list([h for _, h in good])).alias("pos"),
-    )
+    keep = [weight_column(weight).alias("w"), (F.col(target) == 1).alias("bad"), prior_hit.alias("in_prior")]
+    pos = exploded_hits(df, keep, [h for _, h in good])
     bad, fresh = F.col("bad"), ~F.col("in_prior")
     sums = pos.groupBy("pos").agg(
         F.sum("w").alias("w"), when_sum(bad, F.col("w")).alias("bad_w"),
@@ -136,7 +134,7 @@ def rule_amounts(df: DataFrame, rules: Sequence[str], target: str, amount: str)
     t = df.agg(F.sum(amt).alias("a"), when_sum(bad, amt).alias("b")).first()
     total, total_bad = F.lit(t["a"] or 0.0), F.lit(t["b"] or 0.0)
     sums = (
-        df.select(amt.alias("amt"), bad.alias("bad"), F.explode(hit_list([h for _, h in good])).alias("pos"))
+        exploded_hits(df, [amt.alias("amt"), bad.alias("bad")], [h for _, h in good])
         .groupBy("pos")
         .agg(F.count(F.lit(1)).alias("hit_n"), F.sum("amt").alias("hit_amount"),
              when_sum(F.col("bad"), F.col("amt")).alias("bad_amount"))

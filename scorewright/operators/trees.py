@@ -105,8 +105,9 @@ def combination_cubes(
 ) -> DataFrame:
     """(combo, cell) -> n, w, bad_w for every variable combination in one job.
 
-    When the joint binned table is small enough, rows collapse to it before they
-    are multiplied by the number of combinations.
+    A cell is one number, its bins written in base ``radix(cuts)``. When the joint
+    binned table has far fewer cells than rows, rows collapse to it before they are
+    multiplied by the number of combinations.
     """
     feats = list(cuts)
     wide = binned_wide(df, cuts, target, weight)
@@ -116,19 +117,23 @@ def combination_cubes(
     keys = [f"b{i}" for i in range(len(feats))]
     measures = [F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("bad_w").alias("bad_w")]
     rows = wide.select(*keys, F.lit(1).alias("n"), "w", F.when(F.col("bad"), F.col("w")).otherwise(F.lit(0.0)).alias("bad_w"))
-    if size <= CUBE_CELLS:
+    if size <= CUBE_CELLS and size * 10 <= df.count():
         rows = rows.groupBy(*keys).agg(*measures)
     pos = {f: i for i, f in enumerate(feats)}
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("combo"), F.array(*[F.col(f"b{pos[f]}") for f in s]).alias("cell"))
-        for c, s in enumerate(sets)
-    ])
-    long = rows.select("n", "w", "bad_w", F.inline(cells))
-    whole = long.where(~F.exists("cell", lambda b: b.isNull()))
-    return whole.groupBy("combo", "cell").agg(*measures)
+    base = radix(cuts)
+    cells = [f"{c}, " + " + ".join(f"{base ** j}L * b{pos[f]}" for j, f in enumerate(s)) for c, s in enumerate(sets)]
+    long = rows.select("n", "w", "bad_w", F.expr(f"stack({len(cells)}, {', '.join(cells)}) AS (combo, cell)"))
+    # a missing value makes the whole number missing
+    return long.where("cell IS NOT NULL").groupBy("combo", "cell").agg(*measures)
+
+
+def radix(cuts: dict[str, list[float]]) -> int:
+    return max((len(c) for c in cuts.values()), default=0) + 1
 
 
 def _cube_tree(sets, edges, max_depth: int, min_leaf_share: float):
+    base = radix(edges)
+
     def best(cells: np.ndarray, n: np.ndarray, w: np.ndarray, b: np.ndarray, min_n: float):
         top = (1e-9, -1, -1)
         for v in range(cells.shape[1]):
@@ -150,7 +155,8 @@ def _cube_tree(sets, edges, max_depth: int, min_leaf_share: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sets[int(pdf["combo"].iloc[0])]
-        cells = np.array(pdf["cell"].tolist(), dtype=int)
+        code = pdf["cell"].to_numpy(dtype=np.int64)
+        cells = np.column_stack([code // base**j % base for j in range(len(names))])
         n, w, b = (pdf[c].to_numpy(float) for c in ("n", "w", "bad_w"))
         min_n = max(1, int(n.sum() * min_leaf_share))
         rules: list[str] = []

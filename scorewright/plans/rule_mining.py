@@ -98,6 +98,25 @@ def generate(df: DataFrame, feats: Sequence[str], roles: Roles, params: RuleMini
     return out.dropDuplicates(["rule"])
 
 
+def measure(df: DataFrame, candidates: DataFrame, roles: Roles) -> DataFrame:
+    """Metrics of all candidates: threshold rules from one histogram, the rest from their hits."""
+    cuts: dict[str, list[float]] = {}
+    single, other = [], []
+    for r in candidates.orderBy("rule").collect():
+        if r["direction"] in ("<=", ">"):
+            single.append(r["rule"])
+            cuts.setdefault(r["used_var"], []).append(r["threshold"])
+        else:
+            other.append(r["rule"])
+    cols = ["rule", "hit_n", "hit_w", "bad_w", "recall", "bad_rate", "lift", "hit_rate"]
+    out = evaluate.compound_rule_metrics(df, other, roles.target, roles.weight)[0].select(*cols)
+    if single:
+        listed = df.sparkSession.createDataFrame([(r,) for r in single], "rule string")
+        both = evaluate.threshold_rule_metrics(df, cuts, roles.target, roles.weight).select(*cols)
+        out = out.unionByName(both.join(F.broadcast(listed), "rule", "left_semi"))
+    return out
+
+
 def run(df: DataFrame, roles: Roles, params: RuleMiningParams | None = None) -> RuleMiningResult:
     params = params or RuleMiningParams()
     res = RuleMiningResult()
@@ -119,9 +138,8 @@ def run(df: DataFrame, roles: Roles, params: RuleMiningParams | None = None) ->
     directions = trees.rule_directions(dev, res.features, roles.target, roles.weight).cache()
     t["directions"] = directions
     directed = evaluate.filter_multi_rules(evaluate.filter_by_direction(generated, directions), directions)
-    texts = [r["rule"] for r in directed.select("rule").orderBy("rule").collect()]
-    metrics = evaluate.compound_rule_metrics(dev, texts, roles.target, roles.weight)[0].cache()
-    t["rule_metrics"] = generated.join(metrics.drop("pos"), "rule")
+    metrics = measure(dev, directed, roles).cache()
+    t["rule_metrics"] = generated.join(metrics, "rule")
     t["rule_status"] = evaluate.rule_funnel(generated, directed, metrics, params.max_hit_rate, params.min_lift)
     good = evaluate.filter_by_metrics(metrics, params.max_hit_rate, params.min_lift)
     kept = [r["rule"] for r in good.orderBy("rule").collect()]

@@ -270,9 +270,9 @@ def test_combination_trees(planted):
     # the joint table is skipped when it could be large; the cubes stay the same
     cuts = {"a": [20.0, 60.0], "b": [3.0], "c": [0.5]}
     sets = trees.combos(["a", "b", "c"], 2)
-    one = {(r["combo"], tuple(r["cell"])): r["n"] for r in trees.combination_cubes(planted, cuts, sets, "y").collect()}
+    one = {(r["combo"], r["cell"]): r["n"] for r in trees.combination_cubes(planted, cuts, sets, "y").collect()}
     trees_cells, trees.CUBE_CELLS = trees.CUBE_CELLS, 0
-    two = {(r["combo"], tuple(r["cell"])): r["n"] for r in trees.combination_cubes(planted, cuts, sets, "y").collect()}
+    two = {(r["combo"], r["cell"]): r["n"] for r in trees.combination_cubes(planted, cuts, sets, "y").collect()}
     trees.CUBE_CELLS = trees_cells
     assert one == two and sum(v for (c, _), v in one.items() if c == 0) == 4000
 
