@@ -169,7 +169,8 @@ def dominated_columns(df: DataFrame, cols: Sequence[str], limit: float = 0.95) -
         raise ValueError("limit must be over one half")
     out: dict[str, float] = {}
     for chunk in _chunks(cols):
-        h = {c: F.when(~is_missing(df, c), F.xxhash64(F.col(f"`{c}`"))) for c in chunk}
+        # 52 bits, since the sketch works on doubles
+        h = {c: F.when(~is_missing(df, c), F.shiftrightunsigned(F.xxhash64(F.col(f"`{c}`")), 12)) for c in chunk}
         mid = df.agg(*[F.percentile_approx(h[c], 0.5, 1000).alias(f"m{i}") for i, c in enumerate(chunk)]).first()
         aggs = []
         for i, c in enumerate(chunk):
