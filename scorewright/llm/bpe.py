@@ -14,7 +14,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,15 @@ from pyspark.sql import functions as F
 #: Bytes the rolling hash sees, and mean bytes of a chunk.
 ROLL_BYTES = 16
 CHUNK_BYTES = 256
-#: Entries kept per Python worker; a full table starts afresh, which costs time and changes nothing else.
-KEPT_UNITS = 300_000
+#: Entries kept per Python worker; what a full table drops is encoded again when met.
+KEPT_UNITS = 800_000
 KEPT_CHUNKS = 40_000
 #: Longer units are encoded but not kept.
 UNIT_BYTES = 64
 ENCODE_AT_ONCE = 4096
+ROWS_AT_ONCE = 500
 
 _SAFE = re.compile(rb"(?<=[!-~])(?= )")
-_SAFE_TAIL = re.compile(rb".*[!-~](?= )", re.S)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -54,27 +56,27 @@ class Units:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Makes every piece known; returns those that are too long to keep."""
+        """Makes every piece known; returns those that are not kept, being too long or too many."""
         known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if not new:
-            return {}
+        new = [p for p in set(pieces) if p not in known]
         if len(known) + len(new) > KEPT_UNITS:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
+            # the pieces met first are the most frequent ones
+            self.known = known = dict(islice(known.items(), KEPT_UNITS // 2))
+            new = [p for p in set(pieces) if p not in known]
         once = {}
         for i in range(0, len(new), ENCODE_AT_ONCE):
             part = new[i : i + ENCODE_AT_ONCE]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                (known if len(piece) <= UNIT_BYTES else once)[piece] = np.array(e.ids, "<u4").tobytes()
+                (known if len(piece) <= UNIT_BYTES and len(known) < KEPT_UNITS else once)[piece] = array("I", e.ids).tobytes()
         return once
 
-    def ids(self, pieces: list[bytes]) -> bytes:
-        once = self.learn(pieces)
+    def all_ids(self, lists: list[list[bytes]]) -> list[bytes]:
+        """Ids of each list's pieces. New pieces of all lists are encoded in one call: a call costs as much as many pieces."""
+        once = self.learn([p for pieces in lists for p in pieces])
         known = self.known
         if once:
-            return b"".join([known[p] if p in known else once[p] for p in pieces])
-        return b"".join(map(known.__getitem__, pieces))
+            return [b"".join([known[p] if p in known else once[p] for p in pieces]) for pieces in lists]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
 
 
 class Chunks:
@@ -103,46 +105,51 @@ class Chunks:
         hit &= (b[ROLL_BYTES:] & 0xC0) != 0x80
         return (np.flatnonzero(hit) + ROLL_BYTES).tolist()
 
-    def encode(self, data: bytes) -> bytes:
-        at = [0, *self.cuts(data), len(data)]
-        chunks = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-        if len(self.known) + len(chunks) > KEPT_CHUNKS:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        cut = [[t[a:b] for a, b in zip(at, at[1:], strict=False)] for t in texts for at in [[0, *self.cuts(t), len(t)]]]
+        if len(self.known) + sum(map(len, cut)) > KEPT_CHUNKS:
             self.known.clear()
-        fresh: dict[bytes, tuple[bytes, list[bytes], bytes] | None] = {}
-        for c in chunks:
-            if c not in self.known and c not in fresh:
-                pieces = _SAFE.split(c)
-                # what lies outside the first and last safe point waits for its neighbours
-                fresh[c] = (pieces[0], pieces[1:-1], pieces[-1]) if len(pieces) > 1 else None
-        self.units.learn([p for x in fresh.values() if x for p in x[1]])
-        for c, x in fresh.items():
-            self.known[c] = x and (x[0], self.units.ids(x[1]), x[2])
-        out: list[bytes] = []
-        joins: list[bytes] = []
-        window = b""
-        for c in chunks:
-            x = self.known[c]
-            if x is None:
-                window += c  # no safe point: the window widens through the chunk
-                continue
-            joins.append(window + x[0])
-            out.append(x[1])
-            window = x[2]
-        joins.append(window)
-        # at a join a safe point can appear that neither chunk shows alone; the window is then two pieces or more
-        split = [_SAFE.split(j) if j else [] for j in joins]
-        self.units.learn([p for s in split for p in s])
-        ids = [self.units.ids(s) for s in split]
-        return b"".join(x for pair in zip(ids, [*out, b""], strict=True) for x in pair)
+        fresh: dict[bytes, list[bytes]] = {c: [] for chunks in cut for c in chunks if c not in self.known}
+        for c in fresh:
+            fresh[c] = _SAFE.split(c)
+        # what lies outside a chunk's first and last safe point waits for its neighbours
+        inner = self.units.all_ids([pieces[1:-1] for pieces in fresh.values()])
+        for (c, pieces), ids in zip(fresh.items(), inner, strict=True):
+            self.known[c] = (pieces[0], ids, pieces[-1]) if len(pieces) > 1 else None
+        inside: list[list[bytes]] = []
+        joins: list[list[bytes]] = []
+        for chunks in cut:
+            inside.append([])
+            window = b""
+            for c in chunks:
+                x = self.known[c]
+                if x is None:
+                    window += c  # no safe point: the window widens through the chunk
+                    continue
+                # at a join a safe point can appear that neither chunk shows alone; the window then is several pieces
+                joins.append(_SAFE.split(window + x[0]))
+                inside[-1].append(x[1])
+                window = x[2]
+            joins.append(_SAFE.split(window))
+        mended = iter(self.units.all_ids(joins))
+        return [b"".join([b"".join([next(mended), ids]) for ids in parts]) + next(mended) for parts in inside]
+
+
+_UNITS: dict[str, Units] = {}
+_ENCODERS: dict[tuple[str, int], Chunks] = {}
 
 
-_ENCODERS: dict[tuple[str, int], Chunks] = {}
+def units(path: str) -> Units:
+    """The worker's known pieces; workers serve many tasks."""
+    if path not in _UNITS:
+        _UNITS[path] = Units(path)
+    return _UNITS[path]
 
 
 def encoder(path: str, mean_bytes: int = CHUNK_BYTES) -> Chunks:
-    """The worker's encoder; workers serve many tasks, so chunks are shared across them."""
+    """The worker's encoder; its chunks are shared across tasks."""
     if (path, mean_bytes) not in _ENCODERS:
-        _ENCODERS[path, mean_bytes] = Chunks(Units(path), mean_bytes)
+        _ENCODERS[path, mean_bytes] = Chunks(units(path), mean_bytes)
     return _ENCODERS[path, mean_bytes]
 
 
@@ -166,17 +173,17 @@ def pieces_of_bytes(path: str) -> list[bytes]:
     return out
 
 
-def _mapped(df: DataFrame, source: str, fn: Callable[[], Callable[[object], object]], to: str, kind: pa.DataType, sql_kind: str) -> DataFrame:
-    """``df`` with column ``to`` = fn()(source), Arrow batch by Arrow batch; fn() runs in the worker."""
+def _mapped(df: DataFrame, source: str, fn: Callable[[], Callable[[list], list]], to: str, kind: pa.DataType, sql_kind: str) -> DataFrame:
+    """``df`` with column ``to`` = fn()(source), a list of rows at a time; fn() runs in the worker."""
     kept = [c for c in df.columns if c != to]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != to], f"`{to}` {sql_kind}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = fn()
+        whole = fn()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                values = pa.array([one(x) for x in part.column(source).to_pylist()], kind)
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
+                values = pa.array(whole(part.column(source).to_pylist()), kind)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], values], [*kept, to])
 
     return df.mapInArrow(run, schema)
@@ -191,7 +198,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
 
     def fn():
         chunks = encoder(vocabulary, mean_bytes)
-        return lambda t: chunks.encode(t.encode()) if t else b""
+        return lambda texts: chunks.encode([(t or "").encode() for t in texts])
 
     return _mapped(docs, text, fn, ids, pa.binary(), "binary")
 
@@ -201,7 +208,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "d
 
     def fn():
         table = pieces_of_bytes(vocabulary)
-        return lambda b: b"".join(map(table.__getitem__, np.frombuffer(b, "<u4").tolist())).decode("utf-8", "replace") if b else ""
+        return lambda rows: [b"".join(map(table.__getitem__, np.frombuffer(b or b"", "<u4").tolist())).decode("utf-8", "replace") for b in rows]
 
     return _mapped(encoded, ids, fn, text, pa.string(), "string")
 

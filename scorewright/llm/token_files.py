@@ -10,6 +10,7 @@ All numbers are little-endian. The footer has the places of the parts; readers s
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from uuid import uuid4
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.bpe import Units, load
+from scorewright.llm.bpe import ROWS_AT_ONCE, load, units
 from scorewright.llm.common import staged, text_key
 
 MAGIC = b"SWTOKEN1"
@@ -32,6 +33,9 @@ DOCS = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("start", "<u8")])
 #: Documents a reader returns at once, at most; fewer when they are long.
 READ_IDS = 1_000_000
 
+#: A full stop or comma at a word's end after an ASCII letter or digit: a token boundary whatever stands around.
+_STOP = re.compile(rb"[.,](?<=[A-Za-z0-9].)(?=[ \n]|$)")
+
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -53,6 +57,11 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return out
 
 
+def units_of(text: str | None) -> list[bytes]:
+    """Pieces that tokenize independently under a vocabulary that drops white space: words, and stops behind them."""
+    return _STOP.sub(rb" \g<0>", (text or "").encode()).split()
+
+
 class Writer:
     """One file; it appears under its name only when complete, so a repeated or second attempt does no harm."""
 
@@ -123,24 +132,24 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, block_
 
     Each document's ids are followed by ``end_id``. Returns the manifest (shard, path, n_docs, n_ids), written beside the
     files. Null and empty texts are the end id alone; rows with one doc_id lie in order of a hash of their text; an empty
-    table writes no file. Words between white space tokenize independently under this kind of vocabulary, so known words
-    are looked up.
+    table writes no file. The vocabulary must drop white space between tokens; known words are then looked up.
     """
     bits = width(max(load(vocabulary).get_vocab_size(with_added_tokens=True), end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        units = Units(vocabulary)
+        known = units(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         out = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
+                ids = known.all_ids([units_of(t) for t in part.column(1).to_pylist()])
+                for doc_id, own in zip(part.column(0).to_pylist(), ids, strict=True):
                     if out is None:
                         path = f"{folder}/shard-{shard:06d}.ids"
                         out = Writer(path, bits, block_ids)
-                    out.add(doc_id, np.frombuffer(units.ids((text or "").encode().split()) + end, "<u4"))
+                    out.add(doc_id, np.frombuffer(own + end, "<u4"))
         if out is not None:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})

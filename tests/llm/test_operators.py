@@ -221,9 +221,16 @@ def test_bpe_chunks_agree_with_the_library(texts, shared):
     tok = bpe.load(BYTE)
     for size in (4, 16, 64):
         chunks = bpe.encoder(BYTE, size)
-        for t in texts:
-            for x in (t, t + shared * 3, shared * 3 + t):
-                assert np.frombuffer(chunks.encode(x.encode()), "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids
+        all_ = [x for t in texts for x in (t, t + shared * 3, shared * 3 + t)]
+        for x, ids in zip(all_, chunks.encode([x.encode() for x in all_]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids
+
+
+@given(CHARS)
+@settings(max_examples=150, deadline=None)
+def test_words_tokenize_independently(text):
+    units = bpe.Units(WORDS)
+    assert np.frombuffer(units.all_ids([token_files.units_of(text)])[0], "<u4").tolist() == units.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @given(st.lists(st.integers(0, 50256), max_size=60))
