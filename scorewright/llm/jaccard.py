@@ -31,7 +31,7 @@ SKETCH_BITS = 18
 #: Representatives a list links through in each round.
 REPRESENTATIVES = 16
 #: Pairs may be formed once they are at most so many times the entries of the lists.
-PAIRS_PER_ENTRY = 2
+PAIRS_PER_ENTRY = 16
 MAX_ROUNDS = 6
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -99,9 +99,10 @@ def _prefix(s: np.ndarray, ranks: np.ndarray, order: int, similarity: tuple[int,
     return s.view(np.int64)
 
 
-def _described(docs: DataFrame, ranks: np.ndarray, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """(doc_id, key, n, node, prefix): set size, a 128-bit name of the set, and its prefix under the first order."""
+def _described(docs: DataFrame, ranks: np.ndarray, words: int, similarity: tuple[int, int], orders: int) -> DataFrame:
+    """(doc_id, key, n, node, p0, p1, ...): set size, a 128-bit name of the set, and its prefix under each order."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    prefixes = [f"p{o}" for o in range(orders)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,46 +113,41 @@ def _described(docs: DataFrame, ranks: np.ndarray, words: int, similarity: tuple
                     [
                         part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([_prefix(s, shared.value, 0, similarity) for s in sets], pa.list_(pa.int64())),
+                        *[pa.array([_prefix(s, shared.value, o, similarity) for s in sets], pa.list_(pa.int64())) for o in range(orders)],
                     ],
-                    ["doc_id", "key", "n", "node", "prefix"],
+                    ["doc_id", "key", "n", "node", *prefixes],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, n long, node binary, prefix array<long>")
+    return rows.mapInArrow(run, ", ".join(["doc_id long, key long, n long, node binary", *[f"{p} array<long>" for p in prefixes]]))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, words: int, similarity: tuple[int, int], orders: int) -> DataFrame:
-    """(node, tokens, p1, ...) of the wanted (key, node), from the texts: whole sets and prefixes under the further orders."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    names = [f"p{o}" for o in range(1, orders)]
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, tokens) of the wanted (key, node), from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 sets = [shingles(t, words) for t in batch.column("text").slice(i, 1000).to_pylist()]
-                lists = [[s.view(np.int64) for s in sets], *[[_prefix(s, shared.value, o, similarity) for s in sets] for o in range(1, orders)]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *[pa.array(x, pa.list_(pa.int64())) for x in lists]],
-                    ["node", "tokens", *names],
-                )
+                names = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "tokens"])
 
     keyed = docs.select("text", text_key(F.col("text")).alias("key"))
     rows = keyed.join(small_side(wanted.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-    found = rows.select("text").mapInArrow(run, ", ".join(["node binary", "tokens array<long>", *[f"{n} array<long>" for n in names]]))
-    return found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("tokens", *names)])
+    found = rows.select("text").mapInArrow(run, "node binary, tokens array<long>")
+    return found.groupBy("node").agg(F.any_value("tokens").alias("tokens"))
 
 
 def _long_enough(a: Column, b: Column, similarity: tuple[int, int]) -> Column:
     return F.least(a, b) * similarity[1] >= F.greatest(a, b) * similarity[0]
 
 
-def _filtered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _filtered(pairs: DataFrame, nodes: DataFrame, orders: int) -> DataFrame:
     """Pairs (a, b) that share prefix tokens under every further order."""
-    others = [c for c in sets.columns if c.startswith("p")]
+    others = [f"p{o}" for o in range(1, orders)]
     if not others:
         return pairs
-    side = lambda x: sets.select(F.col("node").alias(x), *[F.col(p).alias(f"{x}_{p}") for p in others])
+    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(p).alias(f"{x}_{p}") for p in others])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     for p in others:
         both = both.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
@@ -178,16 +174,15 @@ def near_duplicates(
     An empty table gives an empty one. ``similarity`` is a fraction of whole numbers, so the comparison is exact.
     """
     ranks = _ranks(_sketch(docs, words))
-    described = staged(_described(docs, ranks, words, similarity), "jaccard")
-    nodes = described.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.min("key").alias("key"), F.any_value("prefix").alias("prefix"))
+    described = staged(_described(docs, ranks, words, similarity, orders), "jaccard")
+    prefixes = [f"p{o}" for o in range(orders)]
+    nodes = described.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.min("key").alias("key"), *[F.any_value(p).alias(p) for p in prefixes])
     nodes = staged(nodes, "jaccard")
-    entries = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    entries = nodes.select("node", "n", F.explode("p0").alias("token"))
     # only lists with two nodes or more are kept
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     lists = staged(entries.join(shared, "token"), "jaccard")
-    wanted = staged(nodes.select("node", "key").join(lists.select("node").distinct(), "node", "left_semi"), "jaccard")
-    sets = staged(_sets(docs, wanted, ranks, words, similarity, orders), "jaccard")
-    links = _linked(lists, sets, similarity, representatives, pairs_per_entry)
+    links = _linked(docs, words, lists, nodes, similarity, orders, representatives, pairs_per_entry)
 
     labels = components(links).select("node", "component") if links is not None else None
     named = described.select("doc_id", "key", "n", "node")
@@ -202,7 +197,7 @@ def near_duplicates(
 
 
 def _linked(
-    lists: DataFrame, sets: DataFrame, similarity: tuple[int, int], representatives: int, pairs_per_entry: float
+    docs: DataFrame, words: int, lists: DataFrame, nodes: DataFrame, similarity: tuple[int, int], orders: int, representatives: int, pairs_per_entry: float
 ) -> DataFrame | None:
     """Verified links whose components are those of all links."""
     links: DataFrame | None = None
@@ -229,7 +224,10 @@ def _linked(
             heads = heads.select("token", F.col("head.node").alias("to"), F.col("head.n").alias("to_n"), F.col("head.component").alias("to_component"))
             pairs = current.join(heads, "token").where((F.col("component") != F.col("to_component")) & _long_enough(F.col("n"), F.col("to_n"), similarity))
             pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
-        found = staged(_verified(staged(_filtered(pairs.distinct(), sets), "jaccard"), sets, similarity), "jaccard")
+        pairs = staged(_filtered(pairs.distinct(), nodes, orders), "jaccard")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = staged(_sets(docs, staged(nodes.select("node", "key").join(ends, "node", "left_semi"), "jaccard"), words), "jaccard")
+        found = staged(_verified(pairs, sets, similarity), "jaccard")
         links = found if links is None else links.unionByName(found)
         if last:
             return links
