@@ -1,6 +1,7 @@
 """Near-duplicate texts by a Jaccard join on word shingles with prefix filters under several token orders.
 
-Two sets with similarity t share one of the first n - ceil(t * n) + 1 tokens of each, whatever the order of tokens.
+Two sets with similarity t share one of the first n - ceil(t * n) + 1 tokens of each, whatever the order of tokens, and
+k of the first n - ceil(t * n) + k.
 Every order here puts tokens of crowded sketch cells last (cells are counted over the whole corpus) and breaks ties by
 its own hash, so its prefixes hold rare tokens and differ from the other orders' prefixes. A candidate shares prefix
 tokens under all of the orders; only those are verified on whole sets.
@@ -26,6 +27,8 @@ SIMILARITY = (9, 10)
 SHINGLE_WORDS = 3
 #: Orders that share the counts and differ in hashes: the first one finds candidates, the others filter them.
 ORDERS = 3
+#: Tokens that two sets must share in their prefixes under the first order; the prefixes grow by as many, less one.
+SHARED = 4
 #: Cells of the count sketch, as a power of 2: its size is fixed, and so is what goes to driver and tasks.
 SKETCH_BITS = 18
 #: Representatives a list links through in each round.
@@ -61,9 +64,10 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def prefix_length(n: np.ndarray | int, similarity: tuple[int, int]) -> int:
-    """Tokens of a set of n among which a similar set must share one: n - ceil(t * n) + 1."""
-    return n - -(-n * similarity[0] // similarity[1]) + 1
+def prefix_length(n: int, similarity: tuple[int, int], shared: int = 1) -> int:
+    """Tokens of a set of n among which a similar set must share ``shared``, or all its least overlap if that is smaller."""
+    overlap = -(-n * similarity[0] // similarity[1])
+    return n - overlap + min(shared, overlap)
 
 
 def _sketch(docs: DataFrame, words: int) -> np.ndarray:
@@ -90,9 +94,9 @@ def _ranks(sketch: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(2 * np.log2(np.maximum(sketch, 1) / mean))).astype(np.uint8)
 
 
-def _prefix(s: np.ndarray, ranks: np.ndarray, order: int, similarity: tuple[int, int]) -> np.ndarray:
+def _prefix(s: np.ndarray, ranks: np.ndarray, order: int, similarity: tuple[int, int], shared: int = 1) -> np.ndarray:
     """The tokens of ``s`` that come first under the order, as signed numbers."""
-    k = prefix_length(len(s), similarity) if len(s) else 0
+    k = prefix_length(len(s), similarity, shared) if len(s) else 0
     if k < len(s):
         of = ranks[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
         s = s[np.argpartition(of | (mixed(s, 100 + order) >> np.uint64(8)), k - 1)[:k]]
@@ -113,7 +117,7 @@ def _described(docs: DataFrame, ranks: np.ndarray, words: int, similarity: tuple
                     [
                         part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        *[pa.array([_prefix(s, shared.value, o, similarity) for s in sets], pa.list_(pa.int64())) for o in range(orders)],
+                        *[pa.array([_prefix(s, shared.value, o, similarity, 1 if o else SHARED) for s in sets], pa.list_(pa.int64())) for o in range(orders)],
                     ],
                     ["doc_id", "key", "n", "node", *prefixes],
                 )
@@ -237,11 +241,14 @@ def _linked(
 
 
 def _pairs(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """All pairs of a list in different components; at least one of each lies outside the list's largest component, so
-    the rows joined are those few against the list."""
+    """Pairs in different components that share as many prefix tokens as they must. In each list at least one of a pair
+    lies outside the list's largest component, so the rows joined are those few against the list."""
     few = lists.where(F.col("component") != F.col("main")).select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"))
-    met = lists.join(few, "token").where((F.col("component") != F.col("x_c")) & _long_enough(F.col("n"), F.col("x_n"), similarity))
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("x"))
+    met = lists.join(few, "token").where((F.col("component") != F.col("x_c")) & once & _long_enough(F.col("n"), F.col("x_n"), similarity))
+    overlap = F.ceil(F.least("n", "x_n") * similarity[0] / similarity[1])
+    met = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), F.least(F.lit(SHARED), overlap).alias("least"))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.any_value("least").alias("least")).where("m >= least").select("a", "b")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -155,8 +155,9 @@ def test_prefixes_of_similar_sets_meet_under_every_order():
         b = np.unique(np.append(a[rng.random(len(a)) > 0.1], rng.integers(0, 2**63, int(rng.integers(0, 3)), dtype=np.uint64)))
         common = len(np.intersect1d(a, b))
         if len(b) and 10 * common >= 9 * (len(a) + len(b) - common):
-            for o in range(3):
-                assert set(jaccard._prefix(a, ranks, o, (9, 10))) & set(jaccard._prefix(b, ranks, o, (9, 10)))
+            for o, shared in ((0, 1), (1, 1), (2, 4)):
+                met = set(jaccard._prefix(a, ranks, o, (9, 10), shared)) & set(jaccard._prefix(b, ranks, o, (9, 10), shared))
+                assert len(met) >= min(shared, -(-min(len(a), len(b)) * 9 // 10))
 
 
 @pytest.mark.parametrize("edges", [[(0, 0)], [(i, i + 1) for i in range(40)] + [(90, 91), (91, 90)], [(7 * i % 31, 7 * (i * i + 3) % 31) for i in range(12)]])
