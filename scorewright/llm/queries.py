@@ -91,3 +91,21 @@ def op10_merkle(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
+
+
+ORACLE["op7_substrings"] = """
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+starts AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM docs WHERE len(w) >= 20),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i + 1:i + 20], ' ') ORDER BY doc_id, i) AS k FROM starts),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(20)) AS i FROM ranked WHERE k > 1),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)"""
+
+ORACLE["op9_embeddings"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS c FROM embeddings UNION SELECT link.y, reach.c FROM reach JOIN link ON link.x = reach.x),
+least AS (SELECT x, min(c) AS c FROM reach GROUP BY x)
+SELECT x AS vec_id, (SELECT count(*) FROM link WHERE link.x = least.x) AS n_links, c AS component_id, c = x AS kept FROM least"""
