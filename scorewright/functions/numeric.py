@@ -23,10 +23,6 @@ def when_sum(cond: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, value)), F.lit(0.0))
 
 
-def count_when(cond: Column) -> Column:
-    return F.count(F.when(cond, F.lit(1)))
-
-
 def distinct_estimate(c: Column, *more: Column) -> Column:
     """Distinct values by sketch: under 1% error, exact in practice up to about a thousand values."""
     h = F.xxhash64(c, *more)

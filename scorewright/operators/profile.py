@@ -34,9 +34,11 @@ def _chunks(cols: Sequence[str], size: int = AGG_COLUMNS) -> list[list[str]]:
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, n) in long form; equal values combine before the shuffle."""
+    """(column, value, n) in long form; equal values combine before the shuffle. 0.0 and -0.0 are one value."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    typed = {c: F.col(f"`{c}`") + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("float", "double") else F.col(f"`{c}`") for c in cols}
     cells = [
-        F.struct(F.lit(c).alias("column"), F.when(~is_missing(df, c), F.col(f"`{c}`").cast("string")).alias("value"))
+        F.struct(F.lit(c).alias("column"), F.when(~is_missing(df, c), typed[c].cast("string")).alias("value"))
         for c in cols
     ]
     long = df.select(F.inline(F.array(*cells))).where("value IS NOT NULL")

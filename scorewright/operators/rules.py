@@ -217,7 +217,3 @@ def compare_thresholds(prior: DataFrame, mined: DataFrame) -> DataFrame:
         F.when(adjusted, diff).alias("change"),
         F.when(adjusted, F.when(diff > 0, "increased").otherwise("decreased")).alias("change_direction"),
     )
-
-
-def structured_expression(feature: str, operator: str, threshold) -> str:
-    return build_expression(feature, operator, threshold)

@@ -24,3 +24,20 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> None:
     """Overwrites only the partitions present in ``df`` when the mode is overwrite."""
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def drop_partitions(spark, path: str, column: str, before: str) -> list[str]:
+    """Deletes the partitions of ``column`` whose value, compared as text, lies below ``before``; returns their values.
+
+    Dynamic overwrite never removes a partition that the new rows lack, so a retention run needs this for expired days
+    and rewrites the day of the cut-off alone.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for status in fs.listStatus(root):
+        name, _, value = status.getPath().getName().partition("=")
+        if name == column and value < before:
+            fs.delete(status.getPath(), True)
+            gone.append(value)
+    return sorted(gone)

@@ -285,3 +285,23 @@ def test_stage_keeps_rows_and_types(spark):
     df = spark.createDataFrame([(1, "a", 2.5), (2, None, None)], "i int, split string, x double")
     back = stage(df, ("split",))
     assert sorted(map(tuple, back.select(*df.columns).collect()), key=lambda r: r[0]) == [(1, "a", 2.5), (2, None, None)]
+
+
+def test_retention_deletes_expired_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from scorewright.sources import sinks
+
+    days = spark.range(40).select(F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).cast("string").alias("day"), "id")
+    path = f"{tmp_path}/log"
+    sinks.write_partitioned(days, path, ["day"])
+    gone = sinks.drop_partitions(spark, path, "day", "2024-01-30")
+    assert len(gone) == 29 and gone[-1] == "2024-01-29"
+    assert spark.read.parquet(path).count() == 11
+
+
+def test_zero_has_one_sign(spark):
+    from scorewright.operators import profile
+
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,)], "x double")
+    assert profile.distinct_and_mode(df, ["x"]).first()[1:] == (2, 2, 3)
