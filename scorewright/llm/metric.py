@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import staged
+from scorewright.llm.common import small_side, staged
 from scorewright.llm.components import components
 
 COSINE = 0.95
@@ -98,7 +98,7 @@ def _blocks(placed: DataFrame, block_rows: int) -> DataFrame:
     count = lambda home: F.count(F.when(F.col("home") == home, 1))
     parts = placed.groupBy("dim", "cell").agg(F.ceil(count(True) / block_rows).cast("int").alias("homes"), F.ceil(count(False) / block_rows).cast("int").alias("guests"))
     # a row per cell: MAX_PIVOTS rows for each vector length drawn, one for any other
-    df = placed.join(parts, ["dim", "cell"])
+    df = placed.join(small_side(staged(parts, "vectors")), ["dim", "cell"])
     n = F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))
     df = df.withColumn("own", F.pmod(F.xxhash64(F.lit(9), "id"), n).cast("int"))
     block = lambda kind, left, right, first: F.struct(F.lit(kind).alias("kind"), left.alias("left"), right.alias("right"), first.alias("first"))
