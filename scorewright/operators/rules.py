@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorewright.functions.rule_expr import RuleError, build_expression, rule_sql
+from scorewright.functions.rule_expr import RuleError, rule_sql
 
 RULE_SCHEMA = "rule_id string, rule string, used_var string, threshold double, direction string"
 
