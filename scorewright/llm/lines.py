@@ -73,7 +73,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_LINES, long_words: int
     # the lines travel instead of the text, which they give back exactly
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(*[F.col(f"`{c}`") for c in others], late.alias("__order"), text_key(F.col("text")).alias("__key"), F.when(F.col("text").isNotNull(), _lines(F.col("text"))).alias("__lines"))
-    rows = rows.join(gone, ["__order", "__key"], "left")
+    # the plan is the same at every size
+    rows = rows.join(gone.hint("merge"), ["__order", "__key"], "left")
     n = F.coalesce(F.size("__lines"), F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), n - 1), "__gone")
     kept = F.transform(left, lambda i: F.get("__lines", i))
