@@ -37,6 +37,15 @@ def staged(df: DataFrame, name: str = "llm") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+
+
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks a staged table for broadcast if its counted rows are within BROADCAST_ROWS."""
     n = df.count() if rows is None else rows

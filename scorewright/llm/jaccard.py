@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import small_side, staged, text_key
+from scorewright.llm.common import dropped, small_side, staged, text_key
 from scorewright.llm.components import components
 
 SIMILARITY = (9, 10)
@@ -182,14 +182,16 @@ def near_duplicates(
     prefixes = [f"p{o}" for o in range(orders)]
     nodes = described.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.min("key").alias("key"), *[F.any_value(p).alias(p) for p in prefixes])
     nodes = staged(nodes, "jaccard")
+    named = staged(described.select("doc_id", "key", "n", "node"), "jaccard")
+    dropped(described)
     entries = nodes.select("node", "n", F.explode("p0").alias("token"))
     # only lists with two nodes or more are kept
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     lists = staged(entries.join(shared, "token"), "jaccard")
     links = _linked(docs, words, lists, nodes, similarity, orders, representatives, pairs_per_entry)
+    dropped(nodes)
 
     labels = components(links).select("node", "component") if links is not None else None
-    named = described.select("doc_id", "key", "n", "node")
     if labels is not None:
         named = named.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
     else:
@@ -208,7 +210,7 @@ def _linked(
     n_entries = lists.count()
     if n_entries == 0:
         return None
-    current = lists.withColumn("component", F.col("node"))
+    current, stored = lists.withColumn("component", F.col("node")), lists
     for round_ in range(MAX_ROUNDS + 1):
         parts = current.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
         open_lists = parts.groupBy("token").agg(
@@ -219,6 +221,8 @@ def _linked(
         if left == 0:
             return links
         current = staged(current.join(open_lists.select("token", "main"), "token"), "jaccard")
+        dropped(stored, open_lists)
+        stored = current
         last = left <= pairs_per_entry * n_entries or round_ == MAX_ROUNDS
         if last:
             pairs = _pairs(current, similarity)
@@ -229,9 +233,12 @@ def _linked(
             pairs = current.join(heads, "token").where((F.col("component") != F.col("to_component")) & _long_enough(F.col("n"), F.col("to_n"), similarity))
             pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
         pairs = staged(_filtered(pairs.distinct(), nodes, orders), "jaccard")
+        if last:
+            dropped(current)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = staged(_sets(docs, staged(nodes.select("node", "key").join(ends, "node", "left_semi"), "jaccard"), words), "jaccard")
         found = staged(_verified(pairs, sets, similarity), "jaccard")
+        dropped(pairs, sets)
         links = found if links is None else links.unionByName(found)
         if last:
             return links
