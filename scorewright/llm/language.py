@@ -22,6 +22,8 @@ from scorewright.llm.common import text_key
 FEATURES = 1 << 15
 #: The bound of the fitting sample.
 SAMPLE_PER_CLASS = 1500
+#: Slices in which each language's rows are ranked before they meet, so that no task takes all of a language.
+SLICES = 64
 EPOCHS = 4
 #: Follow-the-regularised-leader: step size, its offset, L1 and L2 penalty.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.02
@@ -100,6 +102,13 @@ def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(n[at < 0].sum()), out
 
 
+def _cuts(rows: DataFrame, n: int) -> DataFrame:
+    """(lang, cut): the n-th smallest ``order`` of each language, or its largest; found in slices, and without texts."""
+    for by in (["lang", F.pmod("order", F.lit(SLICES))], ["lang"]):
+        rows = rows.select("lang", "order").withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("order"))).where(F.col("nth") <= n)
+    return rows.groupBy("lang").agg(F.max("order").alias("cut"))
+
+
 def fit(docs: DataFrame, training: Column, lang: str = "lang", sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Learns from rows of ``docs`` (doc_id, text, lang) where ``training`` holds, text has letters and lang is not null.
 
@@ -109,8 +118,10 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", sample_per_class:
     n, df = _document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
     order = F.xxhash64(F.lit(6), F.col("doc_id"))
-    first = Window.partitionBy("lang").orderBy(order, "doc_id", text_key(F.col("text")))
-    sample = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_per_class).select("lang", "rank", "text")
+    first = Window.partitionBy("lang").orderBy("order", "doc_id", text_key(F.col("text")))
+    rows = rows.withColumn("order", order)
+    sample = rows.join(F.broadcast(_cuts(rows, sample_per_class)), "lang").where("order <= cut").withColumn("rank", F.row_number().over(first))
+    sample = sample.where(F.col("rank") <= sample_per_class).select("lang", "rank", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
