@@ -127,7 +127,7 @@ def _described(docs: DataFrame, ranks: np.ndarray, words: int, similarity: tuple
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, tokens) of the wanted (key, node), from the texts."""
+    """(node, tokens) of the wanted (key, id, node), from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +136,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 names = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "tokens"])
 
-    keyed = docs.select("text", text_key(F.col("text")).alias("key"))
-    rows = keyed.join(small_side(wanted.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-    found = rows.select("text").mapInArrow(run, "node binary, tokens array<long>")
-    return found.groupBy("node").agg(F.any_value("tokens").alias("tokens"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", text_key(F.col("text")).alias("key"))
+    chosen = small_side(wanted.select(F.col("key").alias("key_"), F.col("id").alias("id_")))
+    # one document of each set, so copies of a text are never shuffled; only rows equal in id and text remain to be merged
+    rows = rows.join(chosen, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")), "left_semi").dropDuplicates(["key", "id"])
+    return rows.select("text").mapInArrow(run, "node binary, tokens array<long>")
 
 
 def _long_enough(a: Column, b: Column, similarity: tuple[int, int]) -> Column:
@@ -180,8 +181,8 @@ def near_duplicates(
     ranks = _ranks(_sketch(docs, words))
     described = staged(_described(docs, ranks, words, similarity, orders), "jaccard")
     prefixes = [f"p{o}" for o in range(orders)]
-    nodes = described.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.min("key").alias("key"), *[F.any_value(p).alias(p) for p in prefixes])
-    nodes = staged(nodes, "jaccard")
+    nodes = described.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.min(F.struct("key", F.col("doc_id").alias("id"))).alias("at"), *[F.any_value(p).alias(p) for p in prefixes])
+    nodes = staged(nodes.select("node", "n", "at.key", "at.id", *prefixes), "jaccard")
     named = staged(described.select("doc_id", "key", "n", "node"), "jaccard")
     dropped(described)
     entries = nodes.select("node", "n", F.explode("p0").alias("token"))
@@ -236,7 +237,7 @@ def _linked(
         if last:
             dropped(current)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = staged(_sets(docs, staged(nodes.select("node", "key").join(ends, "node", "left_semi"), "jaccard"), words), "jaccard")
+        sets = staged(_sets(docs, staged(nodes.select("node", "key", "id").join(ends, "node", "left_semi"), "jaccard"), words), "jaccard")
         found = staged(_verified(pairs, sets, similarity), "jaccard")
         dropped(pairs, sets)
         links = found if links is None else links.unionByName(found)
