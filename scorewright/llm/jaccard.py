@@ -167,6 +167,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return both.where(inter * similarity[1] >= union * similarity[0]).select("a", "b")
 
 
+def _spanning(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Verified links whose components are those of all pairs that verify. Each node is compared with its smallest partner
+    first; of the other pairs only those whose ends are still apart need their sets."""
+    first = staged(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard")
+    found = staged(_verified(first, sets, similarity), "jaccard")
+    labels = staged(components(found), "jaccard")
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
+    return found.unionByName(staged(_verified(rest, sets, similarity), "jaccard"))
+
+
 def near_duplicates(
     docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = SHINGLE_WORDS, orders: int = ORDERS,
     representatives: int = REPRESENTATIVES, pairs_per_entry: float = PAIRS_PER_ENTRY,
@@ -238,7 +250,7 @@ def _linked(
             dropped(current)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = staged(_sets(docs, staged(nodes.select("node", "key", "id").join(ends, "node", "left_semi"), "jaccard"), words), "jaccard")
-        found = staged(_verified(pairs, sets, similarity), "jaccard")
+        found = _spanning(pairs, sets, similarity)
         dropped(pairs, sets)
         links = found if links is None else links.unionByName(found)
         if last:
