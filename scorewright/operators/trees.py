@@ -1,21 +1,20 @@
 """Rules from decision trees.
 
-Full-feature trees are Spark ML trees (distributed histogram training). Trees on
-many small variable combinations are grown on binned cubes: Spark counts the
-cells of every combination in one job and each cube, bounded by
-bins ** n_vars cells, is split in ``applyInPandas``.
+Full-feature trees are grown level by level from (node, feature, bin) counts over
+all rows, the bins cut at exact quantiles. Trees on many small variable
+combinations are grown on binned cubes: Spark counts the cells of every
+combination in one job and each cube, bounded by bins ** n_vars cells, is split in
+``applyInPandas``.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,6 @@ from scorewright.operators.evaluate import weight_column
 from scorewright.operators.histogram import binned_long, clean_double
 from scorewright.operators.rules import BINARY_MARKERS
 
-_IF = re.compile(r"^(?P<pad> *)(?:If|Else) \(feature (?P<ix>\d+) (?P<op><=|>) (?P<th>[-+0-9.eE]+)\)")
 CUBE_CELLS = 10_000_000
 
 
@@ -36,39 +34,94 @@ def threshold_text(t: float) -> str:
     return f"{t:.4f}".rstrip("0").rstrip(".")
 
 
-def tree_paths(debug: str, features: Sequence[str], inner: bool = False) -> list[str]:
-    """Rule text of every leaf (and inner branch) from a Spark ML tree's printed form."""
-    stack: list[str] = []
-    out: list[str] = []
-    for line in debug.splitlines():
-        m = _IF.match(line)
-        depth = (len(line) - len(line.lstrip(" "))) - 2
-        if m:
-            del stack[depth:]
-            stack.append(f"({features[int(m['ix'])]} {m['op']} {threshold_text(float(m['th']))})")
-            if inner:
-                out.append(" & ".join(stack))
-        elif "Predict" in line:
-            del stack[depth:]
-            if stack:
-                out.append(" & ".join(stack))
-    return list(dict.fromkeys(out))
+def _between(a: float, b: float) -> float:
+    """A threshold between two neighbouring values, either of which may be infinite."""
+    return a / 2 + b / 2 if math.isfinite(b - a) else a if math.isfinite(a) else min(b - 1, 0.0)
+
+
+def tree_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> dict[str, list[float]]:
+    """Candidate thresholds of every feature, from all rows: the middles between values where there are at most
+    ``max_bins``, exact quantiles elsewhere. Rules print 4 decimals, so cells are cut at the printed value."""
+    small = small_domains(df, features, max_bins)
+    cuts = {f: [_between(a, b) for a, b in zip(v, v[1:])] for f, v in small.items()}
+    cuts.update(quantile_cuts(df, [f for f in features if f not in small], max_bins))
+    return {f: sorted({float(threshold_text(c)) for c in cuts[f] if math.isfinite(c)}) for f in features}
+
+
+def _best_split(cells: pd.DataFrame, min_w: float) -> tuple[int, int] | None:
+    """(feature, cut) of the largest Gini gain in one node; among equal ones the first feature and lowest cut."""
+    top, at = 1e-9, None
+    for fid, c in cells.groupby("fid"):
+        c = c.sort_values("bin")
+        w, b = c["w"].to_numpy(float).cumsum(), c["bad_w"].to_numpy(float).cumsum()
+
+        def mass(tw, tb):
+            return np.where(tw > 0, 2 * tb * (tw - tb) / np.maximum(tw, 1e-300), 0.0)
+
+        gain = mass(w[-1:], b[-1:]) - mass(w[:-1], b[:-1]) - mass(w[-1] - w[:-1], b[-1] - b[:-1])
+        gain = np.where((w[:-1] >= min_w) & (w[-1] - w[:-1] >= min_w), gain / w[-1], -1.0)
+        for i, g in enumerate(gain):
+            # sums of weights differ in their last digits from run to run
+            if g > top * (1 + 1e-9):
+                top, at = float(g), (int(fid), int(c["bin"].iloc[i]))
+    return at
 
 
 def tree_rules(
     df: DataFrame, features: Sequence[str], target: str, weight: Column | None = None, max_depth: int = 3,
     min_leaf_share: float = 0.02, all_nodes: bool = False, max_bins: int = 64,
 ) -> DataFrame:
-    """Rules from one weighted tree over all features; rows with a missing value are left out."""
+    """Rules from one weighted tree over all features; rows with a missing value are left out.
+
+    Each level is one scan: (node, feature, bin) counts over all rows, of which the driver takes every node's best split.
+    No rows are sampled, so the thresholds do not depend on how the rows are partitioned.
+    """
     w = F.lit(1.0) if weight is None else weight
-    rows = df.select(*[clean_double(f).alias(f) for f in features], F.col(target).cast("double").alias("__y"), w.alias("__w")).dropna()
-    vec = VectorAssembler(inputCols=list(features), outputCol="__x").transform(rows)
-    model = DecisionTreeClassifier(
-        featuresCol="__x", labelCol="__y", weightCol="__w", maxDepth=max_depth, maxBins=max_bins, impurity="gini",
-        minWeightFractionPerNode=min(min_leaf_share, 0.49), seed=312,
-    ).fit(vec)
-    paths = tree_paths(model.toDebugString, features, all_nodes)
-    return df.sparkSession.createDataFrame([(" & ".join(features), p) for p in paths], "used_var string, rule string")
+    feats = list(features)
+    rows = df.select(*[clean_double(f).alias(f) for f in feats], (F.col(target) == 1).alias("__y"), w.cast("double").alias("__w")).dropna()
+    edges = tree_edges(rows, feats, max_bins)
+    # an open node: its rule parts and the same as a row test
+    nodes: list[tuple[tuple[str, ...], Column]] = [((), F.lit(True))]
+    children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    bad_side: dict[tuple[str, ...], bool] = {}
+    min_w = None
+    for _ in range(max_depth):
+        node = F.coalesce(*[F.when(test, F.lit(i)) for i, (_, test) in enumerate(nodes)])
+        long = binned_long(rows.withColumn("__node", node).where("__node IS NOT NULL"), edges, [F.col("__node"), F.col("__y"), F.col("__w")], closed="right")
+        bad = F.sum(F.when(F.col("__y"), F.col("__w")).otherwise(F.lit(0.0))).alias("bad_w")
+        counted = long.groupBy("__node", "feature", "bin").agg(F.sum("__w").alias("w"), bad).collect()
+        cells = pd.DataFrame([(r["__node"], feats.index(r["feature"]), r["bin"], r["w"], r["bad_w"]) for r in counted], columns=["node", "fid", "bin", "w", "bad_w"])
+        if min_w is None:
+            min_w = cells.loc[cells["fid"] == 0, "w"].sum() * min(min_leaf_share, 0.49) * (1 - 1e-9)
+        nxt = []
+        for i, (path, test) in enumerate(nodes):
+            own = cells[cells["node"] == i]
+            found = _best_split(own, min_w)
+            if found is None:
+                continue
+            fid, cut = found
+            f, t = feats[fid], edges[feats[fid]][cut]
+            own, low = own[own["fid"] == fid], F.col(f"`{f}`") <= t
+            children[path] = []
+            for op, side, part in (("<=", low, own[own["bin"] <= cut]), (">", ~low, own[own["bin"] > cut])):
+                child = (*path, f"({f} {op} {threshold_text(t)})")
+                children[path].append(child)
+                bad_side[child] = part["bad_w"].sum() * 2 > part["w"].sum()
+                nxt.append((child, test & side))
+        nodes = nxt
+        if not nodes:
+            break
+    # two leaves of one parent that both lean to the same side are one leaf, as in Spark ML's trees
+    for path in sorted(children, key=len, reverse=True):
+        a, b = children[path]
+        if a not in children and b not in children and bad_side[a] == bad_side[b]:
+            del children[path]
+    paths = [" & ".join(p) for p in _walk(children, ()) if p and (all_nodes or p not in children)]
+    return df.sparkSession.createDataFrame([(" & ".join(feats), p) for p in dict.fromkeys(paths)], "used_var string, rule string")
+
+
+def _walk(children: dict, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    return [path, *[p for c in children.get(path, ()) for p in _walk(children, c)]]
 
 
 # ---------------------------------------------------------------- combination trees

@@ -260,6 +260,17 @@ def test_tree_rules_partition_rows(planted):
     assert m.agg(F.max("bad_rate")).first()[0] > 0.9
 
 
+def test_tree_candidates_come_from_all_rows(spark):
+    n = 50_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("x"), (F.col("id") % 3).alias("z"))
+    edge = float(np.quantile(np.arange(n), 39 / 64))
+    df = df.withColumn("y", (F.col("x") > edge).cast("int"))
+    t = trees.threshold_text(edge)
+    for parts in (1, 7):
+        found = [r["rule"] for r in trees.tree_rules(df.repartition(parts), ["z", "x"], "y").collect()]
+        assert found == [f"(x <= {t})", f"(x > {t})"]
+
+
 def test_combination_trees(planted):
     assert len(trees.combos(["a", "b", "x_is_1", "x_is_2", "x_is_3"], 3)) == 9
     found = trees.combination_tree_rules(planted, ["a", "b", "c"], "y", n_vars=2).collect()
