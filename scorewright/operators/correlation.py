@@ -11,11 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.operators.binning import quantile_cuts, small_domains
+from scorewright.operators.binning import small_domains
 from scorewright.operators.histogram import binned_long, clean_double
 from scorewright.operators.ordering import with_ranks
 
+#: Distinct values up to which Kendall's tau reads the cross-tab of values.
 KENDALL_CELLS = 200
+#: Points of a strip, and the fewest and most strips of a column; beyond MAX_STRIPS * STRIP_ROWS points strips grow.
+STRIP_ROWS, MIN_STRIPS, MAX_STRIPS = 100_000, 16, 1000
 
 
 def _moments(df: DataFrame, cols: Sequence[str], listwise: bool, centre: bool) -> DataFrame:
@@ -85,35 +88,131 @@ def spearman(df: DataFrame, cols: Sequence[str], **rank_options) -> DataFrame:
 
 
 def kendall(df: DataFrame, cols: Sequence[str], max_values: int = KENDALL_CELLS) -> DataFrame:
-    """Tau-b from the cross-tab of values; a column with more values is cut into quantile cells first."""
+    """Tau-b, exact: from the cross-tab of values where both columns have at most ``max_values``, else by strips."""
     small = small_domains(df, cols, max_values)
-    cuts = {c: v[1:] for c, v in small.items()}
-    cuts.update(quantile_cuts(df, [c for c in cols if c not in small], max_values))
     x = df.select(*[clean_double(c).alias(c) for c in cols])
     rows = []
     for a, b in combinations(cols, 2):
         both = x.where(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull())
-        half = binned_long(both, {a: cuts[a]}, [F.col(f"`{b}`").alias("__o")]).select(F.col("bin").alias("ba"), F.col("__o").alias(b))
-        tab = binned_long(half, {b: cuts[b]}, [F.col("ba")]).groupBy("ba", "bin").agg(F.count(F.lit(1)).alias("n"))
-        counts = np.zeros((len(cuts[a]) + 1, len(cuts[b]) + 1))
-        for r in tab.collect():
-            counts[r["ba"], r["bin"]] = r["n"]
-        rows.append((a, b, _tau_b(counts)))
+        if a in small and b in small:
+            counts = _cell_counts(both.select(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b"), F.lit(1).alias("n")), small[a][:-1], small[b][:-1])
+            rows.append((a, b, _tau_b(counts)))
+        else:
+            rows.append((a, b, _tau_b_by_strips(both, a, b, small)))
     return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, corr double")
 
 
+def _in_strips(pairs: DataFrame, cuts_a: Sequence[float], cuts_b: Sequence[float]) -> DataFrame:
+    """(a, b, n) with the numbers ``ia, ib`` of the strips they lie in."""
+    half = binned_long(pairs, {"a": cuts_a}, [F.col("b").alias("__b"), F.col("n")], closed="right").select(F.col("bin").alias("ia"), F.col("value").alias("a"), F.col("__b").alias("b"), "n")
+    return binned_long(half, {"b": cuts_b}, [F.col("a").alias("__a"), F.col("ia"), F.col("n")], closed="right").select(
+        F.col("__a").alias("a"), F.col("value").alias("b"), "n", "ia", F.col("bin").alias("ib")
+    )
+
+
+def _cell_counts(pairs: DataFrame, cuts_a: Sequence[float], cuts_b: Sequence[float]) -> np.ndarray:
+    counts = np.zeros((len(cuts_a) + 1, len(cuts_b) + 1))
+    for r in _in_strips(pairs, cuts_a, cuts_b).groupBy("ia", "ib").agg(F.sum("n").alias("n")).collect():
+        counts[r["ia"], r["ib"]] = r["n"]
+    return counts
+
+
+def _strip_cuts(pairs: DataFrame, column: str, n: int, values: Sequence[float] | None) -> list[float]:
+    """Cuts of a column into strips, (low, high] each. A value that fills a strip gets one of its own."""
+    if values is not None:
+        return list(values[:-1])
+    k = min(MAX_STRIPS, max(MIN_STRIPS, -(-n // STRIP_ROWS)))
+    q = pairs.agg(F.percentile_approx(column, [i / k for i in range(1, k)], 10 * k).alias("q")).first()["q"]
+    cuts = set(q)
+    cuts |= {math.nextafter(v, -math.inf) for v, w in zip(q, q[1:]) if v == w}
+    return sorted(c for c in cuts if math.isfinite(c))
+
+
+def _single(cuts: Sequence[float], values: Sequence[float] | None) -> list[int]:
+    """Numbers of the strips known to hold one value."""
+    if values is not None:
+        return list(range(len(values)))
+    return [i for i in range(1, len(cuts)) if math.nextafter(cuts[i], -math.inf) == cuts[i - 1]]
+
+
+def _concordance(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> int:
+    """Concordant less discordant pairs among points (a, b) of n rows each.
+
+    Two points with different a part at one level of a binary tree over the order of a; at each level one pass in order of b
+    counts them.
+    """
+    code = np.unique(a, return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(b, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(rank, kind="stable")
+    code, rank, n = code[order], rank[order], n[order].astype(np.int64)
+    total = 0
+    for level in range(int(code.max()).bit_length()):
+        at = np.argsort(code >> (level + 1), kind="stable")
+        group, right, r, m = code[at] >> (level + 1), (code[at] >> level) & 1, rank[at], n[at]
+        left = np.concatenate([[0], np.cumsum(np.where(right == 0, m, 0))])
+        new_group = np.concatenate([[True], group[1:] != group[:-1]])
+        new_run = new_group | np.concatenate([[True], r[1:] != r[:-1]])
+
+        def ends(new):
+            starts = np.flatnonzero(new)
+            which = np.cumsum(new) - 1
+            return left[starts[which]], left[np.append(starts[1:], len(new))[which]]
+
+        g_start, g_end = ends(new_group)
+        r_start, r_end = ends(new_run)
+        total += int((np.where(right == 1, m, 0) * ((r_start - g_start) - (g_end - r_end))).sum())
+    return total
+
+
+def _within(a: str, b: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [float(_concordance(pdf[a].to_numpy(), pdf[b].to_numpy(), pdf["n"].to_numpy()))]})
+
+    return run
+
+
+def _tau_b_by_strips(both: DataFrame, a: str, b: str, small: dict[str, list[float]]) -> float | None:
+    """Pairs of rows in different strips of both columns come from the cross-tab of strips. Those in one strip of a are
+    counted there by value, those in one strip of b but different ones of a there by value of b and strip of a."""
+    pairs = both.groupBy(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")).agg(F.count(F.lit(1)).alias("n")).cache()
+    try:
+        rows, points = pairs.agg(F.sum("n"), F.count(F.lit(1))).first()
+        if not rows:
+            return None
+        cuts = [_strip_cuts(pairs, c, points, small.get(name)) for c, name in (("a", a), ("b", b))]
+        counts = _cell_counts(pairs, *cuts)
+        placed = _in_strips(pairs, *cuts)
+        diff = sum(_cell_pairs(counts))
+        for strip, x, y, name, own in (("ia", "a", "b", a, cuts[0]), ("ib", "ia", "b", b, cuts[1])):
+            single = _single(own, small.get(name))
+            if len(single) <= len(own):
+                inside = placed if not single else placed.where(~F.col(strip).isin(single))
+                points_in = inside.groupBy(strip, x, y).agg(F.sum("n").alias("n"))
+                diff += points_in.groupBy(strip).applyInPandas(_within(x, y), "s double").agg(F.sum("s")).first()[0] or 0.0
+        ties = [pairs.groupBy(c).agg(F.sum("n").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] for c in ("a", "b")]
+    finally:
+        pairs.unpersist()
+    all_pairs = rows * (rows - 1) / 2
+    den = math.sqrt((all_pairs - ties[0]) * (all_pairs - ties[1]))
+    return float(diff / den) if den else None
+
+
+def _cell_pairs(t: np.ndarray) -> tuple[float, float]:
+    """Concordant pairs and, negative, discordant ones among rows that differ in both cells."""
+    below = np.zeros_like(t)
+    below[1:, 1:] = t.cumsum(0).cumsum(1)[:-1, :-1]
+    above = np.zeros_like(t)
+    above[1:, :-1] = t.cumsum(0)[:, ::-1].cumsum(1)[:, ::-1][:-1, 1:]
+    return (t * below).sum(), -(t * above).sum()
+
+
 def _tau_b(t: np.ndarray) -> float | None:
     n = t.sum()
     pairs = n * (n - 1) / 2
     tie_a = (t.sum(axis=1) * (t.sum(axis=1) - 1)).sum() / 2
     tie_b = (t.sum(axis=0) * (t.sum(axis=0) - 1)).sum() / 2
-    below = np.zeros_like(t)
-    below[1:, 1:] = t.cumsum(0).cumsum(1)[:-1, :-1]
-    above = np.zeros_like(t)
-    above[1:, :-1] = t.cumsum(0)[:, ::-1].cumsum(1)[:, ::-1][:-1, 1:]
-    conc, disc = (t * below).sum(), (t * above).sum()
     den = math.sqrt((pairs - tie_a) * (pairs - tie_b))
-    return float((conc - disc) / den) if den else None
+    return float(sum(_cell_pairs(t)) / den) if den else None
 
 
 def correlation(df: DataFrame, cols: Sequence[str], method: str = "pearson", **options) -> DataFrame:

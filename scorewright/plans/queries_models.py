@@ -47,6 +47,16 @@ def kendall_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(correlation.correlation(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "kendall"), default=8)
 
 
+@query(
+    "kendall_many_values",
+    """WITH t AS (SELECT o_totalprice AS a, o_custkey AS b FROM orders),
+    s AS (SELECT sum(sign(x.a - z.a) * sign(x.b - z.b)) AS d, count(*) FILTER (x.a <> z.a) AS pa, count(*) FILTER (x.b <> z.b) AS pb FROM t x, t z)
+    SELECT 'o_totalprice' AS feature1, 'o_custkey' AS feature2, round(d / sqrt(pa::DOUBLE * pb), 8) AS corr FROM s""",
+)
+def kendall_many_values(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(correlation.correlation(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], "kendall"), default=8)
+
+
 def _corr_features(spark: SparkSession, sf: str) -> DataFrame:
     df = loans(spark, sf)
     return df.withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount"))).withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity"))

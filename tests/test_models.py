@@ -116,6 +116,23 @@ def test_kendall_tau_b(spark):
     assert correlation.kendall(df, ["a", "b"]).first()["corr"] == pytest.approx(want)
 
 
+def test_kendall_of_many_values_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 1500
+    a = rng.normal(size=n).round(3)
+    a[::3] = 0.25  # one value fills many strips
+    a[:2] = np.inf, -np.inf
+    b = np.where(np.isfinite(a), a, 0) + rng.normal(size=n)
+    pdf = pd.DataFrame({"a": a, "b": b, "c": rng.integers(0, 9, n) + (b > 1)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    monkeypatch.setattr(correlation, "STRIP_ROWS", 40)
+    got = {(r["feature1"], r["feature2"]): r["corr"] for r in correlation.kendall(df, ["a", "b", "c"]).collect()}
+    signs = {c: (v[:, None] > v[None]).astype(int) - (v[:, None] < v[None]) for c, v in ((c, pdf[c].to_numpy()) for c in pdf)}
+    for (x, z), tau in got.items():
+        want = (signs[x] * signs[z]).sum() / math.sqrt((signs[x] ** 2).sum() * (signs[z] ** 2).sum())
+        assert tau == pytest.approx(want, abs=1e-12)
+
+
 def test_vif_and_elimination(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 3)) + 1
