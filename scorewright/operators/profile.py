@@ -188,7 +188,7 @@ def dominated_columns(df: DataFrame, cols: Sequence[str], limit: float = 0.95) -
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Quartiles, k·IQR bounds and the rows outside them."""
     q = quantiles(df, cols, [0.25, 0.75])
-    live = [c for c in cols if q[c][0] is not None]
+    live = [c for c in cols if None not in q[c]]
     bounds = {c: (q[c][0] - k * (q[c][1] - q[c][0]), q[c][1] + k * (q[c][1] - q[c][0])) for c in live}
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(live):

@@ -3,8 +3,8 @@
 Wanted ranks are found by refining a histogram: each pass is one scan with
 map-side aggregation, the driver sees a bounded number of cell counts,
 and once few rows are left in the open cells their value counts finish the job.
-The built-in exact ``percentile`` keeps every distinct value in one buffer, so it
-is used only for tables known to be small.
+Infinities lie in no cell: two counts settle their ranks beforehand. The path is
+the same at every size.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from scorewright.operators.histogram import clean_double
 
-# Rows up to which one aggregation buffer may hold a whole column.
+# Rows left in the open cells of a quantile search up to which their value counts finish it.
 BUFFER_ROWS = 100_000
 # Distinct values the driver may take to settle the last open cells.
 FINISH_ROWS = 100_000
@@ -60,6 +60,32 @@ def column_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, Span]:
     return {c: (row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
 
 
+class _Ends(NamedTuple):
+    """Rows of a column, those equal to -inf and to +inf, and the range of the others."""
+
+    n: int
+    first: int
+    last: int
+    low: float | None
+    high: float | None
+
+
+def _finite_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, _Ends]:
+    """One scan."""
+    if not cols:
+        return {}
+    aggs = []
+    for i, c in enumerate(cols):
+        x = clean_double(c)
+        finite = F.when(F.abs(x) < math.inf, x)
+        aggs += [
+            F.count(x).alias(f"n{i}"), F.count_if(x == -math.inf).alias(f"f{i}"), F.count_if(x == math.inf).alias(f"l{i}"),
+            F.min(finite).alias(f"a{i}"), F.max(finite).alias(f"b{i}"),
+        ]
+    row = df.agg(*aggs).first()
+    return {c: _Ends(*[row[f"{k}{i}"] for k in "nflab"]) for i, c in enumerate(cols)}
+
+
 def _disjoint(cells: list[_Cell]) -> list[_Cell]:
     """Cells in order, neighbours with no double between them joined into one."""
     out: list[_Cell] = []
@@ -135,12 +161,19 @@ def select_ranks(
     """0-based rank -> element per column. Ranks may be a function of the column's row count;
     known ``bounds`` of the values save the scan that looks for them."""
     resolution = resolution or max(1000, CELLS // max(1, len(ranks)))
-    bounds = dict(bounds or {})
-    spans = column_ranges(df, [c for c in ranks if c not in bounds])
-    bounds.update({c: (lo, hi) for c, (n, lo, hi) in spans.items() if n})
+    # an infinite bound does not say how many rows lie on it
+    bounds = {c: b for c, b in (bounds or {}).items() if all(map(math.isfinite, b))}
+    ends = _finite_ranges(df, [c for c in ranks if c not in bounds])
+    bounds.update({c: (e.low, e.high) for c, e in ends.items() if e.low is not None})
     found: dict[str, dict[int, Element]] = {c: {} for c in ranks}
-    still = {c: [_Cell(float(lo), float(hi), 0, 0, [])] for c, (lo, hi) in bounds.items() if c in ranks}
+    still = {c: [_Cell(float(lo), float(hi), ends[c].first if c in ends else 0, 0, [])] for c, (lo, hi) in bounds.items() if c in ranks}
     wanted: dict[str, list[int]] = {}
+    for c, e in ends.items():
+        asked = ranks[c](e.n) if callable(ranks[c]) else ranks[c]
+        wanted[c] = sorted({r for r in asked if 0 <= r < e.n})
+        found[c].update({r: Element(-math.inf, 0, e.first) for r in wanted[c] if r < e.first})
+        found[c].update({r: Element(math.inf, e.n - e.last, e.last) for r in wanted[c] if r >= e.n - e.last})
+    still = {c: cells for c, cells in still.items() if c not in ends or set(wanted[c]) - set(found[c])}
     while still:
         nxt: dict[str, list[_Cell]] = {}
         for c, cells in _subdivide(df, still, resolution).items():
@@ -185,6 +218,15 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]], **option
     return {c: {r: e.value for r, e in found.items()} for c, found in select_ranks(df, ranks, **options).items()}
 
 
+def _interpolated(a: float, b: float, part: float) -> float | None:
+    """The number ``part`` of the way from a to b; none between -inf and +inf."""
+    if a == b or part == 0:
+        return a
+    if math.isinf(a) or math.isinf(b):
+        return None if math.isinf(a) and math.isinf(b) else a if math.isinf(a) else b
+    return a + (b - a) * part if math.isfinite(b - a) else a * (1 - part) + b * part
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Probs, buffer_rows: int = BUFFER_ROWS) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles (the numpy default); ``probs`` for all columns or per column."""
     cols = list(cols)
@@ -196,16 +238,12 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Probs, buffer_rows: int
     live = [c for c in cols if spans[c][0] and per[c]]
     if not live:
         return out
-    if max(spans[c][0] for c in live) <= buffer_rows:
-        row = df.agg(*[F.percentile(clean_double(c), per[c]).alias(f"q{i}") for i, c in enumerate(live)]).first()
-        out.update({c: list(row[f"q{i}"]) for i, c in enumerate(live)})
-        return out
     at = {c: [p * (spans[c][0] - 1) for p in per[c]] for c in live}
     ranks = {c: [r for p in at[c] for r in (math.floor(p), math.ceil(p))] for c in live}
-    values = order_statistics(df, ranks, bounds={c: spans[c][1:] for c in live})
+    values = order_statistics(df, ranks, bounds={c: spans[c][1:] for c in live}, finish_rows=buffer_rows)
     for c in live:
         v = values[c]
-        out[c] = [v[math.floor(p)] + (v[math.ceil(p)] - v[math.floor(p)]) * (p - math.floor(p)) for p in at[c]]
+        out[c] = [_interpolated(v[math.floor(p)], v[math.ceil(p)], p - math.floor(p)) for p in at[c]]
     return out
 
 

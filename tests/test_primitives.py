@@ -75,6 +75,26 @@ def test_quantiles_of_empty_and_constant(spark):
         assert got["b"] in ([None] * 3, None)
 
 
+@pytest.mark.parametrize("buffer_rows", [0, 10**9])
+def test_quantiles_with_infinities(spark, buffer_rows):
+    inf = math.inf
+    pdf = pd.DataFrame({"one": [inf, *range(40)], "both": [-inf] * 3 + list(range(30)) + [inf] * 8, "all": [inf] * 41, "ends": [-inf] * 20 + [inf] * 21}).astype(float)
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.7, 0.99, 1.0]
+    got = quantiles(df, list(pdf), probs, buffer_rows=buffer_rows)
+    for c, q in got.items():
+        v = np.sort(pdf[c])
+        at = [p * (len(v) - 1) for p in probs]
+        for x, p in zip(q, at):
+            a, b = v[math.floor(p)], v[math.ceil(p)]
+            if np.isfinite([a, b]).all():
+                assert x == pytest.approx(a + (b - a) * (p - math.floor(p)), rel=1e-12)
+            else:
+                assert x == (a if a == b or np.isinf(a) else b)
+    assert quantiles(df, ["ends"], [19.5 / 40], buffer_rows=buffer_rows) == {"ends": [None]}
+    assert order_statistics(df, {"both": [0, 2, 3, 32, 33, 40]})["both"] == {0: -inf, 2: -inf, 3: 0.0, 32: 29.0, 33: inf, 40: inf}
+
+
 def test_kth_row_with_hot_tie(spark):
     rows = [(5 if i % 3 else 4, i % 7, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "t long, a long, b long")
