@@ -171,11 +171,12 @@ def near_duplicates(
     docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = SHINGLE_WORDS, orders: int = ORDERS,
     representatives: int = REPRESENTATIVES, pairs_per_entry: float = PAIRS_PER_ENTRY,
 ) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id), one row per row of ``docs`` (doc_id, text).
+    """(doc_id, key, n_shingles, component_id, group), one row per row of ``docs`` (doc_id, text).
 
     Two documents link if |A & B| * similarity[1] >= |A | B| * similarity[0]; component_id is the smallest doc_id reachable
     by links, the document itself included. Documents without words link with nothing; a null id never is a component's
-    id (the component of a row without id and without partner is null); rows that repeat stay. ``key`` hashes the text.
+    id (the component of a row without id and without partner is null); rows that repeat stay. ``key`` hashes the text, ``group``
+    names the component, null for documents without words.
     An empty table gives an empty one. ``similarity`` is a fraction of whole numbers, so the comparison is exact.
     """
     ranks = _ranks(_sketch(docs, words))
@@ -199,7 +200,8 @@ def near_duplicates(
         named = named.withColumn("group", F.col("node"))
     least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     return named.join(least, "group", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("group")).alias("group"),
     )
 
 
@@ -260,9 +262,23 @@ def _pairs(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those with its smallest id. Rows without id stand for
-    themselves if their component has no id at all."""
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    keep = small_side(staged(keep, "jaccard"))
+    """One row of ``docs`` for each component: of its smallest id, or without id if it has none, and among different texts
+    with that id the one of the smallest key. Rows equal in id and text are one document. Documents without words form no
+    component and all stay."""
+    who = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), "key", "rows")
+    copies = found.where(F.col("group").isNotNull()).groupBy("group", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = copies.groupBy("group").agg(F.min(who).alias("who")).select(F.col("who.id").alias("__id"), F.col("who.key").alias("__key"), (F.col("who.rows") > 1).alias("__several"))
+    wordless = found.where(F.col("group").isNull()).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(False).alias("__several")).distinct()
+    keep = staged(chosen.unionByName(wordless), "jaccard")
     key = text_key(F.col("text"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (key == keep["__key"]), "left_semi")
+
+    def rows(those: DataFrame) -> DataFrame:
+        those = small_side(those)
+        return docs.join(those, docs["doc_id"].eqNullSafe(those["__id"]) & (key == those["__key"]), "left_semi")
+
+    # only texts that repeat under one id are shuffled to be merged
+    several = keep.where("__several")
+    out = rows(keep.where(~F.col("__several")))
+    if several.isEmpty():
+        return out
+    return out.unionByName(rows(several).withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key"))

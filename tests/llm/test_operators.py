@@ -146,6 +146,16 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8, 9] and kept.columns == df.columns
 
 
+def test_one_of_each_leaves_one_row_of_a_group(spark):
+    one, near, lone = " ".join(passage(60, 1)), " ".join([*passage(60, 1), "end"]), " ".join(passage(60, 2))
+    rows = [(3, one, "s"), (3, one, "s"), (3, near, "s"), (4, one, "s"), (None, lone, "s"), (None, lone, "s"), (6, None, "s"), (7, "", "s")]
+    df = table(spark, rows)
+    found = jaccard.near_duplicates(df)
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(df, found).collect()]
+    first = min((r.key, t) for r in found.collect() if r.doc_id == 3 for t in (one, near) if spark.range(1).select(jaccard.text_key(F.lit(t))).first()[0] == r.key)[1]
+    assert sorted(kept, key=str) == sorted([(3, first), (None, lone), (6, None), (7, "")], key=str)
+
+
 def test_prefixes_of_similar_sets_meet_under_every_order():
     rng = np.random.default_rng(4)
     ranks = rng.integers(0, 9, 1 << jaccard.SKETCH_BITS).astype(np.uint8)
