@@ -1,9 +1,9 @@
-"""Removal of repeated runs of lines by winnowing, in DataFrame operations only.
+"""Removal of repeated runs of lines by hashed windows, in DataFrame operations only.
 
-Every line is hashed; in each window of WINDOW_LINES hashes the smallest is selected. Two equal runs of that many lines
-select the same line, so joining selected lines finds every repeated run. Around a selected line that occurs more than
-once the match is extended both ways: all windows over it are compared whole with the first of their kind, and the
-lines of later ones are deleted. Windows overlap, so runs of any length are deleted to their ends.
+Every window of WINDOW_LINES lines is fingerprinted by the smallest of its line hashes, and so is every long line. Windows
+whose smallest line stands in one place only are dropped; all others are compared whole with the first of their kind, and
+the lines of later ones are deleted. Windows overlap, so runs of any length are deleted to their ends. A line shorter than
+LONG_LINE_WORDS that repeats without a neighbour is no run and stays.
 """
 
 from __future__ import annotations
