@@ -107,9 +107,13 @@ class Chunks:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [[t[a:b] for a, b in zip(at, at[1:], strict=False)] for t in texts for at in [[0, *self.cuts(t), len(t)]]]
-        if len(self.known) + sum(map(len, cut)) > KEPT_CHUNKS:
-            self.known.clear()
+        needed = {c for chunks in cut for c in chunks}
         fresh: dict[bytes, list[bytes]] = {c: [] for chunks in cut for c in chunks if c not in self.known}
+        over = len(self.known) + len(fresh) - KEPT_CHUNKS
+        if over > 0:
+            # the oldest go, a quarter of the table at least, and none that this call reads
+            for c in [c for c in self.known if c not in needed][: max(over, KEPT_CHUNKS // 4)]:
+                del self.known[c]
         for c in fresh:
             fresh[c] = _SAFE.split(c)
         # what lies outside a chunk's first and last safe point waits for its neighbours

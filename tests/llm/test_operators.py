@@ -403,3 +403,16 @@ def test_differences_locate_edits():
 def test_queries_return_a_row_per_row(spark, name):
     source = "embeddings" if name.startswith("op9") else "documents"
     assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+
+
+def test_known_chunks_go_in_part(monkeypatch):
+    texts = [" ".join(passage(600, 70 + i)).encode() for i in range(6)]
+    tok = Tokenizer.from_file(BYTE)
+    coder = bpe.Chunks(bpe.units(BYTE), 64)
+    coder.encode(texts[:4])
+    monkeypatch.setattr(bpe, "KEPT_CHUNKS", len(coder.known))
+    first, before = list(coder.known)[0], list(coder.known)[-1]
+    got = coder.encode([texts[4]])
+    assert before in coder.known and first not in coder.known and len(coder.known) <= bpe.KEPT_CHUNKS
+    for t, ids in zip([texts[4], *texts], [*got, *coder.encode(texts)], strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t.decode(), add_special_tokens=False).ids
