@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import bpe, jaccard, language, lines, merkle, metric, mixing, sharding, substrings, token_files
+from scorewright.llm import bpe, jaccard, language, lines, merkle, metric, mixing, negatives, pages, sharding, spelling, substrings, token_files
 from scorewright.plans.staging import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,22 @@ def op10_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.compare_edited(documents(spark, sf))
 
 
+@query
+def op11_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op12_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return negatives.hard_negatives(vectors.select("vec_id", negatives.shifted_labels(F.col("vec_id"), F.col("label")).alias("label"), "embedding"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf), every=199)
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
@@ -121,3 +137,14 @@ kept AS (SELECT doc_id, string_agg(l[i + 1], chr(10) ORDER BY i) AS t, count(*)
 SELECT doc_id, len(l)::BIGINT AS n_lines, len(l)::BIGINT - coalesce(n, 0) AS n_removed,
   CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)"""
+
+ORACLE["op12_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) IS NOT FALSE),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+positives AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank, n.vec_id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5"""
