@@ -10,32 +10,32 @@ All numbers are little-endian. The footer has the places of the parts; readers s
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.bpe import ROWS_AT_ONCE, load, units
+from scorewright.llm.bpe import ENCODE_AT_ONCE, KEPT_UNITS, UNIT_BYTES, load
 from scorewright.llm.common import staged, text_key
 
 MAGIC = b"SWTOKEN1"
 #: magic, bits per id, ids per block, ids, documents, place of the offsets, place of the document table
 FOOTER = struct.Struct("<8sIIQQQQ")
 BLOCK_IDS = 8192
+#: Documents encoded at once.
+ROWS_AT_ONCE = 2000
 DOCS = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("start", "<u8")])
 #: Documents a reader returns at once, at most; fewer when they are long.
 READ_IDS = 1_000_000
 
-#: A full stop or comma at a word's end after an ASCII letter or digit: a token boundary whatever stands around.
-_STOP = re.compile(rb"[.,](?<=[A-Za-z0-9].)(?=[ \n]|$)")
-
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -46,10 +46,14 @@ def width(vocabulary_size: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Low bit first; the last byte is filled with zeros."""
+    if bits in (8, 16, 32):  # whole bytes need no shifts
+        return ids.astype(f"<u{bits // 8}").tobytes()
     return np.packbits(((ids[:, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8), axis=None, bitorder="little").tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n).astype(np.uint32)
     flat = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
     out = np.zeros(n, np.uint32)
     for k in range(bits):
@@ -57,9 +61,93 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return out
 
 
-def units_of(text: str | None) -> list[bytes]:
-    """Pieces that tokenize independently under a vocabulary that drops white space: words, and stops behind them."""
-    return _STOP.sub(rb" \g<0>", (text or "").encode()).split()
+#: Marks that, behind letters, are a pre-token of their own; an apostrophe may belong to the letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def pre_tokens_of(word: str) -> int:
+    """1 for letters, 2 for letters and marks behind; 0: not told by looking."""
+    letters = word.rstrip(MARKS)
+    return 1 + (len(letters) < len(word)) if letters.isalpha() else 0
+
+
+class Words:
+    """Ids of words, which tokenize independently under a vocabulary that drops white space.
+
+    Each distinct word of a call is looked up once; ids are then gathered by position.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id ends a pre-token; empty where the vocabulary does not tell.
+        self.ends = np.zeros(0, bool)
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            if any(self.ends[e.ids].sum() != 2 for e in self.tokenizer.encode_batch_fast([f"a{m}" for m in [*MARKS, MARKS]], add_special_tokens=False)):
+                self.ends = np.zeros(0, bool)  # marks are not always split off
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Words of letters as one text, which is cheaper. Each has as many pre-tokens as its characters show, or more; if
+        the sum agrees, all agree."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids])
+        last = np.cumsum([pre_tokens_of(w) for w in words]) - 1
+        if len(ends) != last[-1] + 1 or ends[-1] != len(ids) - 1:
+            return self._one_by_one(words)
+        cut = [0, *((ends[last] + 1) * 4).tolist()]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def _learn(self, distinct: list[str]) -> dict[str, bytes]:
+        """Makes every word known; returns those that are too long to keep, or too many."""
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > KEPT_UNITS:
+            # the words met first are the most frequent ones
+            self.known = dict(islice(self.known.items(), KEPT_UNITS // 2))
+            new = [w for w in distinct if w not in self.known]
+        once: dict[str, bytes] = {}
+        plain = [len(self.ends) > 0 and pre_tokens_of(w) > 0 for w in new]
+        groups = [([w for w, p in zip(new, plain, strict=True) if p], self._together), ([w for w, p in zip(new, plain, strict=True) if not p], self._one_by_one)]
+        for group, encode in groups:
+            for i in range(0, len(group), ENCODE_AT_ONCE):
+                part = group[i : i + ENCODE_AT_ONCE]
+                for word, ids in zip(part, encode(part), strict=True):
+                    (self.known if len(word) <= UNIT_BYTES and len(self.known) < KEPT_UNITS else once)[word] = ids
+        return once
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        once = self._learn(distinct)
+        known = self.known
+        table = [known[w] if w in known else once[w] for w in distinct] if once else [known[w] for w in distinct]
+        length = np.array(list(map(len, table)), np.int64) // 4
+        first = np.cumsum(length) - length
+        code = coded.indices.to_numpy()
+        n = length[code]
+        at = np.append(0, np.cumsum(n))
+        flat = np.frombuffer(b"".join(table), "<u4")[np.repeat(first[code] - at[:-1], n) + np.arange(at[-1])]
+        bounds = at[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [flat[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+
+
+_WORDS: dict[str, Words] = {}
+
+
+def words(path: str) -> Words:
+    """The worker's known words; workers serve many tasks."""
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
 
 
 class Writer:
@@ -138,18 +226,18 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, block_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        known = units(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
+        known = words(vocabulary)
+        end = np.array([end_id], np.uint32)
         out = None
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(i, ROWS_AT_ONCE)
-                ids = known.all_ids([units_of(t) for t in part.column(1).to_pylist()])
+                ids = known.ids(part.column(1).to_pylist())
                 for doc_id, own in zip(part.column(0).to_pylist(), ids, strict=True):
                     if out is None:
                         path = f"{folder}/shard-{shard:06d}.ids"
                         out = Writer(path, bits, block_ids)
-                    out.add(doc_id, np.frombuffer(own + end, "<u4"))
+                    out.add(doc_id, np.concatenate([own, end]))
         if out is not None:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
