@@ -1,11 +1,14 @@
 """Removal of repeated word windows, found by recompression.
 
-Three rounds rewrite each text's words: runs of one symbol become a symbol, then pairs of neighbours, left then right by
-a bit of their hash, become one. A symbol's name depends on what it stands for alone, so it is the same in every
-document without any dictionary, and a symbol depends on a few words around it only: inside equal passages the symbols
-are equal. Each window takes one of its highest symbols (with the words that decide it) as its sign, chosen by
-the window's words alone; a window that repeats has a sign that repeats. Spark counts the signs, and only windows under shared signs are
-named whole, compared and removed. Windows without an inner symbol go the second way unfiltered.
+Rounds rewrite the texts' words: runs of one symbol become a symbol, then pairs of neighbours, left then right by a bit of
+their hash, become one. A symbol's name depends on what it stands for alone, so it is the same in every document without
+any dictionary, and a symbol depends on a few words around it only: inside equal passages the symbols are equal. Each
+window takes one of its highest symbols (with the words that decide it) as its sign, chosen by the window's words alone.
+Neighbouring windows mostly share their symbol, and such a stretch of windows is one row.
+
+Spark then compares stretches: of equal ones (sign, and a hash of all their words) all but the first are removed as a
+whole. What is left is one stretch of each kind; where several kinds share a sign, their windows are named one by one and
+compared. A window that starts earlier lies in the first stretch of its kind, so nothing is missed.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import assign, small_side, staged, text_key
+from scorewright.llm.common import assign, dropped, small_side, staged, text_key
 
 WINDOW = 20
-ROUNDS = 3
+ROUNDS = 2
+#: Words of whole texts worked on at once; a longer text is worked on alone.
+WORDS_AT_ONCE = 200_000
 _END = np.iinfo(np.int32).max
 
 
@@ -122,91 +127,123 @@ def signs_of_windows(words: np.ndarray, window: int = WINDOW, rounds: int = ROUN
 def window_names(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64- and 32-bit names of each window's words, in order."""
     n = len(words) - window + 1
-    h, g = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    w = _mix(words, 11)
-    for k in range(window):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : n + k]
-        g = g * np.uint64(0xD6E8FEB86659FD93) + w[k : n + k]
-    return _mix(h, 12), (_mix(g, 13) >> np.uint64(32)).astype(np.uint32)
+    return _names(words, np.arange(max(n, 0)), np.arange(max(n, 0)) + window)
 
 
-def _spans(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the stretches of windows that share one symbol, or have none."""
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    return first, np.diff(np.append(first, len(place)))
+def _names(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the words low to high - 1, of any number."""
+    length = _mix((high - low).astype(np.uint64), 14)
+    return _mix(_Sums(words)(low, high) ^ length, 12), (_mix(_Sums(_mix(words, 11))(low, high) ^ length, 13) >> np.uint64(32)).astype(np.uint32)
 
 
-def _signed(docs: DataFrame, window: int) -> DataFrame:
-    """(key, sign, start, length): the stretches of windows of each text; sign is null where none is inside."""
+def _joined(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words in one array, each text closed by a hash of its own, and where the texts start.
 
+    No window that holds such a closing hash counts, and symbols that depend on one lie in no other window, so a text's
+    signs are those it has alone.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(sizes + 1) - sizes - 1
+    out = np.empty(int(sizes.sum()) + len(texts), np.uint64)
+    ends = np.zeros(len(out), bool)
+    ends[first + sizes] = True
+    out[ends] = _mix(np.arange(len(texts), dtype=np.uint64), 15)
+    out[~ends] = word_hashes([w for t in texts for w in t])
+    return out, first
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[list[dict], list[list[bytes]]]]:
+    """Rows whose text has a window, with its words, about WORDS_AT_ONCE words at a time."""
+    rows: list[dict] = []
+    texts: list[list[bytes]] = []
+    n = 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            for row in batch.slice(i, 500).to_pylist():
+                words = (row.pop("text") or "").encode().split()
+                if len(words) < window:
+                    continue
+                rows.append(row)
+                texts.append(words)
+                n += len(words)
+                if n >= WORDS_AT_ONCE:
+                    yield rows, texts
+                    rows, texts, n = [], [], 0
+    if rows:
+        yield rows, texts
+
+
+def stretches(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(text, start, length, sign, name, check) of the stretches of windows of one sign in texts joined as above.
+
+    Windows without a symbol inside are stretches of their own, their name is their sign.
+    """
+    sign, place = signs_of_windows(words, window)
+    n = len(sign)
+    at = np.arange(n)
+    text = np.searchsorted(first, at, "right") - 1
+    inside = at + window < np.append(first[1:], len(words))[text]
+    bare = place < 0
+    place = np.where(bare, -2 - at, place)
+    start = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1]))[:n])
+    length = np.diff(np.append(start, n))
+    start, length = start[inside[start]], length[inside[start]]
+    name, check = _names(words, start, start + length + window - 1)
+    own = np.where(bare[start], name, sign[start])
+    return text[start], start - first[text[start]], length, own, name, check
+
+
+STRETCH = "doc_id long, key long, start int, length int, sign long, name long, check int"
+
+
+def _stretches(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                keys, signs, none, starts, lengths = [], [], [], [], []
-                for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    words = (text or "").encode().split()
-                    if len(words) < window:
-                        continue
-                    sign, place = signs_of_windows(word_hashes(words), window)
-                    first, length = _spans(place)
-                    keys.append(np.full(len(first), key, np.int64))
-                    signs.append(sign[first].view(np.int64))
-                    none.append(place[first] < 0)
-                    starts.append(first)
-                    lengths.append(length)
-                if keys:
-                    columns = [np.concatenate(x) for x in (keys, signs, none, starts, lengths)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[0]), pa.array(columns[1], pa.int64(), mask=columns[2]), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())],
-                        ["key", "sign", "start", "length"],
-                    )
-
-    return docs.select("key", "text").mapInArrow(run, "key long, sign long, start int, length int")
+        for rows, texts in _in_parts(batches, window):
+            text, start, length, sign, name, check = stretches(*_joined(texts), window)
+            ids, keys = (np.array([r[c] for r in rows], np.int64)[text] for c in ("doc_id", "key"))
+            columns = [ids, keys, start.astype(np.int32), length.astype(np.int32), sign.view(np.int64), name.view(np.int64), check.view(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in STRETCH.split(", ")])
+
+    return docs.select("doc_id", "key", "text").mapInArrow(run, STRETCH)
 
 
 def _named(docs: DataFrame, window: int) -> DataFrame:
     """(name, check, doc_id, key, at) of the windows in ``spans`` of each row of ``docs`` (doc_id, key, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                names, checks, ids, keys, ats = [], [], [], [], []
-                for doc_id, key, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key", "text", "spans")), strict=True):
-                    name, check = window_names(word_hashes(text.encode().split()), window)
-                    at = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["length"]) for s in spans]))
-                    names.append(name[at].view(np.int64))
-                    checks.append(check[at].view(np.int32))
-                    ids.append(np.full(len(at), doc_id, np.int64))
-                    keys.append(np.full(len(at), key, np.int64))
-                    ats.append(at)
-                if names:
-                    columns = [np.concatenate(x) for x in (names, checks, ids, keys, ats)]
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "check", "doc_id", "key", "at"])
+        for rows, texts in _in_parts(batches, window):
+            words, first = _joined(texts)
+            spans = [(i, s["start"], s["length"]) for i, r in enumerate(rows) for s in r["spans"]]
+            text, start, length = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+            row = np.repeat(text, length)
+            at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+            name, check = _names(words, first[row] + at, first[row] + at + window)
+            ids, keys = (np.array([r[c] for r in rows], np.int64)[row] for c in ("doc_id", "key"))
+            columns = [name.view(np.int64), check.view(np.int32), ids, keys, at.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "check", "doc_id", "key", "at"])
 
     return docs.select("doc_id", "key", "text", "spans").mapInArrow(run, "name long, check int, doc_id long, key long, at int")
 
 
 def _rewritten(docs: DataFrame, window: int, schema: str, kept: list[str]) -> DataFrame:
-    """Drops the words covered by the windows at ``starts``; all of them where ``copy`` holds and a window fits."""
+    """Drops the words covered by the stretches of windows in ``gone``; all of them where ``copy`` holds and a window fits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 n_words, n_removed, texts = [], [], []
-                for text, starts, copy in zip(*(part.column(c).to_pylist() for c in ("__text", "__starts", "__copy")), strict=True):
+                for text, gone, copy in zip(*(part.column(c).to_pylist() for c in ("__text", "__gone", "__copy")), strict=True):
                     words = (text or "").encode().split()
                     n = len(words)
                     n_words.append(n)
                     if copy and n >= window:
                         words = []
-                    elif starts:
+                    elif gone:
                         edge = np.zeros(n + 1, np.int64)
-                        edge[starts] += 1
-                        np.subtract.at(edge, np.asarray(starts) + window, 1)
+                        for g in gone:
+                            edge[g["start"]] += 1
+                            edge[g["start"] + g["length"] + window - 1] -= 1
                         words = [w for w, c in zip(words, np.cumsum(edge)[:n].tolist(), strict=True) if c == 0]
                     n_removed.append(n - len(words))
                     texts.append(b" ".join(words).decode())
@@ -228,30 +265,45 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     named like the new ones are replaced.
     """
     late = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    base = docs.select(F.col("doc_id"), "text").withColumns({"order": late, "key": text_key(F.col("text"))})
-    # texts that occur under several ids: all but the first are copies as a whole
+    other_key = F.xxhash64(F.lit(7), F.coalesce(F.col("text"), F.lit("")))
+    base = docs.select(F.col("doc_id"), "text").withColumns({"order": late, "key": text_key(F.col("text")), "key2": other_key})
+    # texts, told by 128 bits, that occur under several ids: all but the first are copies as a whole
     several = staged(
-        base.groupBy("key").agg(F.min("order").alias("first"), F.max("order").alias("last")).where("first < last").select("key", "first"), "substrings"
+        base.groupBy("key", "key2").agg(F.min("order").alias("first"), F.max("order").alias("last")).where("first < last").select("key", "key2", "first"), "substrings"
     )
     several_side = small_side(several)
-    originals = base.join(several_side, "key", "left").where(F.col("first").isNull() | (F.col("order") == F.col("first"))).select("key", F.col("order").alias("doc_id"), "text")
-
-    spans = staged(_signed(originals, window), "substrings")
-    counted = spans.where("sign is not null").groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sign")
-    live = spans.join(counted, "sign", "left_semi").unionByName(spans.where("sign is null").select("sign", "key", "start", "length"))
+    originals = base.join(several_side, ["key", "key2"], "left").where(F.col("first").isNull() | (F.col("order") == F.col("first")))
+    originals = originals.select("key", F.col("order").alias("doc_id"), "text")
+
+    spans = staged(_stretches(originals, window), "substrings")
+    # counts combine before the shuffle: one row per task and sign, so a passage in every document is no burden
+    counted = spans.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sign")
+    found = staged(spans.join(counted, "sign", "left_semi"), "substrings")
+    dropped(spans)
+    kind = ["sign", "name", "check"]
+    kinds = staged(found.groupBy(*kind).agg(F.min(F.struct("doc_id", "key", "start", "length")).alias("first"), F.count(F.lit(1)).alias("n")), "substrings")
+    again = found.join(kinds.where("n > 1").select(*kind, "first"), kind)
+    again = again.where(F.struct("doc_id", "key", "start") > F.struct("first.doc_id", "first.key", "first.start")).select("doc_id", "key", "start", "length")
+    again = staged(again, "substrings")
+    dropped(found)
+
+    # only kinds that share their sign with others can hold windows of others
+    shared = kinds.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sign")
+    live = kinds.join(shared, "sign", "left_semi").select("first.*")
     live = staged(live.groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "substrings")
-
+    dropped(kinds)
     windows = staged(_named(originals.join(live, "key"), window), "substrings")
+    dropped(live)
     place = F.struct("doc_id", "key", "at")
-    # partial minima leave one row per task and window, so a passage in every document is no burden
     firsts = windows.groupBy("name", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "check", "first")
-    later = windows.join(firsts, ["name", "check"]).where(place > F.col("first"))
-    starts = staged(later.groupBy("doc_id", "key").agg(F.collect_set("at").alias("__starts")), "substrings")
+    later = windows.join(firsts, ["name", "check"]).where(place > F.col("first")).select("doc_id", "key", F.col("at").alias("start"), F.lit(1).alias("length"))
+    gone = staged(again.unionByName(later).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "length")).alias("__gone")), "substrings")
+    dropped(windows, again)
 
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept], "n_words long, n_removed long, kept_text string"])
-    rows = assign(docs.select(*[F.col(f"`{c}`") for c in kept]), __text=F.col("text"), __order=late, __key=text_key(F.col("text")))
-    rows = rows.join(starts.select(F.col("doc_id").alias("__order"), F.col("key").alias("__key"), "__starts"), ["__order", "__key"], "left")
-    rows = rows.join(several_side.select(F.col("key").alias("__key"), F.col("first").alias("__first")), "__key", "left")
-    rows = rows.select(*kept, "__text", "__starts", (F.col("__order") > F.col("__first")).alias("__copy"))
+    rows = assign(docs.select(*[F.col(f"`{c}`") for c in kept]), __text=F.col("text"), __order=late, __key=text_key(F.col("text")), __key2=other_key)
+    rows = rows.join(gone.select(F.col("doc_id").alias("__order"), F.col("key").alias("__key"), "__gone"), ["__order", "__key"], "left")
+    rows = rows.join(several_side.select(F.col("key").alias("__key"), F.col("key2").alias("__key2"), F.col("first").alias("__first")), ["__key", "__key2"], "left")
+    rows = rows.select(*kept, "__text", "__gone", (F.col("__order") > F.col("__first")).alias("__copy"))
     return _rewritten(rows, window, schema, kept)
