@@ -1,14 +1,13 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Texts become hashed counts of the 1- to 3-byte n-grams of their lower-cased UTF-8, weighted by (1 + log tf) * idf and scaled to
-length 1. Document frequencies are counted by Spark over all training documents. The weights are fitted on a bounded,
+Texts become hashed counts of the 1- to 3-character n-grams of their lower-cased code points, weighted by (1 + log tf) * idf
+and scaled to length 1. Document frequencies are counted by Spark over all training documents. The weights are fitted on a bounded,
 hash-drawn sample of them (SAMPLE_PER_CLASS documents of each language) by follow-the-regularised-leader with an
 elastic-net penalty; then one temperature is fitted on sample documents held back from the weights.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,15 +30,18 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.02
 CALIBRATION_SHARE = 5
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode categories L is in the text; number signs and marks are none."""
+    return any(map(str.isalpha, text))
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Indexes and counts of the text's hashed n-grams; a space stands before and after it."""
-    b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
-    pairs = b[:-1] | (b[1:] << np.uint32(8))
-    grams = np.concatenate([b, pairs + np.uint32(1 << 24), (pairs[:-1] | (b[2:] << np.uint32(16))) + np.uint32(1 << 25)])
-    slot = (grams * np.uint32(2654435761)) >> np.uint32(32 - FEATURES.bit_length() + 1)
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4")
+    pairs = c[:-1] * np.uint32(0x9E3779B1) + c[1:] + np.uint32(1)
+    grams = np.concatenate([c, pairs, pairs[:-1] * np.uint32(0x85EBCA77) + c[2:] + np.uint32(2)])
+    slot = ((grams ^ (grams >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(32 - FEATURES.bit_length() + 1)
     n = np.bincount(slot, minlength=FEATURES)
     at = np.flatnonzero(n)
     return at, n[at]
@@ -66,7 +68,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its probability; ``und`` with 0 for texts without letters and when no language was learned."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0
         p = softmax(self.logits(*features(text, self.idf)) / self.temperature)
         k = int(p.argmax())
@@ -117,7 +119,8 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", sample_per_class:
     rows = docs.where(training & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col(lang).alias("lang"))
     n, df = _document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    order = F.xxhash64(F.lit(6), F.col("doc_id"))
+    # rows of one id, or without, differ by their texts
+    order = F.xxhash64(F.lit(6), F.col("doc_id"), text_key(F.col("text")))
     first = Window.partitionBy("lang").orderBy("order", "doc_id", text_key(F.col("text")))
     rows = rows.withColumn("order", order)
     sample = rows.join(F.broadcast(_cuts(rows, sample_per_class)), "lang").where("order <= cut").withColumn("rank", F.row_number().over(first))
