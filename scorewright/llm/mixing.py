@@ -140,11 +140,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
 
 
 def repeat(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: each row as often as ``copies`` says, and its first ``part`` words, joined by spaces; only
-    ``columns`` are kept."""
-    last = F.col("copies") + (F.col("part") > 0).cast("long")
-    times = F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("__n")
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("__n") > F.col("copies"), F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("text"))
-    rows = mixed.where(last > 0).select("*", times)
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])
+    """The mix itself, of whole documents: each row as often as ``copies`` says, and once more if at least half of its
+    words were wanted (``part``), so that a source misses its target by half a document at most; only ``columns`` are
+    kept. Null and empty texts come as they are, as often as their source's epochs."""
+    times = F.col("copies") + ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")
+    rows = mixed.withColumn("__n", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return rows.select(*[F.col(f"`{c}`") for c in columns])

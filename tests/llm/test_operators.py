@@ -110,7 +110,18 @@ def test_mix_draws_good_documents_first_and_repeats_rows(spark):
     assert share[1] > 1.5 * share[0]
     mixed = mixing.repeat(out, df.columns)
     assert mixed.columns == df.columns and mixed.count() == out.agg(F.sum(out.copies + (out.part > 0).cast("int"))).first()[0]
-    assert sum(len(brute.words(r.text)) for r in mixed.collect()) == out.agg({"taken": "sum"}).first()[0]
+    given, taken = Counter(df.select("doc_id", "text").collect()), Counter(mixed.select("doc_id", "text").collect())
+    assert set(taken) <= set(given)  # whole texts only
+    words = {s: sum(len(brute.words(r.text)) for r in mixed.where(F.col("source") == s).collect()) for s in "xy"}
+    for r in out.groupBy("source").agg(F.sum("taken").alias("n"), F.max("size").alias("most")).collect():
+        assert abs(words[r.source] - r.n) <= r.most / 2
+
+
+def test_mix_repeats_odd_rows(spark):
+    rows = [(None, None, None), (1, "", "a"), (2, "x", "a"), (2, "x", "a"), (3, "w " * 30_000, "a"), (4, " \n", "b"), (5, "y z", None)]
+    df = table(spark, rows)
+    mixed = mixing.repeat(mixing.mix(df), df.columns)
+    assert mixed.columns == df.columns and {(r.doc_id, r.text, r.source) for r in mixed.collect()} <= set(rows)
 
 
 # ---------------------------------------------------------------- n-gram Jaccard join
@@ -240,8 +251,9 @@ def test_bpe_chunks_agree_with_the_library(texts, shared):
 @given(CHARS)
 @settings(max_examples=150, deadline=None)
 def test_words_tokenize_independently(text):
-    units = bpe.Units(WORDS)
-    assert np.frombuffer(units.all_ids([token_files.units_of(text)])[0], "<u4").tolist() == units.tokenizer.encode(text, add_special_tokens=False).ids
+    words = token_files.words(WORDS)
+    texts = [text, None, text.replace("<", "x"), "", text * 3]
+    assert [ids.tolist() for ids in words.ids(texts)] == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @given(st.lists(st.integers(0, 50256), max_size=60))
@@ -274,6 +286,27 @@ def test_shards(both):
 # ---------------------------------------------------------------- languages
 
 
+def test_letters_are_those_of_category_l():
+    import sys
+    import unicodedata
+
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            assert language.has_letter(f" {c}1") == unicodedata.category(c).startswith("L")
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(i, f"the words of a text number {i}", "a") for i in range(30)] + [(100, "² ½ 12", "a"), (101, "Ⅷ", "a"), (102, "_ ◌́ 7", "a"), (103, "ª", "a")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(table(spark, rows)).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (100, 101, 102)) and got[103][0] == "en"
+
+
+def test_language_of_many_rows_with_one_id(spark):
+    rows = [(None, f"row {i} of many words", "a") for i in range(3000)] + [(7, "equal rows of one id", "a")] * 500
+    model = language.fit(table(spark, rows), F.lit(True), sample_per_class=50)
+    assert model.languages == ["en"]
+
+
 def test_languages_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs.select("doc_id", "text", "lang")).collect()
@@ -325,6 +358,21 @@ def test_equal_windows_have_equal_signs(left, right, middle):
     assert all(len(v) == 1 for v in by_content.values())
 
 
+@given(st.lists(st.lists(st.integers(0, 3), max_size=40), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_stretches_hold_each_window_once(texts):
+    """Texts worked on together give what each gives alone; equal stretches have one name, others none in common."""
+    split = [[b"%d" % x for x in t] for t in texts]
+    together = list(zip(*(c.tolist() for c in substrings.stretches(*substrings._joined(split), 12)), strict=True))
+    alone = [(i, *row[1:]) for i, t in enumerate(split) for row in zip(*(c.tolist() for c in substrings.stretches(*substrings._joined([t]), 12)), strict=True)]
+    assert together == alone
+    assert [(i, p) for i, s, n, *_ in together for p in range(s, s + n)] == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 11)]
+    kinds = {}
+    for i, s, n, *kind in together:
+        kinds.setdefault(tuple(kind), set()).add(tuple(texts[i][s : s + n + 11]))
+    assert all(len(k) == 1 for k in kinds.values())
+
+
 @pytest.mark.parametrize("window,long_words", [(2, 50), (3, 10_000)])
 def test_lines(spark, both, window, long_words):
     df, rows = both
