@@ -1,4 +1,4 @@
-"""Rule metrics: histogram path for threshold rules, hit lists for compound rules."""
+"""Rule metrics: histogram path for threshold rules, an index of comparisons for compound rules."""
 
 from __future__ import annotations
 
@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions.numeric import distinct_estimate, ratio
-from scorewright.functions.rule_expr import BadRule, compile_rules
+from scorewright.functions.rule_expr import BadRule
 from scorewright.operators.histogram import edge_table, histogram
+from scorewright.operators.rule_index import rule_sums
 from scorewright.operators.rules import number_text
 
 # Hit weight below which a rule's metrics are zero.
 MIN_HIT_WEIGHT = 1.0
 
 
-def weight_column(weight: str | None) -> Column:
+def weight_column(weight: str | Column | None) -> Column:
+    if isinstance(weight, Column):
+        return weight.cast("double")
     return (F.col(weight) if weight else F.lit(1.0)).cast("double")
 
 
@@ -93,37 +96,18 @@ def hit_list(hits: Sequence[Column], first: int = 0) -> Column:
     return F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hits, first)]))
 
 
-def exploded_hits(df: DataFrame, keep: Sequence[Column], hits: Sequence[Column]) -> DataFrame:
-    """One row (keep..., pos) per row and rule hit.
-
-    Long rule lists are cut into short ones over the same pruned scan: a hundred
-    conditions in one expression would run uncompiled, many times slower.
-    """
-    out = None
-    for a in range(0, max(len(hits), 1), RULES_PER_SCAN):
-        part = df.select(*keep, F.explode(hit_list(hits[a:a + RULES_PER_SCAN], a)).alias("pos"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def compound_rule_metrics(
     df: DataFrame, rules: Sequence[str], target: str, weight: str | None = None
 ) -> tuple[DataFrame, list[BadRule]]:
-    """Metrics of arbitrary rules: hit positions are exploded and summed map-side."""
-    good, bad = compile_rules(rules, df.columns)
+    """Metrics of any number of arbitrary rules from one scan."""
     total = totals(df, target, weight)
-    names = [r for r, _ in good]
     w = weight_column(weight)
-    pos = exploded_hits(df, [w.alias("w"), (F.col(target) == 1).alias("is_bad")], [h for _, h in good])
-    sums = pos.groupBy("pos").agg(
-        F.count(F.lit(1)).alias("hit_n"), F.sum("w").alias("hit_w"),
-        F.coalesce(F.sum(F.when(F.col("is_bad"), F.col("w"))), F.lit(0.0)).alias("bad_w"),
-    )
-    table = df.sparkSession.createDataFrame([(i, r) for i, r in enumerate(names)], "pos int, rule string")
-    out = table.join(sums, "pos", "left").fillna(0, ["hit_n", "hit_w", "bad_w"]).select(
+    sums, index = rule_sums(df, rules, {"hit_w": w, "bad_w": F.when(F.col(target) == 1, w)})
+    table = df.sparkSession.createDataFrame(list(enumerate(index.names)), "pos int, rule string")
+    out = table.join(sums.withColumnRenamed("n", "hit_n"), "pos", "left").fillna(0, ["hit_n", "hit_w", "bad_w"]).select(
         "pos", "rule", "hit_n", "hit_w", "bad_w", *metric_columns(F.col("hit_w"), F.col("bad_w"), total)
     )
-    return out, bad
+    return out, index.bad
 
 
 def filter_by_metrics(metrics: DataFrame, max_hit_rate: float = 0.03, min_lift: float = 3.5) -> DataFrame:

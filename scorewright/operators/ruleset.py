@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from scorewright.functions.numeric import ratio, when_sum
 from scorewright.functions.rule_expr import any_of, compile_rules
-from scorewright.operators.evaluate import exploded_hits, hit_list, totals, weight_column
+from scorewright.operators.evaluate import hit_list, totals, weight_column
+from scorewright.operators.rule_index import rule_sums
 
 
 def compiled(df: DataFrame, rules: Sequence[str]) -> list[tuple[str, Column]]:
@@ -85,19 +86,14 @@ def prior_increment(
     df: DataFrame, rules: Sequence[str], prior: Sequence[str], target: str, weight: str | None = None
 ) -> DataFrame:
     """Each rule alone and on top of the OR of the prior rules."""
-    good = compiled(df, rules)
     total = totals(df, target, weight)
-    prior_hit = any_of([h for _, h in compiled(df, prior)])
-    keep = [weight_column(weight).alias("w"), (F.col(target) == 1).alias("bad"), prior_hit.alias("in_prior")]
-    pos = exploded_hits(df, keep, [h for _, h in good])
-    bad, fresh = F.col("bad"), ~F.col("in_prior")
-    sums = pos.groupBy("pos").agg(
-        F.sum("w").alias("w"), when_sum(bad, F.col("w")).alias("bad_w"),
-        when_sum(fresh, F.col("w")).alias("new_w"), when_sum(fresh & bad, F.col("w")).alias("new_bad_w"),
-        when_sum(F.col("in_prior"), F.col("w")).alias("both_w"),
-    )
+    in_prior = any_of([h for _, h in compiled(df, prior)])
+    w, bad = weight_column(weight), F.col(target) == 1
+    sums, index = rule_sums(df, rules, {
+        "w": w, "bad_w": F.when(bad, w), "new_w": F.when(~in_prior, w), "new_bad_w": F.when(~in_prior & bad, w), "both_w": F.when(in_prior, w),
+    })
     tw, tb = F.lit(total["w"]), F.lit(total["bad_w"])
-    out = names_table(df, [r for r, _ in good]).join(sums, "pos", "left").fillna(0.0)
+    out = names_table(df, index.names).join(sums, "pos", "left").fillna(0.0)
     alone, extra = ratio(F.col("bad_w"), tb), ratio(F.col("new_bad_w"), tb)
     return out.select(
         "rule", alone.alias("standalone_recall"), ratio(F.col("w"), tw).alias("standalone_hit_rate"),
@@ -129,17 +125,11 @@ def amount_value(name: str) -> Column:
 
 def rule_amounts(df: DataFrame, rules: Sequence[str], target: str, amount: str) -> DataFrame:
     """Hit and bad amounts per rule with shares, amount bad rate and amount lift."""
-    good = compiled(df, rules)
     amt, bad = amount_value(amount), F.col(target) == 1
     t = df.agg(F.sum(amt).alias("a"), when_sum(bad, amt).alias("b")).first()
     total, total_bad = F.lit(t["a"] or 0.0), F.lit(t["b"] or 0.0)
-    sums = (
-        exploded_hits(df, [amt.alias("amt"), bad.alias("bad")], [h for _, h in good])
-        .groupBy("pos")
-        .agg(F.count(F.lit(1)).alias("hit_n"), F.sum("amt").alias("hit_amount"),
-             when_sum(F.col("bad"), F.col("amt")).alias("bad_amount"))
-    )
-    out = names_table(df, [r for r, _ in good]).join(sums, "pos", "left").fillna(0)
+    sums, index = rule_sums(df, rules, {"hit_amount": amt, "bad_amount": F.when(bad, amt)})
+    out = names_table(df, index.names).join(sums.withColumnRenamed("n", "hit_n"), "pos", "left").fillna(0)
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))

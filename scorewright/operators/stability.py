@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from scorewright.functions.numeric import ratio
 from scorewright.functions.rule_expr import any_of
-from scorewright.operators.evaluate import exploded_hits
 from scorewright.operators.histogram import histogram
 from scorewright.operators.quantiles import column_ranges
+from scorewright.operators.rule_index import rule_sums
 from scorewright.operators.ruleset import compiled
 
 PSI_EPS = 1e-6
@@ -24,11 +24,11 @@ def psi_label(psi: Column) -> Column:
 
 
 def hit_rates_by(df: DataFrame, rules: Sequence[str], split: str) -> DataFrame:
-    """(pos, rule, split, rate): hits per (split, rule), with a first rule that every row hits."""
-    good = compiled(df, rules)
-    listed = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(r).alias("rule")) for i, (r, _) in enumerate(good)])
-    pos = exploded_hits(df, [F.col(split)], [F.lit(True), *[h for _, h in good]])
-    hits = pos.groupBy(split, (F.col("pos") - 1).alias("pos")).agg(F.count(F.lit(1)).alias("hit_n"))
+    """(pos, rule, split, rate): hits per (split, rule), from one scan."""
+    sums, index = rule_sums(df, rules, {}, split)
+    hits = sums.withColumnRenamed("n", "hit_n")
+    # few splits: every rule stands in each of them, whether it hits there or not
+    listed = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(r).alias("rule")) for i, r in enumerate(index.names)])
     grid = hits.where("pos = -1").select(split, F.col("hit_n").alias("n"), F.inline(listed))
     return grid.join(hits, [split, "pos"], "left").select(
         "pos", "rule", split, ratio(F.coalesce(F.col("hit_n"), F.lit(0)), F.col("n")).alias("rate")

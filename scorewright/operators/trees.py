@@ -2,19 +2,21 @@
 
 Full-feature trees are grown level by level from (node, feature, bin) counts over
 all rows, the bins cut at exact quantiles. Trees on many small variable
-combinations are grown on binned cubes: Spark counts the cells of every
-combination in one job and each cube, bounded by bins ** n_vars cells, is split in
-``applyInPandas``.
+combinations are grown on binned cubes: every task counts the cells of a block of
+combinations into dense arrays, batch by batch, and hands on its sums once, so no
+row is multiplied by the number of combinations. Each cube, bounded by
+bins ** n_vars cells, is split in ``applyInPandas``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ from scorewright.operators.evaluate import weight_column
 from scorewright.operators.histogram import binned_long, clean_double
 from scorewright.operators.rules import BINARY_MARKERS
 
-CUBE_CELLS = 10_000_000
+#: Bytes of the dense counts a task holds; combinations beyond it go to further blocks, each a scan of the bin codes.
+CUBE_BYTES = 64 * 2**20
 
 
 def threshold_text(t: float) -> str:
@@ -131,7 +134,7 @@ def combos(features: Sequence[str], n_vars: int, max_onehot: int = 2, marker: st
     return [c for c in combinations(features, n_vars) if sum(marker in f for f in c) <= max_onehot]
 
 
-def binned_wide(df: DataFrame, cuts: dict[str, list[float]], target: str, weight: str | None) -> DataFrame:
+def binned_wide(df: DataFrame, cuts: dict[str, list[float]], target: str, weight: str | Column | None) -> DataFrame:
     """One bin-index column per feature with target and weight, nothing else."""
     from pyspark.ml.feature import Bucketizer
 
@@ -153,31 +156,69 @@ def binned_wide(df: DataFrame, cuts: dict[str, list[float]], target: str, weight
     return base.select(*bins, "bad", "w")
 
 
+def cube_blocks(sizes: Sequence[int], max_bytes: int | None = None) -> list[list[int]]:
+    """Combinations, given by their cells, dealt to blocks whose three counts fit the bytes; a larger one is a block by itself."""
+    room = CUBE_BYTES if max_bytes is None else max_bytes
+    out: list[list[int]] = [[]]
+    used = 0
+    for c, size in enumerate(sizes):
+        if out[-1] and used + 24 * size > room:
+            out.append([])
+            used = 0
+        out[-1].append(c)
+        used += 24 * size
+    return out
+
+
 def combination_cubes(
-    df: DataFrame, cuts: dict[str, list[float]], sets: Sequence[tuple[str, ...]], target: str, weight: str | None = None
+    df: DataFrame, cuts: dict[str, list[float]], sets: Sequence[tuple[str, ...]], target: str, weight: str | Column | None = None
 ) -> DataFrame:
-    """(combo, cell) -> n, w, bad_w for every variable combination in one job.
+    """(combo, cell) -> n, w, bad_w for every variable combination.
 
-    A cell is one number, its bins written in base ``radix(cuts)``. When the joint
-    binned table has far fewer cells than rows, rows collapse to it before they are
-    multiplied by the number of combinations.
+    A cell is one number, its bins written in base ``radix(cuts)``. A task adds up its
+    rows in arrays of all cells of a block of combinations, so it hands on at most one
+    row per cell, whatever its rows. Rows that miss one of a combination's values do
+    not count in it. A column as ``weight`` gives class weights.
     """
     feats = list(cuts)
+    pos, base = {f: i for i, f in enumerate(feats)}, radix(cuts)
     wide = binned_wide(df, cuts, target, weight)
-    size = 1
-    for f in feats:
-        size *= len(cuts[f]) + 2
-    keys = [f"b{i}" for i in range(len(feats))]
-    measures = [F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("bad_w").alias("bad_w")]
-    rows = wide.select(*keys, F.lit(1).alias("n"), "w", F.when(F.col("bad"), F.col("w")).otherwise(F.lit(0.0)).alias("bad_w"))
-    if size <= CUBE_CELLS and size * 10 <= df.count():
-        rows = rows.groupBy(*keys).agg(*measures)
-    pos = {f: i for i, f in enumerate(feats)}
-    base = radix(cuts)
-    cells = [f"{c}, " + " + ".join(f"{base ** j}L * b{pos[f]}" for j, f in enumerate(s)) for c, s in enumerate(sets)]
-    long = rows.select("n", "w", "bad_w", F.expr(f"stack({len(cells)}, {', '.join(cells)}) AS (combo, cell)"))
-    # a missing value makes the whole number missing
-    return long.where("cell IS NOT NULL").groupBy("combo", "cell").agg(*measures)
+    codes = wide.select(
+        *[F.coalesce(F.col(f"b{i}"), F.lit(-1)).cast("int").alias(f"b{i}") for i in range(len(feats))],
+        F.coalesce("w", F.lit(0.0)).alias("w"), F.when(F.col("bad"), F.coalesce("w", F.lit(0.0))).otherwise(F.lit(0.0)).alias("bad_w"),
+    )
+
+    def counter(block: list[int]):
+        shapes = {c: tuple(len(cuts[f]) + 1 for f in sets[c]) for c in block}
+        places = {c: [pos[f] for f in sets[c]] for c in block}
+        powers = {c: np.array([base**j for j in range(len(sets[c]))], np.int64) for c in block}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {c: np.zeros((3, math.prod(shape))) for c, shape in shapes.items()}
+            for batch in batches:
+                bins = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(feats))]
+                w, bad = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("w", "bad_w"))
+                for c, at in places.items():
+                    known = np.logical_and.reduce([bins[i] >= 0 for i in at])
+                    cell = np.ravel_multi_index([bins[i][known] for i in at], shapes[c])
+                    for k, v in enumerate((None, w[known], bad[known])):
+                        held[c][k] += np.bincount(cell, v, held[c].shape[1])
+            for c, sums in held.items():
+                full = np.flatnonzero(sums[0])
+                cell = np.stack(np.unravel_index(full, shapes[c]), axis=1) @ powers[c]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(full), c), pa.int32()), pa.array(cell, pa.int64()), pa.array(sums[0][full].astype(np.int64)), pa.array(sums[1][full]), pa.array(sums[2][full])],
+                    ["combo", "cell", "n", "w", "bad_w"],
+                )
+
+        return run
+
+    blocks = cube_blocks([math.prod(len(cuts[f]) + 1 for f in s) for s in sets])
+    out = None
+    for block in blocks:
+        part = codes.mapInArrow(counter(block), "combo int, cell long, n long, w double, bad_w double")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("combo", "cell").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("bad_w").alias("bad_w"))
 
 
 def radix(cuts: dict[str, list[float]]) -> int:
@@ -231,10 +272,10 @@ def _cube_tree(sets, edges, max_depth: int, min_leaf_share: float):
 
 
 def combination_tree_rules(
-    df: DataFrame, features: Sequence[str], target: str, weight: str | None = None, n_vars: int = 2, max_depth: int = 3,
+    df: DataFrame, features: Sequence[str], target: str, weight: str | Column | None = None, n_vars: int = 2, max_depth: int = 3,
     min_leaf_share: float = 0.02, n_bins: int = 20, max_onehot: int = 2,
 ) -> DataFrame:
-    """Distinct leaf rules of one tree per variable combination."""
+    """Distinct leaf rules of one tree per variable combination. A column as ``weight`` gives class weights."""
     small = small_domains(df, features, n_bins)
     cuts = {f: v[:-1] for f, v in small.items()}
     cuts.update(quantile_cuts(df, [f for f in features if f not in small], n_bins))
@@ -252,7 +293,7 @@ def combination_tree_rules(
 
 
 def rule_directions(
-    df: DataFrame, features: Sequence[str], target: str, weight: str | None = None, min_leaf_share: float = 0.02, max_depth: int = 3
+    df: DataFrame, features: Sequence[str], target: str, weight: str | Column | None = None, min_leaf_share: float = 0.02, max_depth: int = 3
 ) -> DataFrame:
     """Expected risk side per feature: var, cutoff, bad_rate, pct, lift, direction.
 

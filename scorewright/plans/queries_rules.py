@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.functions.numeric import rnd
-from scorewright.operators import binning, evaluate, rules, ruleset, stability, supervised, trees, validation
+from scorewright.operators import binning, clean, evaluate, rules, ruleset, stability, supervised, trees, validation
 from scorewright.operators.split import time_halves
 from scorewright.plans.queries_data import SPLIT, split_loans
 from scorewright.plans.registry import FEATURES, KEYS, LOANS, loans, query, sql_long, sql_quantile_bins, sql_woe, table
@@ -286,6 +286,62 @@ def compound_rule_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.drop("pos"), {"hit_w": 4, "bad_w": 4})
 
 
+MANY = [f"(l_quantity > {q}) & (l_discount <= {d / 100})" for q in range(50) for d in range(10)]
+
+
+@query(
+    "many_rule_metrics",
+    f"""WITH {LOANS}, {TOTAL}, rules AS (SELECT '(l_quantity > ' || q || ') & (l_discount <= ' || (d / 100.0)::DECIMAL(4, 2)::DOUBLE || ')' AS rule, q, d
+      FROM range(50) AS a(q), range(10) AS b(d)),
+    sums AS (SELECT rule, count(l_quantity) AS hit_n, coalesce(sum(w), 0) AS hit_w, coalesce(sum(w) FILTER (y = 1), 0) AS bad_w
+      FROM rules LEFT JOIN loans ON l_quantity > q AND l_discount <= (d / 100.0)::DECIMAL(4, 2) GROUP BY rule)
+    SELECT rule, hit_n, round(hit_w, 4) AS hit_w, round(bad_w, 4) AS bad_w, {metric_sql()} FROM sums, tot""",
+)
+def many_rule_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Five hundred rules in one scan."""
+    m, _ = evaluate.compound_rule_metrics(loans(spark, sf), MANY, "y", "w")
+    return rounded(m.drop("pos"), {"hit_w": 4, "bad_w": 4})
+
+
+MODES = ["AIR", "FOB", "MAIL", "RAIL", "REG AIR", "SHIP", "TRUCK"]
+_MODE = f"{MODES}[l_orderkey % 7 + 1]"
+
+
+@query(
+    "one_hot_rule_metrics",
+    f"""WITH {LOANS}, {TOTAL}, sums AS (SELECT m AS mode, count(*) AS hit_n, sum(w) AS hit_w, coalesce(sum(w) FILTER (y = 1), 0) AS bad_w
+      FROM loans JOIN (SELECT unnest(['{"', '".join(MODES)}']) AS m) ON {_MODE} = m AND l_quantity > 20 GROUP BY m)
+    SELECT '(mode_is_' || mode || ' > 0.5) & (l_quantity > 20)' AS rule, hit_n, round(hit_w, 4) AS hit_w, round(bad_w, 4) AS bad_w, {metric_sql()} FROM sums, tot""",
+)
+def one_hot_rule_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules on one-hot columns whose names hold what their values hold, spaces included."""
+    mode = F.element_at(F.array(*[F.lit(m) for m in MODES]), (F.col("l_orderkey") % 7 + 1).cast("int"))
+    out, _ = clean.one_hot(loans(spark, sf).withColumn("mode", mode), ["mode"])
+    m, _ = evaluate.compound_rule_metrics(out, [f"(mode_is_{x} > 0.5) & (l_quantity > 20)" for x in MODES], "y", "w")
+    return rounded(m.drop("pos"), {"hit_w": 4, "bad_w": 4})
+
+
+CUBE_CUTS = {"l_quantity": [10.0, 20.0, 35.0, 45.0], "l_discount": [0.02, 0.05], "l_tax": [0.01, 0.03, 0.06]}
+_BIN = {f: " + ".join(f"({f} > {c})::INT" for c in cs) for f, cs in CUBE_CUTS.items()}
+_PAIRS = [("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax")]
+
+
+@query(
+    "combination_cells",
+    f"WITH {LOANS} " + " UNION ALL ".join(
+        f"""SELECT '{a} & {b}' AS used_var, ({_BIN[a]})::INT AS first_bin, ({_BIN[b]})::INT AS second_bin, count(*) AS n, round(sum(w), 4) AS w,
+        round(coalesce(sum(w) FILTER (y = 1), 0), 4) AS bad_w FROM loans GROUP BY ALL""" for a, b in _PAIRS
+    ),
+)
+def combination_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The cubes that trees on variable combinations are grown from."""
+    cubes = trees.combination_cubes(loans(spark, sf), CUBE_CUTS, trees.combos(list(CUBE_CUTS), 2), "y", "w")
+    base = trees.radix(CUBE_CUTS)
+    name = F.element_at(F.array(*[F.lit(f"{a} & {b}") for a, b in _PAIRS]), F.col("combo") + 1)
+    out = cubes.select(name.alias("used_var"), (F.col("cell") % base).cast("int").alias("first_bin"), F.floor(F.col("cell") / base).cast("int").alias("second_bin"), "n", "w", "bad_w")
+    return rounded(out, {"w": 4, "bad_w": 4})
+
+
 @query("rule_ranking", f"{BASE}, {RULE_SUMS} SELECT rule, row_number() OVER (ORDER BY bad_w / hit_w DESC, rule) AS rank FROM sums")
 def rule_ranking(spark: SparkSession, sf: str) -> DataFrame:
     m, _ = evaluate.compound_rule_metrics(loans(spark, sf), TEXTS, "y", "w")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.rule_expr import BadRule, compile_rules
@@ -67,11 +67,19 @@ def prepare(df: DataFrame, roles: Roles, params: RuleMiningParams) -> tuple[Data
     return out, info
 
 
+def class_weight(df: DataFrame, roles: Roles, params: RuleMiningParams) -> Column:
+    """Row weights of trees and directions: balanced by class if the run asks for it or, on ``auto``, its classes do."""
+    balance = params.imbalance == "class_weight" or (
+        params.imbalance == "auto" and logit.imbalance(df, roles.target).first()["applied_strategy"] == "class_weight"
+    )
+    return logit.balanced_weight(df, roles.target, roles.weight) if balance else evaluate.weight_column(roles.weight)
+
+
 def generate(df: DataFrame, feats: Sequence[str], roles: Roles, params: RuleMiningParams) -> DataFrame:
     """Distinct candidate rules (rule, used_var, threshold, direction) of all modes."""
     parts = []
-    weight = roles.weight
     binary = columns.binary_features(df, feats)
+    tree_weight = class_weight(df, roles, params) if {"tree", "combination"} & set(params.modes) else None
     if "single" in params.modes:
         cuts = binning.thresholds(df, [f for f in feats if f not in binary], params.n_bins, params.bin_method, target=roles.target)
         cuts.update({f: [1.0] for f in binary})
@@ -79,14 +87,10 @@ def generate(df: DataFrame, feats: Sequence[str], roles: Roles, params: RuleMini
     if "tree" in params.modes:
         leaky = {r["feature"] for r in evaluate.leakage(df, list(feats), roles.target).where("leaky").collect()}
         use = [f for f in feats if f not in leaky]
-        balance = params.imbalance == "class_weight" or (
-            params.imbalance == "auto" and logit.imbalance(df, roles.target).first()["applied_strategy"] == "class_weight"
-        )
-        w = logit.balanced_weight(df, roles.target, weight) if balance else evaluate.weight_column(weight)
-        parts.append(trees.tree_rules(df, use, roles.target, w, params.max_depth, params.min_leaf_share))
+        parts.append(trees.tree_rules(df, use, roles.target, tree_weight, params.max_depth, params.min_leaf_share))
     if "combination" in params.modes and len(feats) >= params.n_vars:
         parts.append(
-            trees.combination_tree_rules(df, feats, roles.target, weight, params.n_vars, params.max_depth, params.min_leaf_share)
+            trees.combination_tree_rules(df, feats, roles.target, tree_weight, params.n_vars, params.max_depth, params.min_leaf_share)
         )
     out = None
     for p in parts:
@@ -135,7 +139,7 @@ def run(df: DataFrame, roles: Roles, params: RuleMiningParams | None = None) ->
     generated = generate(dev, res.features, roles, params).cache()
     listed = [r["rule"] for r in generated.select("rule").orderBy("rule").collect()]
     _, res.bad_rules = compile_rules(listed, dev.columns)
-    directions = trees.rule_directions(dev, res.features, roles.target, roles.weight).cache()
+    directions = trees.rule_directions(dev, res.features, roles.target, class_weight(dev, roles, params)).cache()
     t["directions"] = directions
     directed = evaluate.filter_multi_rules(evaluate.filter_by_direction(generated, directions), directions)
     metrics = measure(dev, directed, roles).cache()

@@ -295,14 +295,46 @@ def test_combination_trees(planted):
     m = compound_rule_metrics(planted, [r["rule"] for r in found if r["used_var"] == "a & b"], "y")[0]
     assert m.agg(F.sum("hit_n")).first()[0] == planted.count()
     assert m.agg(F.max("bad_rate")).first()[0] > 0.85
-    # the joint table is skipped when it could be large; the cubes stay the same
+    # any number of blocks gives the same cubes
     cuts = {"a": [20.0, 60.0], "b": [3.0], "c": [0.5]}
     sets = trees.combos(["a", "b", "c"], 2)
-    one = {(r["combo"], r["cell"]): r["n"] for r in trees.combination_cubes(planted, cuts, sets, "y").collect()}
-    trees_cells, trees.CUBE_CELLS = trees.CUBE_CELLS, 0
-    two = {(r["combo"], r["cell"]): r["n"] for r in trees.combination_cubes(planted, cuts, sets, "y").collect()}
-    trees.CUBE_CELLS = trees_cells
-    assert one == two and sum(v for (c, _), v in one.items() if c == 0) == 4000
+    one = sorted(map(tuple, trees.combination_cubes(planted, cuts, sets, "y").collect()))
+    before, trees.CUBE_BYTES = trees.CUBE_BYTES, 100
+    two = sorted(map(tuple, trees.combination_cubes(planted, cuts, sets, "y").collect()))
+    trees.CUBE_BYTES = before
+    assert one == two and sum(r[2] for r in one if r[0] == 0) == 4000
+    assert trees.cube_blocks([4, 4, 100, 1], 200) == [[0, 1], [2], [3]]
+
+
+def test_cubes_equal_plain_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(*[None if r < 0.1 else float(int(r * 30)) for r in rng.random(12)], int(rng.random() < 0.2), float(rng.random())) for _ in range(500)]
+    feats = [f"f{i}" for i in range(12)]
+    df = spark.createDataFrame(rows, ", ".join([*[f"{f} double" for f in feats], "y int", "w double"])).repartition(5)
+    cuts = {f: [5.0, 11.0, 20.0] if i % 3 else [] for i, f in enumerate(feats)}
+    sets = trees.combos(feats, 3)
+    weight = F.when(F.col("y") == 1, 4.0).otherwise(1.0) * F.col("w")
+    got = {(r.combo, r.cell): (r.n, r.w, r.bad_w) for r in trees.combination_cubes(df, cuts, sets, "y", weight).collect()}
+    want = {}
+    for r in rows:
+        code = [None if x is None else int(np.searchsorted(cuts[f], x)) for f, x in zip(feats, r, strict=False)]
+        w = r[-1] * (4.0 if r[-2] else 1.0)
+        for c, s in enumerate(sets):
+            own = [code[feats.index(f)] for f in s]
+            if None not in own:
+                cell = sum(b * trees.radix(cuts) ** j for j, b in enumerate(own))
+                n, a, b = want.get((c, cell), (0, 0.0, 0.0))
+                want[c, cell] = (n + 1, a + w, b + w * r[-2])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_combination_trees_of_forty_features(spark):
+    df = spark.range(3000).select(*[((F.hash("id", F.lit(i)) % 100) / 10.0).alias(f"f{i}") for i in range(40)], "id")
+    df = df.withColumn("y", ((F.col("f3") > 2) & (F.col("f7") <= 1)).cast("int"))
+    found = trees.combination_tree_rules(df, [f"f{i}" for i in range(40)], "y", n_vars=2, min_leaf_share=0.01)
+    assert found.select("used_var").distinct().count() > 700
+    m = compound_rule_metrics(df, [r.rule for r in found.where("used_var = 'f3 & f7'").collect()], "y")[0]
+    assert m.agg(F.max("bad_rate")).first()[0] > 0.9
 
 
 def test_directions(planted):
