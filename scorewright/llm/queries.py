@@ -130,7 +130,7 @@ ORACLE["op8_lines"] = """
 WITH docs AS (SELECT doc_id, text, CASE WHEN coalesce(length(text), 0) = 0 THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS l FROM documents),
 places AS (SELECT doc_id, l, unnest(range(len(l))) AS i FROM docs),
 windows AS (SELECT doc_id, i, 2 AS w, l[i + 1:i + 2] AS v FROM places WHERE i + 2 <= len(l)
-  UNION ALL SELECT doc_id, i, 1, l[i + 1:i + 1] FROM places WHERE len(regexp_extract_all(l[i + 1], '[^\\x20\\x09-\\x0D]+')) >= 50),
+  UNION ALL SELECT doc_id, i, 1, l[i + 1:i + 1] FROM places WHERE len(regexp_extract_all(l[i + 1], '[^\\x20\\x09-\\x0D]+')) >= 5),
 ranked AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY w, v ORDER BY doc_id, i) AS k FROM windows),
 gone AS (SELECT DISTINCT doc_id, i + unnest(range(w)) AS i FROM ranked WHERE k > 1),
 kept AS (SELECT doc_id, string_agg(l[i + 1], chr(10) ORDER BY i) AS t, count(*) AS n FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)

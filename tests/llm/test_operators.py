@@ -373,7 +373,17 @@ def test_stretches_hold_each_window_once(texts):
     assert all(len(k) == 1 for k in kinds.values())
 
 
-@pytest.mark.parametrize("window,long_words", [(2, 50), (3, 10_000)])
+def test_single_repeated_lines_and_heavy_ones_go(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HEAVY_ROWS", 3)
+    line = "this line of eleven words stands in every document of them"
+    rows = [(i, f"own first line of document {i}\n{line}\nfour words stay here\nlast {i}") for i in range(9)]
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in lines.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (0, rows[0][1])
+    # the two lines in the middle repeat together, so the short one goes with the long one
+    assert all(got[i] == (2, f"own first line of document {i}\nlast {i}") for i in range(1, 9))
+
+
+@pytest.mark.parametrize("window,long_words", [(2, 5), (2, 50), (3, 10_000), (4, 3)])
 def test_lines(spark, both, window, long_words):
     df, rows = both
     rows = [(d, t, s) for d, t, s in rows]
