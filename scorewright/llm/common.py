@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.plans.staging import checkpoint_folder
@@ -46,6 +48,13 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Frees what finished work left in the driver: Python's and Arrow's memory, and in the JVM broadcasts and shuffles that nothing holds any more."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.java.lang.System.gc()
+
+
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks a staged table for broadcast if its counted rows are within BROADCAST_ROWS."""
     n = df.count() if rows is None else rows

@@ -134,12 +134,19 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", sample_per_class:
                 ["lang", "rank", "at", "v"],
             )
 
-    table = sample.mapInArrow(run, "lang string, rank int, at array<int>, v array<float>").toArrow().sort_by([("rank", "ascending"), ("lang", "ascending")])
-    xs = [(a.values.to_numpy(), v.values.to_numpy().astype(float)) for a, v in zip(table.column("at"), table.column("v"), strict=True)]
-    names = table.column("lang").to_pylist()
+    table = sample.mapInArrow(run, "lang string, rank int, at array<int>, v array<float>").toArrow()
+    names, ranks = table.column("lang").to_pylist(), table.column("rank").to_pylist()
+    # one array of indexes and one of values; a row is a part of them
+    at, v = (table.column(c).combine_chunks() for c in ("at", "v"))
+    del table
+    bounds = at.offsets.to_numpy()
+    at, v = at.values.to_numpy(), v.values.to_numpy()
+    order = sorted(range(len(names)), key=lambda i: (ranks[i], names[i]))
+    xs = [(at[bounds[i] : bounds[i + 1]], v[bounds[i] : bounds[i + 1]]) for i in order]
+    names, ranks = [names[i] for i in order], [ranks[i] for i in order]
     languages = sorted(set(names))
     ys = [languages.index(x) for x in names]
-    kept_back = [r % CALIBRATION_SHARE == 0 for r in table.column("rank").to_pylist()]
+    kept_back = [r % CALIBRATION_SHARE == 0 for r in ranks]
     weights, bias = follow_the_leader([x for x, k in zip(xs, kept_back, strict=True) if not k], [y for y, k in zip(ys, kept_back, strict=True) if not k], len(languages))
     model = Model(languages, weights, bias, idf, 1.0)
     if any(kept_back) and len(languages) > 1:
