@@ -77,8 +77,9 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(cells, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(n, (shingles(text, words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            for i in range(0, batch.num_rows, 500):
+                for text in batch.column(0).slice(i, 500).to_pylist():
+                    np.add.at(n, (shingles(text, words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["cell", "n"])
 
@@ -110,8 +111,8 @@ def _described(docs: DataFrame, ranks: np.ndarray, words: int, similarity: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 sets = [shingles(t, words) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -131,8 +132,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                sets = [shingles(t, words) for t in batch.column("text").slice(i, 1000).to_pylist()]
+            for i in range(0, batch.num_rows, 500):
+                sets = [shingles(t, words) for t in batch.column("text").slice(i, 500).to_pylist()]
                 names = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "tokens"])
 

@@ -29,6 +29,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.02
 #: One sample document in so many is kept for the temperature.
 CALIBRATION_SHARE = 5
 UNDETERMINED = "und"
+#: Texts that a task holds as Python strings.
+ROWS_AT_ONCE = 500
 
 
 def has_letter(text: str) -> bool:
@@ -91,9 +93,10 @@ def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df[counts(text)[0]] += 1
-                n += 1
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for text in batch.column(0).slice(i, ROWS_AT_ONCE).to_pylist():
+                    df[counts(text)[0]] += 1
+                    n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*df[at].tolist(), n], pa.int64())], ["at", "n"])
 
@@ -128,11 +131,14 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", sample_per_class:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = [features(t, idf) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("rank"), pa.array([x[0].tolist() for x in xs], pa.list_(pa.int32())), pa.array([x[1].tolist() for x in xs], pa.list_(pa.float32()))],
-                ["lang", "rank", "at", "v"],
-            )
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
+                xs = [features(t, idf) for t in part.column("text").to_pylist()]
+                bounds = pa.array(np.cumsum([0, *[len(x[0]) for x in xs]]), pa.int32())
+                at, v = (np.concatenate([x[k] for x in xs]).astype(kind) for k, kind in ((0, np.int32), (1, np.float32)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("lang"), part.column("rank"), pa.ListArray.from_arrays(bounds, pa.array(at)), pa.ListArray.from_arrays(bounds, pa.array(v))], ["lang", "rank", "at", "v"]
+                )
 
     table = sample.mapInArrow(run, "lang string, rank int, at array<int>, v array<float>").toArrow()
     names, ranks = table.column("lang").to_pylist(), table.column("rank").to_pylist()
@@ -202,8 +208,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
                 found = [own.predict(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in kept], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
