@@ -16,6 +16,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -177,22 +178,38 @@ def pieces_of_bytes(path: str) -> list[bytes]:
     return out
 
 
-def _mapped(df: DataFrame, source: str, fn: Callable[[], Callable[[list], list]], to: str, kind: pa.DataType, sql_kind: str) -> DataFrame:
-    """``df`` with column ``to`` = fn()(source), a list of rows at a time; fn() runs in the worker."""
-    kept = [c for c in df.columns if c != to]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != to], f"`{to}` {sql_kind}"])
+@cache
+def _decoder(path: str) -> Callable[[list], list[str]]:
+    """The worker's table of pieces, read once for many tasks."""
+    table = pieces_of_bytes(path)
+    return lambda rows: [b"".join(map(table.__getitem__, np.frombuffer(b or b"", "<u4").tolist())).decode("utf-8", "replace") for b in rows]
+
+
+def _mapped(df: DataFrame, source: str, fn: Callable[[], Callable[[list], list[list]]], new: dict[str, tuple[pa.DataType, str]]) -> DataFrame:
+    """``df`` with the columns ``new`` = fn()(source), a list of rows at a time; fn() runs in the worker."""
+    kept = [c for c in df.columns if c not in new]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in new], *[f"`{c}` {sql}" for c, (_, sql) in new.items()]])
+    kinds = [kind for kind, _ in new.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = fn()
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(i, ROWS_AT_ONCE)
-                values = pa.array(whole(part.column(source).to_pylist()), kind)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], values], [*kept, to])
+                values = map(pa.array, whole(part.column(source).to_pylist()), kinds)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *values], [*kept, *new])
 
     return df.mapInArrow(run, schema)
 
 
+def _encoder(vocabulary: str, mean_bytes: int) -> Callable[[list], list[bytes]]:
+    chunks = encoder(vocabulary, mean_bytes)
+    return lambda texts: chunks.encode([(t or "").encode() for t in texts])
+
+
+_IDS, _TEXT = (pa.binary(), "binary"), (pa.string(), "string")
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", mean_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Adds ``ids``: the text's token ids as little-endian unsigned 32-bit numbers in one binary value.
 
@@ -201,20 +218,38 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     """
 
     def fn():
-        chunks = encoder(vocabulary, mean_bytes)
-        return lambda texts: chunks.encode([(t or "").encode() for t in texts])
+        to_ids = _encoder(vocabulary, mean_bytes)
+        return lambda texts: [to_ids(texts)]
 
-    return _mapped(docs, text, fn, ids, pa.binary(), "binary")
+    return _mapped(docs, text, fn, {ids: _IDS})
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds ``text``: what the library's decode(ids, skip_special_tokens=False) gives. Null ids decode to an empty text."""
 
     def fn():
-        table = pieces_of_bytes(vocabulary)
-        return lambda rows: [b"".join(map(table.__getitem__, np.frombuffer(b or b"", "<u4").tolist())).decode("utf-8", "replace") for b in rows]
+        to_text = _decoder(vocabulary)
+        return lambda rows: [to_text(rows)]
+
+    return _mapped(encoded, ids, fn, {text: _TEXT})
+
+
+def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", mean_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: rows cross into Python once, and a task needs one worker with its tables, not two.
+
+    Adds ``ids`` and ``decoded`` under the rules of the two; columns of these names are replaced.
+    """
+
+    def fn():
+        to_ids, to_text = _encoder(vocabulary, mean_bytes), _decoder(vocabulary)
+
+        def both(texts: list) -> list[list]:
+            found = to_ids(texts)
+            return [found, to_text(found)]
+
+        return both
 
-    return _mapped(encoded, ids, fn, text, pa.string(), "string")
+    return _mapped(docs, text, fn, {ids: _IDS, decoded: _TEXT})
 
 
 def n_tokens(ids: Column) -> Column:

@@ -64,7 +64,7 @@ def both(request, odd, docs, texts):
 
 
 OPERATORS = {
-    "mix": mixing.mix, "jaccard": jaccard.near_duplicates, "encode": lambda d: bpe.decode(bpe.encode(d, BYTE), BYTE), "shard": sharding.shard,
+    "mix": mixing.mix, "jaccard": jaccard.near_duplicates, "encode": lambda d: bpe.decode(bpe.encode(d, BYTE), BYTE), "round_trip": lambda d: bpe.round_trip(d, BYTE), "shard": sharding.shard,
     "language": language.identify, "substrings": substrings.remove_repeats, "lines": lines.remove_repeats, "merkle": merkle.compare_edited,
     "fingerprints": merkle.fingerprints,
 }
@@ -232,6 +232,8 @@ def test_bpe(both):
     for r in got.collect():
         assert np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id]
         assert r.decoded == tok.decode(want[r.doc_id], skip_special_tokens=False)
+    once = bpe.round_trip(df, BYTE, mean_bytes=32)
+    assert once.schema == got.schema and Counter(map(repr, once.collect())) == Counter(map(repr, got.collect()))
 
 
 CHARS = st.lists(st.sampled_from([*"ab Z.,'!?\n\t0é  中<|>endoftx", "<|endoftext|>", "'re", "  "]), max_size=300).map("".join)
