@@ -16,7 +16,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -24,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.llm.common import worker_tables
+
 #: Bytes the rolling hash sees, and mean bytes of a chunk.
 ROLL_BYTES = 16
 CHUNK_BYTES = 256
 #: Entries kept per Python worker; what a full table drops is encoded again when met.
-KEPT_UNITS = 800_000
+KEPT_UNITS = 400_000
 KEPT_CHUNKS = 40_000
 #: Longer units are encoded but not kept.
 UNIT_BYTES = 64
@@ -140,22 +141,22 @@ class Chunks:
         return [b"".join([b"".join([next(mended), ids]) for ids in parts]) + next(mended) for parts in inside]
 
 
-_UNITS: dict[str, Units] = {}
-_ENCODERS: dict[tuple[str, int], Chunks] = {}
+def _kept(key: tuple, make: Callable[[], object]):
+    """The worker's one object of this key; workers serve many tasks."""
+    tables = worker_tables("bpe")
+    if key not in tables:
+        tables[key] = make()
+    return tables[key]
 
 
 def units(path: str) -> Units:
-    """The worker's known pieces; workers serve many tasks."""
-    if path not in _UNITS:
-        _UNITS[path] = Units(path)
-    return _UNITS[path]
+    """The worker's known pieces."""
+    return _kept(("units", path), lambda: Units(path))
 
 
 def encoder(path: str, mean_bytes: int = CHUNK_BYTES) -> Chunks:
     """The worker's encoder; its chunks are shared across tasks."""
-    if (path, mean_bytes) not in _ENCODERS:
-        _ENCODERS[path, mean_bytes] = Chunks(units(path), mean_bytes)
-    return _ENCODERS[path, mean_bytes]
+    return _kept(("chunks", path, mean_bytes), lambda: Chunks(units(path), mean_bytes))
 
 
 def pieces_of_bytes(path: str) -> list[bytes]:
@@ -178,10 +179,8 @@ def pieces_of_bytes(path: str) -> list[bytes]:
     return out
 
 
-@cache
 def _decoder(path: str) -> Callable[[list], list[str]]:
-    """The worker's table of pieces, read once for many tasks."""
-    table = pieces_of_bytes(path)
+    table = _kept(("pieces", path), lambda: pieces_of_bytes(path))
     return lambda rows: [b"".join(map(table.__getitem__, np.frombuffer(b or b"", "<u4").tolist())).decode("utf-8", "replace") for b in rows]
 
 

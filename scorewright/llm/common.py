@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from uuid import uuid4
 
 import pyarrow as pa
@@ -16,7 +19,33 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A joined side is broadcast up to this many rows of a few numbers each; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Rows of whole texts in one Arrow batch. A task holds a batch several times over, in the JVM and in its Python worker.
+ARROW_ROWS = 1000
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for the jobs run inside; afterwards they are what they were, unset ones unset."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, **more: str):
+    """Settings under which at most ARROW_ROWS rows go to a Python worker at once; a smaller bound of the session holds."""
+    rows = int(spark.conf.get(BATCH))
+    return settings(spark, {BATCH: str(min(rows, ARROW_ROWS) if rows > 0 else ARROW_ROWS)} | more)
 
 
 def staged(df: DataFrame, name: str = "llm") -> DataFrame:
@@ -27,15 +56,8 @@ def staged(df: DataFrame, name: str = "llm") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with small_batches(spark, **{CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +77,26 @@ def released(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+_TABLES: dict[str, dict] = {}
+
+
+def worker_tables(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator.
+
+    A worker serves many operators in turn. The first task of another one lets the tables go and gives their memory back,
+    so what a worker holds is bounded by one operator's tables and not by the sum of all it has served.
+    """
+    if owner not in _TABLES:
+        _TABLES.clear()
+        _TABLES[owner] = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    return _TABLES[owner]
+
+
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks a staged table for broadcast if its counted rows are within BROADCAST_ROWS."""
     n = df.count() if rows is None else rows

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import dropped, small_side, staged, text_key
+from scorewright.llm.common import dropped, small_batches, small_side, staged, text_key, worker_tables
 from scorewright.llm.components import components
 
 SIMILARITY = (9, 10)
@@ -75,6 +75,7 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     cells = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("jaccard")
         n = np.zeros(cells, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
@@ -83,7 +84,8 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["cell", "n"])
 
-    table = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(docs.sparkSession):
+        table = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(cells, np.int64)
     out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
     return out
@@ -110,6 +112,7 @@ def _described(docs: DataFrame, ranks: np.ndarray, words: int, similarity: tuple
     prefixes = [f"p{o}" for o in range(orders)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("jaccard")
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -131,6 +134,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, tokens) of the wanted (key, id, node), from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("jaccard")
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 sets = [shingles(t, words) for t in batch.column("text").slice(i, 500).to_pylist()]

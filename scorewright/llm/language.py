@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import text_key
+from scorewright.llm.common import small_batches, text_key, worker_tables
 
 FEATURES = 1 << 15
 #: The bound of the fitting sample.
@@ -91,6 +91,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Documents, and per feature the documents that have it. Each task adds up its own before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("language")
         df, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -100,7 +101,8 @@ def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*df[at].tolist(), n], pa.int64())], ["at", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, n = rows.column("at").to_numpy(), rows.column("n").to_numpy()
     out = np.zeros(FEATURES)
     out[at[at >= 0]] = n[at >= 0]
@@ -130,6 +132,7 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", sample_per_class:
     sample = sample.where(F.col("rank") <= sample_per_class).select("lang", "rank", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("language")
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(i, ROWS_AT_ONCE)
@@ -140,7 +143,8 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", sample_per_class:
                     [part.column("lang"), part.column("rank"), pa.ListArray.from_arrays(bounds, pa.array(at)), pa.ListArray.from_arrays(bounds, pa.array(v))], ["lang", "rank", "at", "v"]
                 )
 
-    table = sample.mapInArrow(run, "lang string, rank int, at array<int>, v array<float>").toArrow()
+    with small_batches(docs.sparkSession):
+        table = sample.mapInArrow(run, "lang string, rank int, at array<int>, v array<float>").toArrow()
     names, ranks = table.column("lang").to_pylist(), table.column("rank").to_pylist()
     # one array of indexes and one of values; a row is a part of them
     at, v = (table.column(c).combine_chunks() for c in ("at", "v"))
@@ -206,6 +210,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("language")
         own = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):

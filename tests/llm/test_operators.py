@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scorewright.llm import bpe, components, jaccard, language, lines, merkle, metric, mixing, queries, sharding, substrings, token_files
+from scorewright.llm import bpe, common, components, jaccard, language, lines, merkle, metric, mixing, queries, sharding, substrings, token_files
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -476,3 +476,22 @@ def test_known_chunks_go_in_part(monkeypatch):
     assert before in coder.known and first not in coder.known and len(coder.known) <= bpe.KEPT_CHUNKS
     for t, ids in zip([texts[4], *texts], [*got, *coder.encode(texts)], strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t.decode(), add_special_tokens=False).ids
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    first = bpe.encoder(BYTE, 64)
+    assert bpe.encoder(BYTE, 64) is first
+    common.worker_tables("another")
+    assert bpe.encoder(BYTE, 64) is not first
+
+
+def test_staging_leaves_the_session_as_it_was(spark):
+    before = {k: spark.conf.get(k, None) for k in (common.CLEANUP, common.BATCH)}
+    spark.conf.set(common.BATCH, "7")
+    try:
+        with common.small_batches(spark):
+            assert spark.conf.get(common.BATCH) == "7"
+        assert common.staged(spark.range(9)).count() == 9 and spark.conf.get(common.BATCH) == "7"
+    finally:
+        spark.conf.unset(common.BATCH)
+    assert before == {k: spark.conf.get(k, None) for k in before}
