@@ -17,6 +17,8 @@ from scorewright.operators.ordering import with_ranks
 
 #: Distinct values up to which Kendall's tau reads the cross-tab of values.
 KENDALL_CELLS = 200
+#: Rows whose pairs can be counted in 64 bits: a sum over pairs stays below the square of the rows.
+INT64_ROWS = 3_000_000_000
 #: Points of a strip, and the fewest and most strips of a column; beyond MAX_STRIPS * STRIP_ROWS points strips grow.
 STRIP_ROWS, MIN_STRIPS, MAX_STRIPS = 100_000, 16, 1000
 
@@ -136,7 +138,7 @@ def _single(cuts: Sequence[float], values: Sequence[float] | None) -> list[int]:
 
 
 def _concordance(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> int:
-    """Concordant less discordant pairs among points (a, b) of n rows each.
+    """Concordant less discordant pairs among points (a, b) of n rows each, exact at any number of rows.
 
     Two points with different a part at one level of a binary tree over the order of a; at each level one pass in order of b
     counts them.
@@ -145,6 +147,8 @@ def _concordance(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> int:
     rank = np.unique(b, return_inverse=True)[1].astype(np.int64)
     order = np.argsort(rank, kind="stable")
     code, rank, n = code[order], rank[order], n[order].astype(np.int64)
+    if sum(n.tolist()) > INT64_ROWS:
+        n = n.astype(object)  # Python integers
     total = 0
     for level in range(int(code.max()).bit_length()):
         at = np.argsort(code >> (level + 1), kind="stable")

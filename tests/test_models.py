@@ -133,6 +133,16 @@ def test_kendall_of_many_values_is_exact(spark, monkeypatch):
         assert tau == pytest.approx(want, abs=1e-12)
 
 
+def test_concordance_of_heavy_points():
+    n = 3_000_000_000
+    up = np.arange(4.0)
+    assert correlation._concordance(up, up, np.full(4, n)) == 6 * n * n
+    assert correlation._concordance(up, -up, np.full(4, n)) == -6 * n * n
+    rng = np.random.default_rng(3)
+    a, b, m = rng.integers(0, 9, 50).astype(float), rng.integers(0, 9, 50).astype(float), rng.integers(1, 9, 50)
+    assert correlation._concordance(a, b, m * n) == correlation._concordance(a, b, m) * n * n
+
+
 def test_vif_and_elimination(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 3)) + 1
