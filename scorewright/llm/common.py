@@ -48,15 +48,17 @@ def small_batches(spark: SparkSession, **more: str):
     return settings(spark, {BATCH: str(min(rows, ARROW_ROWS) if rows > 0 else ARROW_ROWS)} | more)
 
 
-def staged(df: DataFrame, name: str = "llm") -> DataFrame:
+def staged(df: DataFrame, name: str = "llm", texts: bool = False) -> DataFrame:
     """Writes the table to the shared folder and reads it back.
 
     Whatever follows starts from files, so a lost executor costs no upstream work; the
     shuffle files of the finished job are dropped at once instead of at some later garbage collection.
+    ``texts``: whole texts go to Python workers here, at most ARROW_ROWS at once.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
-    with small_batches(spark, **{CLEANUP: "true"}):
+    cleanup = {CLEANUP: "true"}
+    with small_batches(spark, **cleanup) if texts else settings(spark, cleanup):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

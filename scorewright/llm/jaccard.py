@@ -185,7 +185,7 @@ def near_duplicates(
     An empty table gives an empty one. ``similarity`` is a fraction of whole numbers, so the comparison is exact.
     """
     ranks = _ranks(_sketch(docs, words))
-    described = staged(_described(docs, ranks, words, similarity, orders), "jaccard")
+    described = staged(_described(docs, ranks, words, similarity, orders), "jaccard", texts=True)
     prefixes = [f"p{o}" for o in range(orders)]
     nodes = described.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.min(F.struct("key", F.col("doc_id").alias("id"))).alias("at"), *[F.any_value(p).alias(p) for p in prefixes])
     nodes = staged(nodes.select("node", "n", "at.key", "at.id", *prefixes), "jaccard")
@@ -244,7 +244,7 @@ def _linked(
         if last:
             dropped(current)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = staged(_sets(docs, staged(nodes.select("node", "key", "id").join(ends, "node", "left_semi"), "jaccard"), words), "jaccard")
+        sets = staged(_sets(docs, staged(nodes.select("node", "key", "id").join(ends, "node", "left_semi"), "jaccard"), words), "jaccard", texts=True)
         found = staged(_verified(pairs, sets, similarity), "jaccard")
         dropped(pairs, sets)
         links = found if links is None else links.unionByName(found)
