@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,50 +241,83 @@ def correlation_drops(corr: DataFrame, threshold: float = 0.7, keep: str = "firs
 # ---------------------------------------------------------------- VIF
 
 
-def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """XᵀX over complete rows, one scan."""
+# Triangular factors that one task or the driver stacks at a time.
+FACTORS_AT_ONCE = 32
+# A direction whose length falls below this share of the longest is taken as an exact linear relation, and a column
+# takes part in it when its component exceeds the second figure.
+RANK_SHARE, TAKES_PART = 1e-13, 1e-6
+
+
+def _stacked(factors: Sequence[np.ndarray], k: int) -> np.ndarray:
+    """The triangular factor of all rows behind the given ones, k x k."""
+    r = np.linalg.qr(np.vstack(factors), mode="r") if factors else np.zeros((0, k))
+    return np.vstack([r, np.zeros((k - len(r), k))])
+
+
+def triangular_factor(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """R of the QR decomposition of the complete rows (rows with a missing or infinite value are left out).
+
+    Each task reduces its Arrow batches to one k x k factor; factors meet in groups of ``FACTORS_AT_ONCE`` until as many
+    are left. Unlike a cross-product matrix, R keeps the condition of the data itself. Zeros without complete rows.
+    """
     k = len(cols)
-    g = np.zeros((k, k))
-    for r in _moments(df, cols, listwise=True, centre=False).collect():
-        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["sij"]
-    return g
-
-
-def vif_values(g: np.ndarray) -> list[float]:
-    """G_ii (G⁻¹)_ii on the scaled matrix; infinite when singular."""
-    d = np.sqrt(np.diag(g))
-    if not len(d):
-        return []
-    if (d == 0).any():
-        return [math.inf if x == 0 else 1.0 for x in d]
-    r = g / np.outer(d, d)
-    if np.linalg.cond(r) > 1e14:
-        out = []
-        for i in range(len(d)):
-            rest = [j for j in range(len(d)) if j != i]
-            beta, *_ = np.linalg.lstsq(r[np.ix_(rest, rest)], r[rest, i], rcond=None)
-            res = 1 - float(r[i, rest] @ beta)
-            out.append(math.inf if res < 1e-12 else 1 / res)
-        return out
-    return [float(v) for v in np.diag(np.linalg.inv(r))]
+    finite = [F.when(F.abs(clean_double(c)) < math.inf, clean_double(c)) for c in cols]
+    rows = df.select(*[x.alias(f"c{i}") for i, x in enumerate(finite)]).dropna()
+
+    def reduced(batches):
+        r = np.zeros((0, k))
+        for pdf in batches:
+            if len(pdf):
+                r = np.linalg.qr(np.vstack([r, pdf.to_numpy(float)]), mode="r")
+        if len(r):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [_stacked([r], k).ravel()]})
+
+    def merged(pdf):
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "r": [_stacked([x.reshape(k, k) for x in pdf["r"]], k).ravel()]})
+
+    parts = rows.mapInPandas(reduced, "part int, r array<double>")
+    width, left = 1, rows.rdd.getNumPartitions()
+    while left > FACTORS_AT_ONCE:
+        width *= FACTORS_AT_ONCE
+        parts = parts.groupBy((F.col("part") / width).cast("int").alias("g")).applyInPandas(merged, "part int, r array<double>")
+        left = -(-left // FACTORS_AT_ONCE)
+    return _stacked([np.array(x["r"]).reshape(k, k) for x in parts.orderBy("part").collect()], k)
+
+
+def vif_values(r: np.ndarray) -> list[float]:
+    """Variance inflation of each column of R: |x_i|² (XᵀX)⁻¹_ii from its singular directions.
+
+    Columns that take part in an exact linear relation, and columns of zeros, are infinite; the others are judged on the
+    remaining directions.
+    """
+    length = np.sqrt((r * r).sum(axis=0))
+    used = np.flatnonzero(length > 0)
+    out = np.full(r.shape[1], math.inf)
+    if len(used):
+        _, size, directions = np.linalg.svd(r[:, used] / length[used], full_matrices=True)
+        size = np.pad(size, (0, len(used) - len(size)))
+        flat = size <= RANK_SHARE * size[0]
+        tied = (np.abs(directions[flat]) > TAKES_PART).any(axis=0)
+        out[used] = np.where(tied, math.inf, (directions[~flat] ** 2 / size[~flat, None] ** 2).sum(axis=0))
+    return [float(v) for v in out]
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    rows = list(zip(cols, vif_values(gram(df, cols))))
+    rows = list(zip(cols, vif_values(triangular_factor(df, cols))))
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")
 
 
 def vif_elimination(
     df: DataFrame, cols: Sequence[str], threshold: float = 5.0, max_rounds: int = 10
 ) -> tuple[list[str], list[tuple[int, str, float]]]:
-    """Drop the largest VIF while above the threshold; every round reuses the one Gram matrix."""
-    g = gram(df, cols)
+    """Drop the largest VIF while above the threshold; every round reads columns of the one triangular factor."""
+    r = triangular_factor(df, cols)
     left = list(range(len(cols)))
     log = []
     for rnd in range(1, max_rounds + 1):
         if len(left) < 2:
             break
-        v = vif_values(g[np.ix_(left, left)])
+        v = vif_values(r[:, left])
         worst = int(np.argmax(v))
         if v[worst] <= threshold:
             break

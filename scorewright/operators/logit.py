@@ -25,6 +25,9 @@ Z95 = 1.96
 PROBA_EPS = 1e-10
 DESIGN_ROWS = 1_000_000
 ROWS_PER_TASK = 50_000
+# Scans after which models that still move are tested for separation, the step (in units of the linear predictor) that
+# counts as moving, and the share of the largest predictor by which a row may stand on the wrong side.
+SEPARATION_SCANS, MOVING, WRONG_SIDE = (8, 16, 24, 32), 0.05, 1e-6
 
 
 def balanced_weight(df: DataFrame, target: str, weight: str | None = None) -> Column:
@@ -61,8 +64,8 @@ def design_table(df: DataFrame, features: Sequence[str], target: str, weight: Co
         group = est <= DESIGN_ROWS
     if not group:
         return rows.withColumn("n", F.lit(1))
-    cells = rows.groupBy(*features).agg(F.sum(F.col("w") * F.col("y")).alias("b"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-    cells = cells.where("w > 0").select(*features, F.least(F.col("b") / F.col("w"), F.lit(1.0)).alias("y"), "w", "n")
+    cells = rows.groupBy(*features).agg(F.sum(F.col("w") * F.col("y")).alias("__bad"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    cells = cells.where("w > 0").select(*features, F.least(F.col("__bad") / F.col("w"), F.lit(1.0)).alias("y"), "w", "n")
     # a small table in few partitions: the scans below are many and short
     return cells.coalesce(1 + est // ROWS_PER_TASK)
 
@@ -77,6 +80,10 @@ class LogitFit:
     p: list[float]
     intercept_stats: tuple[float, float, float]
     info: dict = field(default_factory=dict)
+    converged: bool = True
+    separated: bool = False
+    scans: int = 0
+    halvings: int = 0
 
     def by_feature(self, values: Sequence[float]) -> dict[str, float]:
         return dict(zip(self.features, values))
@@ -159,10 +166,36 @@ def likelihood_sums(design: DataFrame, models: Mapping[int, tuple[list[str], np.
     return {m: (t[0, -1], t[:, -2], t[:, :-2]) for m, t in out.items()}
 
 
+def separating(design: DataFrame, directions: Mapping[int, tuple[list[str], np.ndarray]]) -> set[int]:
+    """The models whose direction (intercept first) orders all rows by class, in one scan.
+
+    Along such a direction the likelihood rises without end, so no estimate exists: no bad row lies below zero, no good
+    row above, and some row off it. A grouped row of both classes must lie at zero.
+    """
+    if not directions:
+        return set()
+    aggs = []
+    for m, (feats, d) in directions.items():
+        x = linear_predictor(feats, d[1:], d[0])
+        aggs += [F.min(F.when(F.col("y") > 0, x)).alias(f"bad{m}"), F.max(F.when(F.col("y") < 1, x)).alias(f"good{m}"), F.max(F.abs(x)).alias(f"far{m}")]
+    r = design.where("w > 0").agg(*aggs).first()
+    out = set()
+    for m in directions:
+        slack = WRONG_SIDE * (r[f"far{m}"] or 0.0)
+        if slack > 0 and (r[f"bad{m}"] is None or r[f"bad{m}"] >= -slack) and (r[f"good{m}"] is None or r[f"good{m}"] <= slack):
+            out.add(m)
+    return out
+
+
 def fit_many(
     design: DataFrame, models: Sequence[Sequence[str]], ridge: float = 0.0, guess: LogitFit | None = None, max_scans: int = 40
 ) -> list[LogitFit]:
-    """Maximum-likelihood (or ridge) fits of several feature lists over one design table, started from ``guess``."""
+    """Maximum-likelihood (or ridge) fits of several feature lists over one design table, started from ``guess``.
+
+    Steps that lower the likelihood are halved. On separable data Newton's steps never shrink and tend to a direction that
+    orders the classes; models that keep moving are tested for it, and a proven one stops as ``separated``. ``converged``
+    is false for these and for models that ``max_scans`` ended.
+    """
     if guess is None:
         t = design.agg(F.sum(F.col("w") * F.col("y")).alias("b"), F.sum("w").alias("w")).first()
         rate = min(max(t["b"] / t["w"], 1e-9), 1 - 1e-9)
@@ -173,24 +206,53 @@ def fit_many(
     beta = {m: np.array([start, *[known.get(f, 0.0) for f in fs]]) for m, fs in enumerate(feats)}
     last: dict[int, tuple[float, np.ndarray]] = {}
     cov: dict[int, np.ndarray] = {}
-    active = set(beta)
-    for _ in range(max_scans):
+    scale: dict[int, np.ndarray] = {}
+    moves: dict[int, np.ndarray] = {}
+    scans, halvings = dict.fromkeys(beta, 0), dict.fromkeys(beta, 0)
+    active, separated = set(beta), set()
+
+    def tested(among: set[int]) -> set[int]:
+        moving = {m for m in among if m in moves and np.max(np.abs(moves[m]) * scale[m]) > MOVING}
+        return separating(design, {m: (feats[m], moves[m]) for m in moving})
+
+    for scan in range(1, max_scans + 1):
         if not active:
             break
         sums = likelihood_sums(design, {m: (feats[m], beta[m]) for m in active})
         for m, (ll, grad, hess) in sums.items():
+            scans[m] = scan
             pen = np.array([0.0, *[ridge] * len(feats[m])])
             ll = ll - 0.5 * float(pen @ beta[m] ** 2)
             if m in last and ll < last[m][0] - 1e-9 * abs(last[m][0]):
                 beta[m] = (beta[m] + last[m][1]) / 2  # overshot: go half way back
+                halvings[m] += 1
                 continue
+            scale.setdefault(m, np.sqrt(np.diag(hess) / max(hess[0, 0], 1e-300)))
             cov[m] = np.linalg.pinv(hess + np.diag(pen))
             step = cov[m] @ (grad - pen * beta[m])
             last[m] = (ll, beta[m])
             beta[m] = beta[m] + step
+            moves[m] = step
             if float((grad - pen * last[m][1]) @ step) < 1e-9:
                 active.discard(m)
-    return [_finished(feats[m], beta[m], cov[m]) for m in range(len(feats))]
+        if scan in SEPARATION_SCANS:
+            found = tested(active)
+            separated |= found
+            active -= found
+    separated |= tested(set(beta) - separated)
+    out = []
+    for m in range(len(feats)):
+        fit = _finished(feats[m], beta[m], cov[m])
+        fit.converged, fit.separated = m not in active and m not in separated, m in separated
+        fit.scans, fit.halvings = scans[m], halvings[m]
+        out.append(fit)
+    return out
+
+
+def fit_report(df: DataFrame, fits: Sequence[LogitFit]) -> DataFrame:
+    """(model, converged, separated, scans, halvings), models named by their features."""
+    rows = [(" + ".join(f.features) or "const", f.converged, f.separated, f.scans, f.halvings) for f in fits]
+    return df.sparkSession.createDataFrame(rows, "model string, converged boolean, separated boolean, scans int, halvings int")
 
 
 def _finished(feats: list[str], beta: np.ndarray, cov: np.ndarray) -> LogitFit:
@@ -227,7 +289,7 @@ def fit_statistics(design: DataFrame, fit: LogitFit, weighted: bool = False) ->
         "n_observations": int(t["n"]), "n_features": len(fit.features), "n_params": k, "log_likelihood": ll,
         "null_log_likelihood": ll0, "pseudo_r2": 1 - ll / ll0 if ll0 else 0.0, "aic": -2 * ll + 2 * k,
         "bic": -2 * ll + math.log(t["n"]) * k, "lr_stat": lr, "lr_pvalue": chi2_tail(lr, k - 1) if k > 1 else None,
-        "weighted": weighted,
+        "weighted": weighted, "converged": fit.converged, "separated": fit.separated,
     }
 
 

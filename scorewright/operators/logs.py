@@ -110,12 +110,15 @@ def list_logs(
     return rows.orderBy(F.desc(time), *tie).offset(offset).limit(limit)
 
 
+def expired(time: str, now: str, days: int = 30, drop_test: bool = False) -> Column:
+    """Rows a retention run deletes: older than ``days`` or, if asked, test rows. Null where time or flag is missing."""
+    gone = F.col(time).cast("timestamp") < F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
+    return gone | F.col("is_test_data") if drop_test else gone
+
+
 def retain(logs: DataFrame, time: str, now: str, days: int = 30, drop_test: bool = False) -> DataFrame:
-    """Rows a retention run keeps."""
-    keep = F.col(time).cast("timestamp") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    if drop_test:
-        keep = keep & ~F.col("is_test_data")
-    return logs.where(keep)
+    """Rows a retention run keeps; those without a time go too. ``sinks.delete_rows`` with ``expired`` deletes in place."""
+    return logs.where(~expired(time, now, days, drop_test))
 
 
 # ---------------------------------------------------------------- channel health

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from scorewright.operators import adhoc, binning, correlation, curves, logit, lo
 from scorewright.plans.queries_data import SPLIT, split_loans
 from scorewright.plans.queries_rules import WOE5, rounded
 from scorewright.plans.registry import CALLS, FEATURES, LOANS, calls, loans, query, table
+from scorewright.plans.staging import checkpoint_folder
+from scorewright.sources import sinks
 
 # ---------------------------------------------------------------- correlation
 
@@ -93,13 +97,49 @@ def vif(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(correlation.vif(table(spark, sf, "lineitem"), FEATURES[:3]))
 
 
-@query("vif_elimination")
+VIF_COLS = [*CORR_COLS, "l_tax"]
+_K = len(VIF_COLS)
+
+# Every set of columns m (as bits) and column t of it: sweeping the others out of the cross-products leaves t's residual.
+VIF_SWEEPS = f"""s AS (SELECT {', '.join(f'sum({a}::DOUBLE * {b}::DOUBLE) AS g{i}_{j}' for i, a in enumerate(VIF_COLS) for j, b in enumerate(VIF_COLS))} FROM cf),
+  g AS ({' UNION ALL '.join(f'SELECT {i} AS i, {j} AS j, g{i}_{j} AS v FROM s' for i in range(_K) for j in range(_K))}),
+  sw AS (SELECT m, t, 0 AS k, i, j, v FROM (SELECT unnest(range(1, {2**_K})) AS m), (SELECT unnest(range({_K})) AS t), g
+      WHERE (m >> t) & 1 = 1 AND (m >> i) & 1 = 1 AND (m >> j) & 1 = 1
+    UNION ALL SELECT m, t, k + 1, i, j, CASE WHEN (m >> k) & 1 = 1 AND k <> t THEN v - max(v) FILTER (j = k) OVER (PARTITION BY m, t, i)
+      * max(v) FILTER (i = k) OVER (PARTITION BY m, t, j) / max(v) FILTER (i = k AND j = k) OVER (PARTITION BY m, t) ELSE v END FROM sw WHERE k < {_K}),
+  vifs AS (SELECT m, t, g.v / sw.v AS vif FROM sw JOIN g ON g.i = t AND g.j = t WHERE k = {_K} AND sw.i = t AND sw.j = t),
+  worst AS (SELECT m, max(vif) AS vif, arg_max(t, vif) AS t FROM vifs GROUP BY m),
+  names AS (SELECT unnest({VIF_COLS!r}) AS feature, unnest(range({_K})) AS t),
+  rounds AS (SELECT 0 AS r, {2**_K - 1}::BIGINT AS m UNION ALL
+    SELECT r + 1, m - (1 << t) FROM rounds JOIN worst USING (m) WHERE r < 10 AND bit_count(m) > 1 AND vif > 5)"""
+
+
+@query(
+    "vif_elimination",
+    f"""WITH RECURSIVE {CORR_BASE.removeprefix('WITH ')}, {VIF_SWEEPS}
+    SELECT feature, 'kept' AS outcome, NULL::DOUBLE AS vif FROM (SELECT arg_max(m, r) AS m FROM rounds), names WHERE (m >> t) & 1 = 1
+    UNION ALL SELECT feature, 'round_' || (r + 1), round(vif, 6) FROM rounds JOIN worst USING (m) JOIN names USING (t) WHERE r < 10 AND bit_count(m) > 1 AND vif > 5""",
+)
 def vif_elimination(spark: SparkSession, sf: str) -> DataFrame:
-    kept, log = correlation.vif_elimination(_corr_features(spark, sf), CORR_COLS + ["l_tax"], 5.0)
+    kept, log = correlation.vif_elimination(_corr_features(spark, sf), VIF_COLS, 5.0)
     rows = [(f, "kept", None) for f in kept] + [(f, f"round_{r}", v) for r, f, v in log]
     return rounded(spark.createDataFrame(rows, "feature string, outcome string, vif double"))
 
 
+@query(
+    "vif_near_collinear",
+    """WITH x AS (SELECT l_quantity::HUGEINT AS a, l_quantity::HUGEINT * 1000000 + round(l_discount * 100)::HUGEINT AS b FROM lineitem),
+    s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM x),
+    v AS (SELECT round(log10(aa::DOUBLE * bb::DOUBLE / (aa * bb - ab * ab)::DOUBLE), 6) AS log_vif FROM s)
+    SELECT 'l_quantity' AS feature, log_vif FROM v UNION ALL SELECT 'nearly_quantity', log_vif FROM v""",
+)
+def vif_near_collinear(spark: SparkSession, sf: str) -> DataFrame:
+    """Two columns that differ by a few parts in 10^7 of their length, compared with whole-number arithmetic."""
+    near = F.col("l_quantity").cast("double") * 1000000 + F.round(F.col("l_discount") * 100)
+    out = correlation.vif(table(spark, sf, "lineitem").withColumn("nearly_quantity", near), ["l_quantity", "nearly_quantity"])
+    return out.select("feature", rnd(F.log10("vif"), 6).alias("log_vif"))
+
+
 # ---------------------------------------------------------------- models
 
 
@@ -126,6 +166,33 @@ def logit_fit_quality(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "statistic string, value double"), default=3)
 
 
+_SEPARABLE = {
+    "l_quantity": "l_quantity::DOUBLE",
+    "sure": "CASE WHEN y = 1 THEN 10 + l_tax ELSE l_tax END",
+    "touching": "CASE WHEN y = 1 THEN greatest(l_linenumber, 2) ELSE least(l_linenumber, 2) END",
+    "touching_below": "CASE WHEN y = 1 THEN least(l_linenumber, 3) ELSE greatest(l_linenumber, 3) END",
+    "crossing": "CASE WHEN y = 1 THEN 2 + l_linenumber ELSE l_linenumber END",
+}
+
+
+# One feature separates the classes if the values of one class all lie at or beyond those of the other, and with it any model.
+@query(
+    "logit_separation",
+    f"""WITH {LOANS}, x AS (SELECT y, unnest([{', '.join(repr(f) for f in _SEPARABLE)}]) AS f, unnest([{', '.join(f'({e})::DOUBLE' for e in _SEPARABLE.values())}]) AS v FROM loans),
+    s AS (SELECT f, min(v) < max(v) AND (min(v) FILTER (y = 1) >= max(v) FILTER (y = 0) OR max(v) FILTER (y = 1) <= min(v) FILTER (y = 0)) AS sep FROM x GROUP BY f),
+    m AS (SELECT f AS model, sep FROM s UNION ALL SELECT 'l_quantity + ' || f, sep FROM s WHERE f <> 'l_quantity')
+    SELECT model, NOT sep AS converged, sep AS separated FROM m""",
+)
+def logit_separation(spark: SparkSession, sf: str) -> DataFrame:
+    """Which models have no estimate because a direction orders the classes."""
+    df = loans(spark, sf).select("y", *[F.expr(e.replace("::DOUBLE", "")).cast("double").alias(f) for f, e in _SEPARABLE.items()])
+    design = logit.design_table(df, list(_SEPARABLE), "y").cache()
+    models = [[f] for f in _SEPARABLE] + [["l_quantity", f] for f in _SEPARABLE if f != "l_quantity"]
+    fits = logit.fit_many(design, models)
+    design.unpersist()
+    return logit.fit_report(df, fits).select("model", "converged", "separated")
+
+
 # A one-feature, two-group logit has a closed form: the log odds of each group.
 @query(
     "logit_odds_ratio",
@@ -552,6 +619,23 @@ def log_retention(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "log_row_deletion",
+    f"""WITH {CALLS} SELECT strftime("timestamp", '%Y-%m-%d') AS day, count(*) AS n, sum(total_tokens)::BIGINT AS tokens FROM calls
+    WHERE "timestamp" >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 DAY AND NOT is_test_data
+      AND NOT (strftime("timestamp", '%Y-%m-%d') = '2024-01-12' AND coalesce(status = 'success' OR status = 'error', FALSE)) GROUP BY ALL""",
+)
+def log_row_deletion(spark: SparkSession, sf: str) -> DataFrame:
+    """A log written by day, expired and test rows and one whole day deleted in place, and what is then read back."""
+    path = f"{checkpoint_folder(spark)}/log-{uuid4().hex}"
+    day = F.date_format("timestamp", "yyyy-MM-dd").alias("day")
+    sinks.write_partitioned(calls(spark, sf).select("*", day), path, ["day"])
+    sinks.delete_rows(spark, path, logs.expired("timestamp", "2024-01-20 00:00:00", 10, drop_test=True))
+    sinks.delete_rows(spark, path, F.col("day") == "2024-01-12")
+    left = spark.read.parquet(path)
+    return left.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_tokens").alias("tokens"))
+
+
 _TASK_STATUS = ["completed", "failed", "stopped", "running", "paused", "completed", "completed"]
 
 
@@ -668,3 +752,17 @@ def winsorized(spark: SparkSession, sf: str) -> DataFrame:
 def co_membership(spark: SparkSession, sf: str) -> DataFrame:
     return adhoc.co_membership(table(spark, sf, "orders"), "o_custkey", "o_orderpriority")
 
+
+_MIXED = "CASE WHEN l_discount = 0 THEN 'q' || l_quantity::INT ELSE 'o' || l_orderkey END"
+
+
+@query(
+    "co_membership_heavy",
+    f"""WITH m AS (SELECT DISTINCT {_MIXED} AS e, l_suppkey AS g FROM lineitem)
+    SELECT a.g AS g1, b.g AS g2, count(*) AS n FROM m a JOIN m b ON a.e = b.e AND a.g <= b.g GROUP BY ALL""",
+)
+def co_membership_heavy(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers that share entities, some of which (the quantities) deal with nearly all suppliers."""
+    many = F.concat(F.lit("q"), F.col("l_quantity").cast("int"))
+    entity = F.when(F.col("l_discount") == 0, many).otherwise(F.concat(F.lit("o"), F.col("l_orderkey")))
+    return adhoc.co_membership(table(spark, sf, "lineitem").select(entity.alias("e"), "l_suppkey"), "e", "l_suppkey")

@@ -160,6 +160,58 @@ def test_vif_and_elimination(spark):
     assert math.isinf(max(r["vif"] for r in correlation.vif(dup, ["a", "d"]).collect()))
 
 
+def test_vif_of_near_collinear_columns(spark):
+    """Columns that differ by 1e-7 of their length have a finite VIF, and merging factors in several rounds keeps it."""
+    rng = np.random.default_rng(5)
+    a, e, other = rng.normal(size=(3, 4000)) + 1
+    e -= a * (a @ e) / (a @ a)
+    b = a + 1e-7 * e
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "c": other})).repartition(70)
+    got = {r["feature"]: r["vif"] for r in correlation.vif(df, ["a", "b"]).collect()}
+    assert got["a"] == pytest.approx((a @ a) / (1e-14 * (e @ e)), rel=1e-5) and got["b"] == pytest.approx(got["a"], rel=1e-5)
+    r = correlation.triangular_factor(df, ["a", "b", "c"])
+    assert np.allclose(r.T @ r, np.stack([a, b, other]) @ np.stack([a, b, other]).T)
+
+
+def test_vif_edges(spark):
+    inf, nan = math.inf, math.nan
+    rows = [(1.0, 2.0, 0.0, 3.0), (2.0, -1.0, 0.0, 1.0), (4.0, 1.0, 0.0, 5.0), (inf, 1.0, 0.0, 1.0), (nan, 1.0, 0.0, 1.0), (None, 9.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, z double, s double").withColumn("s", F.col("a") + F.col("b"))
+    got = {r["feature"]: r["vif"] for r in correlation.vif(df, ["a", "b", "z", "s"]).collect()}
+    assert all(math.isinf(v) for v in got.values())  # s = a + b, z is zero
+    got = {r["feature"]: r["vif"] for r in correlation.vif(df, ["a", "b", "z"]).collect()}
+    assert math.isinf(got["z"]) and got["a"] == pytest.approx(21 * 6 / (21 * 6 - 16)) == got["b"]
+    assert [math.isinf(r["vif"]) for r in correlation.vif(df.where("a > 99 and a < 100"), ["a", "b"]).collect()] == [True, True]
+
+
+@pytest.mark.parametrize(("name", "values", "separated"), [
+    ("complete", [(-2, 0), (-1, 0), (1, 1), (3, 1)], True),
+    ("touching", [(-2, 0), (0, 0), (0, 1), (3, 1)], True),
+    ("reversed", [(-2, 1), (-1, 1), (1, 0), (3, 0)], True),
+    ("one row over", [(-2, 0), (1.1, 0), (1, 1), (3, 1), (4, 1), (-5, 0)], False),
+    ("one class", [(-2, 0), (1, 0), (3, 0)], True),
+])
+def test_separation(spark, name, values, separated):
+    df = spark.createDataFrame([(float(x), y) for x, y in values], "x double, y int")
+    for group in (True, False):
+        fit = logit.fit_many(logit.design_table(df, ["x"], "y", group=group), [["x"]])[0]
+        assert (fit.separated, fit.converged) == (separated, not separated) and 0 < fit.scans <= 40
+
+
+def test_separation_by_two_features_only_together(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2))
+    y = (x @ [1, -2] > 0.3).astype(int)
+    noisy = np.where(rng.random(400) < 0.05, 1 - y, y)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": 1000 * x[:, 1], "y": y, "z": noisy}))
+    alone, both = logit.fit_many(logit.design_table(df, ["a", "b"], "y"), [["a"], ["a", "b"]])
+    assert alone.converged and not alone.separated and both.separated and not both.converged and both.scans < 40
+    plain = logit.fit_many(logit.design_table(df, ["a", "b"], "z"), [["a", "b"]])[0]
+    assert plain.converged and not plain.separated
+    report = logit.fit_report(df, [alone, both]).collect()
+    assert [(r["model"], r["separated"]) for r in report] == [("a", False), ("a + b", True)]
+
+
 def test_correlation_filter_keep_modes(spark):
     corr = spark.createDataFrame([("a", "b", 0.9), ("b", "c", -0.8), ("a", "c", 0.1)], "feature1 string, feature2 string, corr double")
     assert correlation.correlation_drops(corr) == ["b", "c"]

@@ -245,8 +245,10 @@ def test_co_membership_both_ways(spark):
     rows = [(int(a), f"g{b}") for a, b in zip(rng.integers(0, 60, 500), rng.integers(0, 7, 500))]
     df = spark.createDataFrame(rows, "e int, g string")
     a = {(r["g1"], r["g2"]): r["n"] for r in adhoc.co_membership(df, "e", "g").collect()}
-    b = {(r["g1"], r["g2"]): r["n"] for r in adhoc.co_membership(df, "e", "g", matrix_groups=2).collect()}
-    assert a == b and a[("g0", "g0")] == len({e for e, g in rows if g == "g0"})
+    for light, block in ((0, 2), (3, 4), (3, 512), (100, 512)):
+        b = {(r["g1"], r["g2"]): r["n"] for r in adhoc.co_membership(df, "e", "g", light=light, block=block).collect()}
+        assert a == b
+    assert a[("g0", "g0")] == len({e for e, g in rows if g == "g0"})
 
 
 def test_winsorize_and_group_rates(spark):
@@ -300,6 +302,65 @@ def test_retention_deletes_expired_partitions(spark, tmp_path):
     assert spark.read.parquet(path).count() == 11
 
 
+def test_co_membership_of_one_entity_in_all_groups(spark):
+    """An entity in each of 2,500 groups beside entities of two groups, a missing entity and a missing group."""
+    rows = [("all", i) for i in range(2500)] + [(f"e{i}", g) for i in range(300) for g in (i, i + 1)] + [(None, 1), ("e1", None), ("all", 7)]
+    got = adhoc.co_membership(spark.createDataFrame(rows, "e string, g int"), "e", "g")
+    n = got.groupBy("n").count().collect()
+    # alone: 1; a pair (i, i + 1) and a group that one or two small entities hold besides
+    assert {r["n"]: r["count"] for r in n} == {1: 2500 * 2501 // 2 - 300 - 301, 2: 300 + 2, 3: 299}
+    assert adhoc.co_membership(spark.createDataFrame([], "e string, g int"), "e", "g").count() == 0
+
+
+def _files(root):
+    return {str(f.relative_to(root)): f.stat().st_mtime_ns for f in root.rglob("*.parquet")}
+
+
+def test_delete_rows_rewrites_only_touched_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from scorewright.sources import sinks
+
+    root = tmp_path / "log"
+    rows = [(i, None if i % 10 == 3 else i % 2 == 0, d, f"a b%{i % 2}") for i in range(40) for d in ("01", "02", "03")]
+    df = spark.createDataFrame(rows, "id int, test boolean, day string, kind string")
+    sinks.write_partitioned(df.repartition(2), str(root), ["day", "kind"])
+    before = _files(root)
+    assert sinks.delete_rows(spark, str(root), F.col("test") & (F.col("day") == 2)) == 20
+    after = _files(root)
+    assert {f for f in before if "day=01" in f or "day=03" in f} <= set(after) and all(after[f] == t for f, t in before.items() if f in after)
+    # all rows of day 02 with an even id were test rows: their partition is gone, the leading zero is kept
+    assert {f.split("/")[0] for f in after} == {"day=01", "day=02", "day=03"} and not [f for f in after if "day=02" in f and f.split("/")[1].endswith("0")]
+    back = spark.read.parquet(str(root))
+    assert {(r["id"], r["test"], f"0{r['day']}", r["kind"]) for r in back.collect()} == {r for r in rows if not (r[1] and r[2] == "02")}
+    assert sinks.delete_rows(spark, str(root), F.col("test")) == 40 and spark.read.parquet(str(root)).where("test IS NULL").count() == 12
+    assert sinks.delete_rows(spark, str(root), F.lit(None).cast("boolean")) == 0
+    assert not [p for p in root.iterdir() if p.name.startswith("_deletion")]
+
+
+def test_unfinished_deletions(spark, tmp_path):
+    """A run that died before its journal leaves the table as it was, one that died after it is carried out."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from scorewright.sources import sinks
+
+    root = tmp_path / "t"
+    spark.range(20).coalesce(1).write.parquet(str(root))
+    old = next(root.glob("*.parquet"))
+    (root / "_deletion-a" / "data").mkdir(parents=True)
+    assert sinks.finish_deletions(spark, str(root)) == 0 and spark.read.parquet(str(root)).count() == 20
+    work = root / "_deletion-b"
+    spark.range(5).coalesce(1).write.parquet(str(work / "data"))
+    new = next((work / "data").glob("*.parquet"))
+    (work / "journal.json").write_text(json.dumps({"old": [str(old)], "new": [[str(new), f"{root}/{new.name}"]]}))
+    assert spark.read.parquet(str(root)).count() == 20
+    assert sinks.finish_deletions(spark, str(root)) == 1 and spark.read.parquet(str(root)).count() == 5
+    assert sinks.delete_rows(spark, str(root), F.col("id") == 2) == 1
+    assert sorted(r["id"] for r in spark.read.parquet(str(root)).collect()) == [0, 1, 3, 4]
+
+
 def test_zero_has_one_sign(spark):
     from scorewright.operators import profile
 
