@@ -192,6 +192,36 @@ def rule_sums(df: DataFrame, rules: Sequence[str], values: Mapping[str, Column],
     return (sums.withColumnRenamed("__by", by) if by else sums), index
 
 
+def rule_products(df: DataFrame, rules: Sequence[str]) -> tuple[DataFrame, RuleIndex]:
+    """(i, j, common): rows that rules i <= j both hit, for the pairs that share any; i = j gives a rule's own hits.
+
+    One scan as in ``rule_sums``; a task hands on one row per pair that occurs in it, and no pair is formed without a row.
+    """
+    index = RuleIndex(df, rules)
+    slots = [(key, slot, sorted(slot.values)) for key, slot in index.slots.items()]
+    plain = [(key, _Slot(None, slot.kind), order) for key, slot, order in slots]
+    atoms, trees = list(index.atoms), index.trees
+    sent = df.select(*[slot.column.alias(f"__s{i}") for i, (_, slot, _) in enumerate(slots)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.zeros((len(trees), len(trees)), np.int64)
+        for batch in batches:
+            if batch.num_rows and trees:
+                masks = _masks(batch, plain, atoms)
+                hit = np.stack([_evaluated(t, masks, batch.num_rows) for t in trees])
+                some = np.flatnonzero(hit.any(axis=1))
+                for a in range(0, len(some), RULES_AT_ONCE):
+                    left = hit[some[a : a + RULES_AT_ONCE]].astype(np.float32)
+                    for b in range(a, len(some), RULES_AT_ONCE):
+                        right = hit[some[b : b + RULES_AT_ONCE]].astype(np.float32)
+                        common[np.ix_(some[a : a + RULES_AT_ONCE], some[b : b + RULES_AT_ONCE])] += np.rint(left @ right.T).astype(np.int64)
+        i, j = np.nonzero(np.triu(common))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(common[i, j])], ["i", "j", "common"])
+
+    parts = sent.mapInArrow(run, "i int, j int, common long")
+    return parts.groupBy("i", "j").agg(F.sum("common").alias("common")), index
+
+
 def _sums(hit: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Per rule the sums of each value over the rows it hits; infinities and not-a-number of other rows stay out."""
     if np.isfinite(x).all():

@@ -8,17 +8,16 @@ lists, which stays distributed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions.numeric import ratio, when_sum
 from scorewright.functions.rule_expr import any_of, compile_rules
 from scorewright.operators.evaluate import hit_list, totals, weight_column
-from scorewright.operators.rule_index import rule_sums
+from scorewright.operators.rule_index import rule_products, rule_sums
 
 
 def compiled(df: DataFrame, rules: Sequence[str]) -> list[tuple[str, Column]]:
@@ -356,38 +355,46 @@ def rejection_reasons(
 # ---------------------------------------------------------------- rule pairs
 
 
-def rule_pairs(df: DataFrame, rules: Sequence[str]) -> DataFrame:
-    """Pairs i < j with hit counts and common hits.
-
-    Each Arrow batch contributes HᵀH of its 0/1 hit matrix, summed per task, so a
-    task ships rules² numbers instead of one row per pair and row.
-    """
-    good = compiled(df, rules)
-    k = len(good)
-    sig = df.select(hit_list([h for _, h in good]).alias("hits")).where(F.size("hits") > 0)
-
-    def products(batches):
-        acc = np.zeros((k, k), dtype=np.int64)
-        for pdf in batches:
-            lens = pdf["hits"].str.len().to_numpy()
-            if not len(lens):
-                continue
-            m = np.zeros((len(lens), k), dtype=np.float32)
-            m[np.repeat(np.arange(len(lens)), lens), np.concatenate(pdf["hits"].to_numpy())] = 1
-            acc += np.rint(m.T @ m).astype(np.int64)
-        i, j = np.nonzero(acc)
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "common": acc[i, j]})
-
-    co = sig.mapInPandas(products, "i int, j int, common long").groupBy("i", "j").agg(F.sum("common").alias("common"))
-    names = names_table(df, [r for r, _ in good])
-    alone = co.where("i = j")
-    own = names.join(alone.select(F.col("i").alias("pos"), F.col("common").alias("hits")), "pos", "left").fillna(0, ["hits"])
+def _paired(co: DataFrame, own: DataFrame) -> DataFrame:
+    """Names, hits and likeness for the pairs (i, j, common)."""
     a = own.select(F.col("pos").alias("i"), F.col("rule").alias("rule1"), F.col("hits").alias("hits1"))
     b = own.select(F.col("pos").alias("j"), F.col("rule").alias("rule2"), F.col("hits").alias("hits2"))
-    return (
-        a.join(F.broadcast(b), F.col("i") < F.col("j")).join(co, ["i", "j"], "left").fillna(0, ["common"])
-        .withColumn("jaccard", ratio(F.col("common"), F.col("hits1") + F.col("hits2") - F.col("common"), None))
-    )
+    jaccard = ratio(F.col("common"), F.col("hits1") + F.col("hits2") - F.col("common"), None)
+    out = co.join(a, "i").join(b, "j").withColumn("jaccard", jaccard)
+    return out.select("i", "j", "rule1", "hits1", "rule2", "hits2", "common", "jaccard")
+
+
+def _own_hits(df: DataFrame, co: DataFrame, names: Sequence[str]) -> DataFrame:
+    alone = co.where("i = j").select(F.col("i").alias("pos"), F.col("common").alias("hits"))
+    return names_table(df, names).join(alone, "pos", "left").fillna(0, ["hits"])
+
+
+def sharing_pairs(df: DataFrame, rules: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs i < j of rules that hit a row together, with hit counts and common hits, and the rules (pos, rule, hits).
+
+    Pairs without a common row are never formed.
+    """
+    co, index = rule_products(df, rules)
+    co = co.cache()
+    own = _own_hits(df, co, index.names)
+    return _paired(co.where("i < j"), own), own
+
+
+def rule_pairs(df: DataFrame, rules: Sequence[str]) -> DataFrame:
+    """All pairs i < j with hit counts and common hits (a report of rules² rows; ``sharing_pairs`` leaves out empty ones)."""
+    co, index = rule_products(df, rules)
+    first = F.posexplode(F.sequence(F.col("pos") + 1, F.lit(len(index.names) - 1))).alias("p", "j")
+    every = names_table(df, index.names).where(F.col("pos") < len(index.names) - 1).select(F.col("pos").alias("i"), first).drop("p")
+    return _paired(every.join(co, ["i", "j"], "left").fillna(0, ["common"]), _own_hits(df, co, index.names))
+
+
+def sharing_report(pairs: DataFrame, own: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``overlap_report`` from ``sharing_pairs``: the other pairs count as zero, but for pairs of two rules without hits."""
+    r = own.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("hits") == 0, 1)).alias("idle")).first()
+    judged = math.comb(r["n"], 2) - math.comb(r["idle"], 2)
+    return pairs.agg(
+        (F.coalesce(F.sum("jaccard"), F.lit(0.0)) / max(judged, 1)).alias("avg_overlap"), F.count(F.when(F.col("jaccard") > threshold, 1)).alias("n_high")
+    ).withColumn("status", F.when(F.col("avg_overlap") > threshold, "warning").otherwise("ok"))
 
 
 def overlap_report(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:

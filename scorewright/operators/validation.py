@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scorewright.operators.curves import discrimination
 from scorewright.operators.evaluate import compound_rule_metrics
 from scorewright.operators.rules import complexity_report, rule_table
-from scorewright.operators.ruleset import multi_hit, overlap_report, redundant_rules, rule_pairs, union_metrics
+from scorewright.operators.ruleset import multi_hit, redundant_rules, sharing_pairs, sharing_report, union_metrics
 
 # Tier limits (excellent, good, acceptable) and score weights.
 LIFT_TIERS = (3.0, 2.0, 1.5)
@@ -75,35 +75,41 @@ def complexity_status(avg: float, top: int) -> str:
     return "good" if avg <= COMPLEXITY_MAX else "warning"
 
 
+# The share of a dimension's points that a status earns. A status that is missing here earns points by the
+# measured value, as ``rule_score`` says.
+SHARES = {
+    "lift": {"excellent": 1.0, "good": 0.85, "acceptable": 0.70},
+    "recall": {"excellent": 1.0, "good": 0.85, "acceptable": 0.70},
+    "coverage": {"excellent": 1.0, "good": 0.85, "warning_low": 0.5, "warning_high": 0.6},
+    "complexity": {"excellent": 1.0, "good": 0.8},
+}
+
+
 def rule_score(f: Mapping[str, float]) -> dict[str, float]:
-    """Points per dimension from the facts of a rule set."""
-    w = RULE_WEIGHTS
-    lift = lift_status(f["avg_lift"], f["min_lift"])
-    factor = {"excellent": 1.0, "good": 0.85, "acceptable": 0.70}
-    if lift in factor:
-        disc = w["discrimination"] * factor[lift]
-    elif lift == "warning":
-        disc = w["discrimination"] * (0.5 * f["avg_lift"] / LIFT_TIERS[2] if f["avg_lift"] >= 1 else 0.2)
-    else:
-        disc = 0.0
-    rs = recall_status(f["recall"])
-    rec = w["recall"] * (factor[rs] if rs in factor else 0.5 * f["recall"] / RECALL_TIERS[2])
-    cov = w["coverage"] * {"excellent": 1.0, "good": 0.85, "warning_low": 0.5, "warning_high": 0.6}[coverage_status(f["coverage"])]
-    half = w["independence"] / 2
-    o = f["avg_overlap"]
-    if o > OVERLAP_WARNING:
-        over = max(0.0, half * 0.5 * (1 - o))
-    elif o <= OVERLAP_OPTIMAL:
-        over = half
-    else:
-        over = half * (1 - (o - OVERLAP_OPTIMAL) / (OVERLAP_WARNING - OVERLAP_OPTIMAL))
-    red = max(0.0, half - 0.5 * f["n_redundant"])
-    cs = complexity_status(f["avg_complexity"], f["max_complexity"])
-    comp = w["complexity"] * {"excellent": 1.0, "good": 0.8}.get(cs, 0.5 * COMPLEXITY_MAX / max(f["avg_complexity"], 1e-9))
-    return {
-        "discrimination": round(disc, 1), "recall": round(rec, 1), "coverage": round(cov, 1),
-        "independence": round(over + red, 1), "complexity": round(comp, 1),
+    """Points per dimension from the facts of a rule set.
+
+    Below the tiers, points fall in proportion to the value (lift, recall) or to its inverse (complexity). Independence
+    is half for overlap, falling between the two overlap limits, and half for redundancy, half a point a rule.
+    """
+    status = lift_status(f["avg_lift"], f["min_lift"])
+    weak_lift = 0.0 if status != "warning" else 0.2 if f["avg_lift"] < 1 else 0.5 * f["avg_lift"] / LIFT_TIERS[2]
+    simple = 0.5 * COMPLEXITY_MAX / max(f["avg_complexity"], 1e-9)
+    share = {
+        "discrimination": SHARES["lift"].get(status, weak_lift),
+        "recall": SHARES["recall"].get(recall_status(f["recall"]), 0.5 * f["recall"] / RECALL_TIERS[2]),
+        "coverage": SHARES["coverage"][coverage_status(f["coverage"])],
+        "complexity": SHARES["complexity"].get(complexity_status(f["avg_complexity"], f["max_complexity"]), simple),
     }
+    points = {k: RULE_WEIGHTS[k] * v for k, v in share.items()}
+    half = RULE_WEIGHTS["independence"] / 2
+    points["independence"] = half * _overlap_share(f["avg_overlap"]) + max(0.0, half - 0.5 * f["n_redundant"])
+    return {k: round(points[k], 1) for k in ("discrimination", "recall", "coverage", "independence", "complexity")}
+
+
+def _overlap_share(overlap: float) -> float:
+    if overlap > OVERLAP_WARNING:
+        return max(0.0, 0.5 * (1 - overlap))
+    return 1 - max(0.0, overlap - OVERLAP_OPTIMAL) / (OVERLAP_WARNING - OVERLAP_OPTIMAL)
 
 
 def rule_warnings(f: Mapping[str, float]) -> list[str]:
@@ -126,10 +132,9 @@ def validate_rules(df: DataFrame, rules: Sequence[str], target: str) -> DataFram
     metrics, _ = compound_rule_metrics(df, rules, target)
     lift = lift_report(metrics).first()
     union = union_metrics(df, rules, target).first()
-    pairs = rule_pairs(df, rules).cache()
-    over = overlap_report(pairs).first()
+    pairs, own = sharing_pairs(df, rules)
+    over = sharing_report(pairs, own).first()
     n_red = redundant_rules(pairs).count()
-    pairs.unpersist()
     many = multi_hit(df, rules).where("n_hit > 1").agg(F.coalesce(F.sum("pct"), F.lit(0.0)).alias("r")).first()["r"]
     comp = complexity_report(rule_table(spark, rules)).first()
     facts = {

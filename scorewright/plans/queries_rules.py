@@ -493,6 +493,41 @@ def rule_redundancy(spark: SparkSession, sf: str) -> DataFrame:
     return ruleset.redundant_rules(ruleset.rule_pairs(loans(spark, sf), TEXTS))
 
 
+# Narrow ranges of quantity, one beyond all values, and single discounts: most pairs share no row.
+RANGES = [(q, q + w) for w in (1, 3) for q in range(50)] + [(60, 70)]
+DISCOUNTS = [d / 100 for d in range(11)]
+RANGE_RULES = [f"(l_quantity > {a}) & (l_quantity <= {b})" for a, b in RANGES] + [f"(l_discount == {d})" for d in DISCOUNTS]
+
+RANGE_HITS = f"""cells AS (SELECT l_quantity, l_discount, count(*) AS n FROM lineitem GROUP BY ALL),
+  rules AS (SELECT unnest(range({len(RANGE_RULES)})) AS pos, unnest({RANGE_RULES!r}) AS rule,
+    unnest({[a for a, _ in RANGES] + [-1] * len(DISCOUNTS)!r}) AS low, unnest({[b for _, b in RANGES] + [10**6] * len(DISCOUNTS)!r}) AS high,
+    unnest({[-1.0] * len(RANGES) + DISCOUNTS!r}::DOUBLE[]) AS discount),
+  hit AS (SELECT pos, rule, c.* FROM cells c JOIN rules ON l_quantity > low AND l_quantity <= high AND (discount < 0 OR l_discount = discount)),
+  own AS (SELECT pos, rule, coalesce(sum(n), 0)::BIGINT AS hits FROM rules LEFT JOIN hit USING (pos, rule) GROUP BY ALL),
+  shared AS (SELECT a.pos AS i, b.pos AS j, sum(a.n)::BIGINT AS common FROM hit a JOIN hit b ON a.l_quantity = b.l_quantity AND a.l_discount = b.l_discount AND a.pos < b.pos GROUP BY ALL),
+  sharing AS (SELECT x.rule AS rule1, x.hits AS hits1, z.rule AS rule2, z.hits AS hits2, common, common / (x.hits + z.hits - common) AS jaccard
+    FROM shared JOIN own x ON x.pos = i JOIN own z ON z.pos = j)"""
+
+
+@query("sharing_rule_pairs", f"WITH {RANGE_HITS} SELECT * REPLACE (round(jaccard, 6) AS jaccard) FROM sharing")
+def sharing_rule_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Of 112 rules the pairs that hit a row together."""
+    pairs, _ = ruleset.sharing_pairs(table(spark, sf, "lineitem"), RANGE_RULES)
+    return rounded(pairs.drop("i", "j"))
+
+
+@query(
+    "sharing_rule_summary",
+    f"""WITH {RANGE_HITS}, every AS (SELECT CASE WHEN x.hits + z.hits > 0 THEN 1 END AS one FROM own x JOIN own z ON x.pos < z.pos),
+    r AS (SELECT (SELECT sum(jaccard) FROM sharing) / (SELECT count(one) FROM every) AS a)
+    SELECT round(a, 6) AS avg_overlap, (SELECT count(*) FROM sharing WHERE jaccard > 0.5) AS n_high, CASE WHEN a > 0.5 THEN 'warning' ELSE 'ok' END AS status,
+      (SELECT count(*) FROM sharing WHERE common = hits2) + (SELECT count(*) FROM sharing WHERE common = hits1) AS n_redundant FROM r""",
+)
+def sharing_rule_summary(spark: SparkSession, sf: str) -> DataFrame:
+    pairs, own = ruleset.sharing_pairs(table(spark, sf, "lineitem"), RANGE_RULES)
+    return rounded(ruleset.sharing_report(pairs, own).withColumn("n_redundant", F.lit(ruleset.redundant_rules(pairs).count())))
+
+
 @query(
     "prior_rule_increment",
     f"""{BASE}, s AS (SELECT rule, sum(w) FILTER (hit) AS w1, sum(w) FILTER (hit AND y = 1) AS b1, sum(w) FILTER (hit AND NOT {PRIOR_SQL}) AS w2,

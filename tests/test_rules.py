@@ -314,3 +314,19 @@ def test_tree_cuts_find_the_planted_step(loans):
     cuts = tree_cuts(loans, ["age"], "y", 2)["age"]
     assert len(cuts) == 1 and 26 <= cuts[0] <= 29
     assert len(tree_cuts(loans, ["age"], "y", 6)["age"]) <= 5
+
+
+def test_sharing_pairs_are_the_pairs_with_common_rows(spark):
+    rows = [(i % 50, i % 7, None if i % 11 == 0 else i % 3) for i in range(700)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    rules = [f"(a > {i}) & (a <= {i + 2})" for i in range(49)] + ["(b == 3)", "(c != 1)", "(a > 90)", "(a < 0)", "not a rule"]
+    every = [r for r in ruleset.rule_pairs(df, rules).collect()]
+    pairs, own = ruleset.sharing_pairs(df, rules)
+    assert len(every) == 53 * 52 // 2 and sorted(map(tuple, pairs.collect())) == sorted(map(tuple, (r for r in every if r["common"])))
+    assert "NestedLoop" not in pairs._jdf.queryExecution().toString()
+    plain = ruleset.overlap_report(ruleset.rule_pairs(df, rules)).first()
+    sparse = ruleset.sharing_report(pairs, own).first()
+    assert sparse["avg_overlap"] == pytest.approx(plain["avg_overlap"]) and sparse["n_high"] == plain["n_high"]
+    assert sorted(map(tuple, ruleset.redundant_rules(pairs).collect())) == sorted(map(tuple, ruleset.redundant_rules(ruleset.rule_pairs(df, rules)).collect()))
+    none, zero = ruleset.sharing_pairs(df.where("a > 99"), rules)
+    assert none.collect() == [] and ruleset.sharing_report(none, zero).first()["avg_overlap"] == 0
