@@ -48,9 +48,10 @@ COUNT_WORDS = [
 
 
 def _bounded(name: str, patterns: Sequence[str]) -> bool:
-    """A pattern stands alone: at an end, or next to an underscore or digit."""
-    low = name.lower()
-    return any(re.search(rf"(^|[_\d]){re.escape(p)}([_\d]|$)", low) for p in patterns)
+    """A pattern makes up whole parts of the name, parts being what underscores and digits divide."""
+    between = r"[_\d]"
+    parts = re.compile(rf"(?:\A|{between})(?:{'|'.join(map(re.escape, patterns))})(?:{between}|\Z)")
+    return parts.search(name.lower()) is not None
 
 
 def named_id(name: str) -> bool:
@@ -89,23 +90,31 @@ def long_text_columns(df: DataFrame, exclude: Sequence[str] = (), min_unique: fl
     ]
 
 
+# Integer columns that count as codes. Bounds of distinct values, lowest value, highest value (above which
+# the test fails) and density (distinct values per step of the range), and whether names of counts are let off.
+INF = float("inf")
+CODE_TESTS = [
+    ("binary", (2, 2), (0, INF), 2.5, INF, False),
+    ("small_range", (0, 15), (1, INF), 20, INF, False),
+    ("small_range_from_zero", (0, 10), (0, 0), 15, INF, True),
+    ("sparse_encoding", (0, 15), (-INF, INF), 1000, 0.3, True),
+    ("medium_sparse", (11, 50), (1, INF), 100, 0.5, True),
+]
+
+
 def integer_kind(name: str, n_unique: int, low: float, high: float) -> tuple[bool, str]:
     """Whether an integer column looks like a code rather than a quantity, and why."""
     if not n_unique:
         return False, "empty"
-    sparsity = n_unique / (high - low + 1)
-    if low in (0, 1) and high > 20 and sparsity >= 0.3 and n_unique >= 10:
+    density = n_unique / (high - low + 1)
+    if low in (0, 1) and high > 20 and density >= 0.3 and n_unique >= 10:
         return False, "ordinal_numeric"
-    counts = any(w in name.lower() for w in COUNT_WORDS)
-    tests = [
-        ("binary", n_unique == 2 and low >= 0 and high <= 2),
-        ("small_range", n_unique <= 15 and low >= 1 and high < 20),
-        ("small_range_from_zero", n_unique <= 10 and low == 0 and high < 15 and not counts),
-        ("sparse_encoding", n_unique <= 15 and sparsity < 0.3 and high < 1000 and not counts),
-        ("medium_sparse", 10 < n_unique <= 50 and sparsity < 0.5 and high < 100 and low >= 1 and not counts),
-    ]
-    hit = next((k for k, ok in tests if ok), None)
-    return (True, hit) if hit else (False, "excluded_count_feature" if counts else "not_categorical")
+    counted = any(w in name.lower() for w in COUNT_WORDS)
+    for kind, distinct, lowest, below, dense, spare_counts in CODE_TESTS:
+        fits = distinct[0] <= n_unique <= distinct[1] and lowest[0] <= low <= lowest[1] and high < below and density < dense
+        if fits and not (spare_counts and counted):
+            return True, kind
+    return False, "excluded_count_feature" if counted else "not_categorical"
 
 
 def categorical_report(
