@@ -304,15 +304,11 @@ def bin_statistics(
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
     )
-    if total <= buffer_rows:
-        med = long.groupBy("bin").agg(F.percentile("value", F.lit(0.5)).alias("median"))
-    else:
-        cells = long.select("bin", F.col("value").alias(feature))
-        found = [
-            (b, quantiles(cells.where(F.col("bin") == b), [feature], [0.5], buffer_rows)[feature][0])
-            for b in range(len(edges) - 1)
-        ]
-        med = F.broadcast(df.sparkSession.createDataFrame(found, "bin int, median double"))
+    # one column per bin, so that all medians are found by the same scans
+    bins = [f"b{b}" for b in range(len(edges) - 1)]
+    wide = long.select(*[F.when(F.col("bin") == b, F.col("value")).alias(c) for b, c in enumerate(bins)])
+    medians = quantiles(wide, bins, [0.5], buffer_rows)
+    med = F.broadcast(df.sparkSession.createDataFrame([(b, medians[c][0]) for b, c in enumerate(bins)], "bin int, median double"))
     lo = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("bin") + 1)
     hi = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("bin") + 2)
     return base.join(med, "bin").select(

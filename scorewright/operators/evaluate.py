@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -136,7 +137,7 @@ def filter_multi_rules(
     wrong = "<=" if score_direction == ">" else ">"
     out = rules
     for v in score_vars:
-        out = out.where(~F.col("rule").contains(f"{v} {wrong}"))
+        out = out.where(~F.col("rule").rlike(rf"(?<!\w){re.escape(v)} {wrong}"))
     dead = directions.where(F.col("cutoff") == "(-inf, inf]").select(F.col("var").alias("v"))
     hit = (
         out.select("rule", F.explode(F.split("used_var", " & ")).alias("v"))

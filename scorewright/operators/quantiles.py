@@ -14,8 +14,9 @@ from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorewright.operators.histogram import clean_double
 
@@ -247,34 +248,109 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Probs, buffer_rows: int
     return out
 
 
-def kth_row(df: DataFrame, order: Sequence[str], k: int) -> tuple[float, ...] | None:
-    """Key of the k-th row (0-based) in lexicographic order of numeric columns.
+# ---------------------------------------------------------------- rows by keys of any type
 
-    Each column is one selection restricted to rows still tied, so no sort and
-    no global window is needed; a short tie is finished by a bounded top-k.
-    """
-    key: list[float] = []
-    tied = df.select(*[clean_double(c).alias(c) for c in order])
-    for i, c in enumerate(order):
-        hit = select_ranks(tied, {c: [k]})[c].get(k)
-        if hit is None:
-            return None
-        key.append(hit.value)
-        k -= hit.below
-        rest = list(order[i + 1:])
-        if hit.same == 1 or not rest:
-            break
-        tied = tied.where(F.col(f"`{c}`") == hit.value)
-        if hit.same <= TAKE_ROWS:
-            key += list(tied.select(*rest).orderBy(*rest).limit(k + 1).collect()[k])
-            break
-    return tuple(key)
+#: Bytes of a text that one number holds exactly.
+PIECE = 6
+#: Whole numbers below this are exact as doubles.
+EXACT = 2**53
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 
-def at_or_after(order: Sequence[str], key: Sequence[float]):
-    """Row-wise test: (order columns) >= key, compared left to right."""
-    cond = F.lit(True)
-    for c, v in list(zip(order, key))[::-1]:
-        x = clean_double(c)
-        cond = (x > v) | ((x == v) & cond)
-    return cond
+
+class RowOrder:
+    """Rows in order of columns of any type, compared left to right; missing values and not-a-number come first.
+
+    Numbers and times compare by value (long integers and decimals exactly), texts and binaries byte by byte. No sort and
+    no window is needed: the k-th row's key is selected column by column, a text six bytes at a time as one number, each
+    time among the rows still tied; a short tie is finished by a bounded top-k.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str]):
+        self.values = [self._value(f"`{c}`", df.schema[c].dataType) for c in columns]
+        self.df = df.select(*[v.alias(f"k{i}") for i, v in enumerate(self.values)])
+        self.types = [f.dataType for f in self.df.schema.fields]
+
+    @staticmethod
+    def _value(name: str, of: T.DataType) -> Column:
+        x = F.col(name)
+        if isinstance(of, (T.FloatType, T.DoubleType)):
+            return F.when(~F.isnan(x), x.cast("double"))
+        if isinstance(of, _WHOLE):
+            return x.cast("long")
+        if isinstance(of, T.DateType):
+            return F.unix_date(x).cast("long")
+        if isinstance(of, T.TimestampType):
+            return F.unix_micros(x)
+        if isinstance(of, T.TimestampNTZType):
+            return F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        if isinstance(of, (T.DecimalType, T.StringType, T.BinaryType)):
+            return x
+        raise TypeError(f"{name} has no order: {of.simpleString()}")
+
+    def kth(self, k: int) -> tuple | None:
+        """Key of the k-th row (0-based), cut after the first column that settles it; None beyond the last row."""
+        names, key, tied = self.df.columns, [], self.df
+        for i, c in enumerate(names):
+            numeric = isinstance(self.types[i], (T.LongType, T.DoubleType, T.DecimalType))
+            for piece, last in self._numbers(c) if numeric else self._pieces(c):
+                at = F.coalesce(piece, F.lit(-math.inf))
+                hit = select_ranks(tied.select(at.alias("v")), {"v": [k]})["v"].get(k)
+                if hit is None:
+                    return None
+                k -= hit.below
+                tied = tied.where(at == F.lit(hit.value))
+                if hit.same <= TAKE_ROWS:
+                    if hit.same == 1 or i == len(names) - 1:
+                        return (*key, tied.select(*names[i:]).orderBy(*names[i:]).limit(k + 1).collect()[k][0])
+                    return (*key, *tied.select(*names[i:]).orderBy(*names[i:]).limit(k + 1).collect()[k])
+                if hit.value == -math.inf:
+                    missing = tied.where(F.col(c).isNull())
+                    n = missing.count()
+                    tied, k = (missing, k) if k < n else (tied.where(F.col(c).isNotNull()), k - n)
+                    break
+                if last(hit.value, tied):
+                    break
+            key.append(tied.select(F.min(c)).first()[0])
+        return tuple(key)
+
+    def _numbers(self, c: str):
+        """A number as the nearest double, then what that leaves; whole numbers below 2^53 leave nothing."""
+        x = F.col(c)
+        near = x.cast("double")
+        if isinstance(self.df.schema[c].dataType, T.DoubleType):
+            yield near, lambda v, tied: True
+            return
+        yield near, lambda v, tied: isinstance(self.df.schema[c].dataType, T.LongType) and abs(v) < EXACT
+        scale = getattr(self.df.schema[c].dataType, "scale", 0)
+        left = x.cast(f"decimal(38,{scale})") - near.try_cast(f"decimal(38,{scale})")
+        yield left.cast("double"), lambda v, tied: True
+
+    @staticmethod
+    def _pieces(c: str):
+        """A text as numbers of six bytes each, short ones filled with zeros, then its length."""
+        raw = F.col(c).cast("binary")
+        done, at = False, 0
+
+        def ended(_, tied: DataFrame) -> bool:
+            nonlocal done
+            done = (tied.agg(F.max(F.octet_length(raw))).first()[0] or 0) <= PIECE * at
+            return False
+
+        while not done:
+            at += 1
+            piece = F.rpad(F.hex(F.substring(raw, PIECE * (at - 1) + 1, PIECE)), 2 * PIECE, "0")
+            yield F.conv(piece, 16, 10).cast("double"), ended
+        yield F.octet_length(raw).cast("double"), lambda v, tied: True
+
+    def at_or_after(self, key: Sequence) -> Column:
+        """Row-wise test: the row's leading columns >= key. Never null."""
+        cond = F.lit(True)
+        for x, v in list(zip(self.values, key))[::-1]:
+            if v is None:
+                later, equal = x.isNotNull(), x.isNull()
+            else:
+                at = F.lit(v)
+                later, equal = F.coalesce(x > at, F.lit(False)), x.eqNullSafe(at)
+            cond = later | (equal & cond)
+        return cond

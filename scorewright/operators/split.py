@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.datetimes import order_value, parse_formats
-from scorewright.operators.quantiles import at_or_after, kth_row, select_ranks
+from scorewright.operators.quantiles import RowOrder, select_ranks
 
 SEED = 42
 
@@ -54,13 +54,14 @@ def random_split(df: DataFrame, target: str, keys: Sequence[str], ratio: float =
 
 
 def newest_rows(timed: DataFrame, keys: Sequence[str], share: float) -> Column | None:
-    """Test for the newest int(n * share) rows by ``__t``; ties in time are cut by the numeric keys."""
+    """Test for the newest int(n * share) rows by ``__t``; ties in time are cut by the keys, of any type."""
     size = timed.agg(F.count(F.lit(1)).alias("n"), F.count("__t").alias("known")).first()
     k = int(size["n"] * share)
     if k <= 0:
         return None
-    cut = kth_row(timed.where("__t IS NOT NULL"), ["__t", *keys], max(size["known"] - k, 0))
-    return None if cut is None else F.coalesce(at_or_after(["__t", *keys][: len(cut)], cut), F.lit(False))
+    order = RowOrder(timed.where("__t IS NOT NULL"), ["__t", *keys])
+    cut = order.kth(max(size["known"] - k, 0))
+    return None if cut is None else F.col("__t").isNotNull() & order.at_or_after(cut)
 
 
 def time_split(
@@ -100,10 +101,10 @@ def time_halves(df: DataFrame, time: str, keys: Sequence[str], n_periods: int =
     timed = df.withColumn("__t", order_value(df, time, fmt)).where("__t IS NOT NULL")
     n = timed.count()
     size = n // n_periods
-    order = ["__t", *keys]
-    start, stop = kth_row(timed, order, n - size), kth_row(timed, order, size)
-    late = at_or_after(order[: len(start)], start) if start else F.lit(False)
-    early = ~at_or_after(order[: len(stop)], stop) if stop else F.lit(True)
+    order = RowOrder(timed, ["__t", *keys])
+    start, stop = order.kth(n - size), order.kth(size)
+    late = order.at_or_after(start) if start else F.lit(False)
+    early = ~order.at_or_after(stop) if stop else F.lit(True)
     return timed.withColumn("period", F.when(early, F.lit("base")).when(late, F.lit("compare"))).drop("__t")
 
 

@@ -526,6 +526,27 @@ def split_time_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_time_ranges(split_loans(spark, sf), "l_shipdate")
 
 
+_TEXT_KEYS = {
+    "flag": "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_returnflag || '/' || l_orderkey % 10 END",
+    "line": "'order-' || l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey",
+}
+
+
+@query(
+    "text_key_split",
+    f"""WITH {LOANS}, k AS (SELECT *, date_trunc('year', l_shipdate) AS year, {', '.join(f'{e} AS {c}' for c, e in _TEXT_KEYS.items())} FROM loans),
+    r AS (SELECT *, row_number() OVER (ORDER BY year, flag NULLS FIRST, line) AS rn, count(*) OVER () AS n FROM k)
+    SELECT rn > n - n // 5 AS oot, count(*) AS n, sum(y)::BIGINT AS bad, min(line) AS first, max(line) AS last FROM r GROUP BY 1""",
+)
+def text_key_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest fifth by year; within the year that is cut, text keys with missing values and ties decide."""
+    df = loans(spark, sf).select("y", F.date_trunc("year", "l_shipdate").alias("year"), *[F.expr(e).alias(c) for c, e in _TEXT_KEYS.items()])
+    parts = split.time_split(df, "y", "year", list(_TEXT_KEYS))
+    return parts.groupBy((F.col("split") == "oot").alias("oot")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"), F.min("line").alias("first"), F.max("line").alias("last")
+    )
+
+
 @query(
     "period_halves",
     f"""WITH {LOANS}, r AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS rn, count(*) OVER () // 3 AS m, count(*) OVER () AS nn FROM loans)

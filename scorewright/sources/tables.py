@@ -46,7 +46,7 @@ def read_rule_file(spark: SparkSession, path: str) -> DataFrame:
         broken = df.where(" OR ".join(f"`{c}` LIKE '%�%'" for c in df.columns) or "false")
         if not any("�" in c for c in df.columns) and broken.isEmpty():
             return df
-    return df
+    raise ValueError(f"{path} is neither UTF-8 nor GBK")
 
 
 def read_name_mapping(spark: SparkSession, path: str, key: str = "feature_code", value: str = "feature_name") -> dict[str, str]:

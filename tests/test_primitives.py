@@ -1,6 +1,8 @@
 """Histogram, quantile, running-total and selection primitives against numpy/pandas."""
 
+import datetime
 import math
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from scorewright.operators.binning import small_domains, weighted_iv, woe_columns, woe_table
 from scorewright.operators.histogram import binned_long, histogram, splits
 from scorewright.operators.ordering import average_ranks, running_totals, with_ranks
-from scorewright.operators.quantiles import at_or_after, kth_row, order_statistics, quantiles
+from scorewright.operators import quantiles as quantiles_module
+from scorewright.operators.quantiles import RowOrder, order_statistics, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -99,10 +102,11 @@ def test_kth_row_with_hot_tie(spark):
     rows = [(5 if i % 3 else 4, i % 7, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "t long, a long, b long")
     order = sorted(rows)
+    by = RowOrder(df, ["t", "a", "b"])
     for k in (0, 999, 1500, 2999):
-        key = kth_row(df, ["t", "a", "b"], k)
+        key = by.kth(k)
         assert tuple(order[k][: len(key)]) == key
-        n = df.where(at_or_after(["t", "a", "b"][: len(key)], key)).count()
+        n = df.where(by.at_or_after(key)).count()
         assert n == 3000 - k
 
 
@@ -152,3 +156,39 @@ def test_weighted_iv_zero_share_floor(spark):
     iv = weighted_iv(df, "y", "w", ["x"], 10).first()["iv"]
     want = (1e-4 - 0.5) * math.log(1e-4 / 0.5) * 2 + (1 - 1e-4) * math.log(1 / 1e-4)
     assert iv == pytest.approx(want)
+
+
+_BIG = 2**60
+ORDERED = {
+    "text": (["", "a", "a\0", "ab", "abcdefé", "abcdefgh", "abcdefgh" * 3, "é", "z", "😀", None], "string"),
+    "long": ([0, -5, _BIG, _BIG + 1, _BIG + 2, -_BIG - 1, 2**63 - 1, -(2**63), None], "long"),
+    "decimal": ([Decimal("1.00"), Decimal("-3.25"), Decimal(10**20) + Decimal("0.25"), Decimal(10**20), Decimal(10**20) + Decimal("0.50"), None], "decimal(30,2)"),
+    "double": ([0.5, -math.inf, math.inf, math.nan, -2.0, 1e300, None], "double"),
+    "day": ([datetime.date(2024, 1, 5), datetime.date(1960, 1, 1), None], "date"),
+}
+
+
+@pytest.mark.parametrize("kind", list(ORDERED))
+def test_rows_by_keys_of_any_type(spark, monkeypatch, kind):
+    """Every rank against a plain sort, with and without the bounded top-k; ties fall to the second, text key."""
+    values, of = ORDERED[kind]
+    rows = [(v, t) for v in values for t in ("row1-same-prefix", "row1-same-prefiy", "row1", None)]
+    df = spark.createDataFrame(rows, f"x {of}, t string").coalesce(1)
+
+    def first_missing(v):
+        if v is None or v != v:
+            return (0, 0)
+        return (1, v.encode() if isinstance(v, str) else v)
+
+    plain = sorted(rows, key=lambda r: (first_missing(r[0]), first_missing(r[1])))
+    order = RowOrder(df, ["x", "t"])
+    for take in (quantiles_module.TAKE_ROWS, 0):
+        monkeypatch.setattr(quantiles_module, "TAKE_ROWS", take)
+        for k in range(0, len(rows), 9 if take else 21):
+            key = order.kth(k)
+            same = [r for r in plain if (first_missing(r[0]), first_missing(r[1])) < (first_missing(plain[k][0]), first_missing(plain[k][1]))]
+            assert df.where(~order.at_or_after(key)).count() == len(same), (k, key)
+        assert order.kth(len(rows)) is None
+    assert RowOrder(df.where("t = 'none'"), ["x", "t"]).kth(0) is None
+    with pytest.raises(TypeError):
+        RowOrder(spark.createDataFrame([([1],)], "a array<int>"), ["a"])

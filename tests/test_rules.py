@@ -330,3 +330,11 @@ def test_sharing_pairs_are_the_pairs_with_common_rows(spark):
     assert sorted(map(tuple, ruleset.redundant_rules(pairs).collect())) == sorted(map(tuple, ruleset.redundant_rules(ruleset.rule_pairs(df, rules)).collect()))
     none, zero = ruleset.sharing_pairs(df.where("a > 99"), rules)
     assert none.collect() == [] and ruleset.sharing_report(none, zero).first()["avg_overlap"] == 0
+
+
+def test_score_variables_are_matched_as_whole_names(spark):
+    rows = [("(page <= 3)", "page"), ("(age <= 3)", "age"), ("(age > 3)", "age"), ("(x > 1) & (age <= 2)", "x & age"), ("(a.b <= 1)", "a.b")]
+    df = spark.createDataFrame(rows, "rule string, used_var string")
+    none = spark.createDataFrame([], "var string, cutoff string")
+    kept = [r["rule"] for r in evaluate.filter_multi_rules(df, none, ["age"]).collect()]
+    assert kept == ["(page <= 3)", "(age > 3)", "(a.b <= 1)"]

@@ -361,6 +361,41 @@ def test_unfinished_deletions(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(root)).collect()) == [0, 1, 3, 4]
 
 
+def test_rule_file_that_no_encoding_reads(spark, tmp_path):
+    from scorewright.sources import tables
+
+    (tmp_path / "bad.csv").write_bytes(b"rule\n\x81\xff\xfe\xff\n")
+    with pytest.raises(ValueError):
+        tables.read_rule_file(spark, str(tmp_path / "bad.csv"))
+
+
+def test_medians_of_bins_are_exact_at_every_size(spark):
+    from scorewright.operators import binning
+
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(50, 20, 3001), 1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    edges = [0, 20, 50, 50.5, 100, 200]
+    for rows in (10, 10**6):
+        got = {r["bin"]: r["median"] for r in binning.bin_statistics(df, "x", edges, buffer_rows=rows).collect()}
+        for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            inside = x[(x >= lo) & (x < hi)]
+            assert (got.get(b) is None) if not len(inside) else got[b] == pytest.approx(np.median(inside))
+
+
+def test_sensitive_values_of_many_columns(spark):
+    from pyspark.sql import functions as F
+
+    from scorewright.operators import sensitive
+
+    digits = "\u0661\u0663\u0668\u0660\u0660\u0661\u0663\u0668\u0660\u0660\u0660"
+    df = spark.range(4).select(*[F.lit("13800138000" if i == 19 else "x").alias(f"c{i}") for i in range(20)], F.lit(f"1{digits[1]}{digits[2:]}").alias("arabic"))
+    hits = {(r["column"], r["rule"]): r["n_hits"] for r in sensitive.value_hits(df, df.columns).collect()}
+    assert len({c for c, _ in hits}) == 21 and hits["c19", "mobile"] == 4 and hits["c0", "mobile"] == 0
+    assert hits["arabic", "landline"] == 4  # digits of any script
+    assert sensitive.value_hits(df, []).collect() == []
+
+
 def test_zero_has_one_sign(spark):
     from scorewright.operators import profile
 
