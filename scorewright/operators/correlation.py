@@ -24,19 +24,15 @@ INT64_ROWS = 3_000_000_000
 STRIP_ROWS, MIN_STRIPS, MAX_STRIPS = 100_000, 16, 1000
 
 
-def _moments(df: DataFrame, cols: Sequence[str], listwise: bool, centre: bool) -> DataFrame:
+def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(i, j, n, si, sj, sii, sjj, sij) for i <= j over rows where both are present.
 
     Every Arrow batch adds small matrix products, so a task ships cols² rows.
     """
     k = len(cols)
     x = df.select(*[clean_double(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    if listwise:
-        x = x.dropna()
-    shift = np.zeros(k)
-    if centre:
-        means = x.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
-        shift = np.array([m if m is not None else 0.0 for m in means])
+    means = x.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
+    shift = np.array([m if m is not None else 0.0 for m in means])
 
     def partials(batches):
         n = np.zeros((k, k))
@@ -67,7 +63,7 @@ def _names(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    m = _moments(df, cols, listwise=False, centre=True).where("i < j")
+    m = _moments(df, cols).where("i < j")
     n = F.col("n")
     cov = n * F.col("sij") - F.col("si") * F.col("sj")
     var = (n * F.col("sii") - F.col("si") ** 2) * (n * F.col("sjj") - F.col("sj") ** 2)
