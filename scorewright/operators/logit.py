@@ -66,8 +66,9 @@ def design_table(df: DataFrame, features: Sequence[str], target: str, weight: Co
         return rows.withColumn("n", F.lit(1))
     cells = rows.groupBy(*features).agg(F.sum(F.col("w") * F.col("y")).alias("__bad"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
     cells = cells.where("w > 0").select(*features, F.least(F.col("__bad") / F.col("w"), F.lit(1.0)).alias("y"), "w", "n")
-    # a small table in few partitions: the scans below are many and short
-    return cells.coalesce(1 + est // ROWS_PER_TASK)
+    # a small table in few partitions: the scans below are many and short. Dealt out anew, since coalesce would have one
+    # task aggregate all partitions of the shuffle, each with a table of its own
+    return cells.repartition(1 + est // ROWS_PER_TASK, *[F.col(f"`{f}`") for f in features])
 
 
 @dataclass

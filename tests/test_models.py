@@ -414,3 +414,12 @@ def test_node_statistics(planted):
 def test_threshold_rules_binary(spark):
     r = threshold_rules(spark, {"flag": [1.0], "x": [2.0, 2.5]}, ["flag"]).collect()
     assert [x["rule"] for x in r] == ["(flag == 1)", "(x <= 2)", "(x > 2)", "(x <= 2.5)", "(x > 2.5)"]
+
+
+def test_no_task_aggregates_all_partitions_of_the_design(spark):
+    """The grouped design ends in few partitions by a shuffle; coalesce would hand every partition's table to one task."""
+    df = spark.range(2000).select((F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    design = logit.design_table(df, ["a", "b"], "y")
+    assert "Coalesce" not in design._jdf.queryExecution().sparkPlan().toString()
+    assert design.rdd.getNumPartitions() == 1
+    assert {r["n"] for r in design.collect()} <= {57, 58} and design.agg(F.sum("n"), F.count("*")).first() == (2000, 35)
