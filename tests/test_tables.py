@@ -401,3 +401,21 @@ def test_zero_has_one_sign(spark):
 
     df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,)], "x double")
     assert profile.distinct_and_mode(df, ["x"]).first()[1:] == (2, 2, 3)
+
+
+def test_co_membership_does_not_shuffle_finished_counts(spark):
+    """Every pair of blocks is added up in one task; the result, quadratic in the groups, is not shuffled."""
+    rows = [(f"e{k}", g) for k in range(3) for g in range(0, 400, k + 1)] + [("small", 1), ("small", 900)]
+    got = adhoc.co_membership(spark.createDataFrame(rows, "e string, g int"), "e", "g", block=20)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Aggregate" not in above and "Exchange" not in above
+    n = {(r["g1"], r["g2"]): r["n"] for r in got.collect()}
+    sets = [{g for e, g in rows if e == name} for name in ("e0", "e1", "e2", "small")]
+    want = {}
+    for s in sets:
+        for a in s:
+            for b in s:
+                if a <= b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert n == want
