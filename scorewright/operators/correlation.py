@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.functions.numeric import distinct_estimate
 from scorewright.operators.binning import small_domains
 from scorewright.operators.histogram import binned_long, clean_double
 from scorewright.operators.ordering import with_ranks
@@ -22,16 +23,31 @@ KENDALL_CELLS = 200
 INT64_ROWS = 3_000_000_000
 #: Points of a strip, and the fewest and most strips of a column; beyond MAX_STRIPS * STRIP_ROWS points strips grow.
 STRIP_ROWS, MIN_STRIPS, MAX_STRIPS = 100_000, 16, 1000
+#: Distinct rows up to which rows are counted first, how many of them a task takes, and the column of their numbers.
+DISTINCT_ROWS, ROWS_PER_TASK, ROWS = 1_000_000, 50_000, "__rows"
 
 
-def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(i, j, n, si, sj, sii, sjj, sij) for i <= j over rows where both are present.
+def distinct_rows(df: DataFrame, cols: Sequence[str], count: str = ROWS) -> DataFrame:
+    """(cols..., count): one row per distinct row of the columns where these are few (as binned columns have), else all rows.
+    Moments, factors and fits that count a row ``count`` times need no other scan."""
+    rows = df.select(*[F.col(f"`{c}`") for c in cols])
+    est = rows.agg(distinct_estimate(F.lit(0), *[F.col(f"`{c}`") for c in cols]).alias("d")).first()["d"]
+    if est > DISTINCT_ROWS:
+        return rows.withColumn(count, F.lit(1).cast("long"))
+    keys = [F.col(f"`{c}`") for c in cols]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)).repartition(1 + est // ROWS_PER_TASK, *keys)
+
+
+def _moments(df: DataFrame, cols: Sequence[str], count: str | None = None) -> DataFrame:
+    """(i, j, n, si, sj, sii, sjj, sij) for i <= j over rows where both are present, each ``count`` times.
 
     Every Arrow batch adds small matrix products, so a task ships cols² rows.
     """
     k = len(cols)
-    x = df.select(*[clean_double(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    means = x.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
+    times = F.lit(1.0) if count is None else F.col(count).cast("double")
+    x = df.select(*[clean_double(c).alias(f"c{i}") for i, c in enumerate(cols)], times.alias("times"))
+    total = [(F.sum(F.col(f"c{i}") * F.col("times")), F.sum(F.when(F.col(f"c{i}").isNotNull(), F.col("times")))) for i in range(k)]
+    means = x.agg(*[F.try_divide(a, b).alias(f"c{i}") for i, (a, b) in enumerate(total)]).first()
     shift = np.array([m if m is not None else 0.0 for m in means])
 
     def partials(batches):
@@ -39,13 +55,14 @@ def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         s, q, p = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
         for pdf in batches:
             a = pdf.to_numpy(dtype=float)
+            a, t = a[:, :k], a[:, k:]
             there = ~np.isnan(a)
             m = there.astype(float)
             v = np.where(there, a - shift, 0.0)
-            n += m.T @ m
-            s += v.T @ m
-            q += (v * v).T @ m
-            p += v.T @ v
+            n += (m * t).T @ m
+            s += (v * t).T @ m
+            q += (v * v * t).T @ m
+            p += (v * t).T @ v
         i, j = np.triu_indices(k)
         yield pd.DataFrame({
             "i": i.astype(np.int32), "j": j.astype(np.int32), "n": n[i, j], "si": s[i, j], "sj": s[j, i],
@@ -62,8 +79,8 @@ def _names(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(list(enumerate(cols)), f"{ix} int, feature{prefix} string"))
 
 
-def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    m = _moments(df, cols).where("i < j")
+def pearson(df: DataFrame, cols: Sequence[str], count: str | None = None) -> DataFrame:
+    m = _moments(df, cols, count).where("i < j")
     n = F.col("n")
     cov = n * F.col("sij") - F.col("si") * F.col("sj")
     var = (n * F.col("sii") - F.col("si") ** 2) * (n * F.col("sjj") - F.col("sj") ** 2)
@@ -250,21 +267,25 @@ def _stacked(factors: Sequence[np.ndarray], k: int) -> np.ndarray:
     return np.vstack([r, np.zeros((k - len(r), k))])
 
 
-def triangular_factor(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """R of the QR decomposition of the complete rows (rows with a missing or infinite value are left out).
+def triangular_factor(df: DataFrame, cols: Sequence[str], count: str | None = None) -> np.ndarray:
+    """R of the QR decomposition of the complete rows (rows with a missing or infinite value are left out), each taken
+    ``count`` times.
 
     Each task reduces its Arrow batches to one k x k factor; factors meet in groups of ``FACTORS_AT_ONCE`` until as many
     are left. Unlike a cross-product matrix, R keeps the condition of the data itself. Zeros without complete rows.
     """
     k = len(cols)
     finite = [F.when(F.abs(clean_double(c)) < math.inf, clean_double(c)) for c in cols]
-    rows = df.select(*[x.alias(f"c{i}") for i, x in enumerate(finite)]).dropna()
+    rows = df.select(*[x.alias(f"c{i}") for i, x in enumerate(finite)], *([] if count is None else [F.col(count).alias("times")])).dropna()
 
     def reduced(batches):
         r = np.zeros((0, k))
         for pdf in batches:
             if len(pdf):
-                r = np.linalg.qr(np.vstack([r, pdf.to_numpy(float)]), mode="r")
+                a = pdf.to_numpy(float)
+                if count is not None:
+                    a = a[:, :k] * np.sqrt(a[:, k:])
+                r = np.linalg.qr(np.vstack([r, a]), mode="r")
         if len(r):
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [_stacked([r], k).ravel()]})
 
@@ -298,16 +319,16 @@ def vif_values(r: np.ndarray) -> list[float]:
     return [float(v) for v in out]
 
 
-def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    rows = list(zip(cols, vif_values(triangular_factor(df, cols))))
+def vif(df: DataFrame, cols: Sequence[str], count: str | None = None) -> DataFrame:
+    rows = list(zip(cols, vif_values(triangular_factor(df, cols, count))))
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")
 
 
 def vif_elimination(
-    df: DataFrame, cols: Sequence[str], threshold: float = 5.0, max_rounds: int = 10
+    df: DataFrame, cols: Sequence[str], threshold: float = 5.0, max_rounds: int = 10, count: str | None = None
 ) -> tuple[list[str], list[tuple[int, str, float]]]:
     """Drop the largest VIF while above the threshold; every round reads columns of the one triangular factor."""
-    r = triangular_factor(df, cols)
+    r = triangular_factor(df, cols, count)
     left = list(range(len(cols)))
     log = []
     for rnd in range(1, max_rounds + 1):

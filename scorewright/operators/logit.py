@@ -364,12 +364,12 @@ def significance(df: DataFrame, features: Sequence[str], target: str, level: flo
     return coefs.where("feature <> 'const'").withColumn("significant", F.col("p_value") <= level), info
 
 
-def coefficient_signs(df: DataFrame, features: Sequence[str], target: str, mode: str = "warn") -> tuple[list[str], DataFrame]:
+def coefficient_signs(df: DataFrame, features: Sequence[str], target: str, mode: str = "warn", weight: str | None = None) -> tuple[list[str], DataFrame]:
     """Signs in a ridge fit with penalty |b|²/2 on the summed loss; WOE features should have b >= 0."""
     schema = "feature string, coef double, valid_direction boolean"
     if mode == "ignore":
         return list(features), df.sparkSession.createDataFrame([], schema)
-    design = design_table(df, features, target).cache()
+    design = design_table(df, features, target, F.col(weight) if weight else None).cache()
     try:
         coef = fit_many(design, [features], ridge=1.0)[0].coef
     finally:

@@ -423,3 +423,19 @@ def test_no_task_aggregates_all_partitions_of_the_design(spark):
     assert "Coalesce" not in design._jdf.queryExecution().sparkPlan().toString()
     assert design.rdd.getNumPartitions() == 1
     assert {r["n"] for r in design.collect()} <= {57, 58} and design.agg(F.sum("n"), F.count("*")).first() == (2000, 35)
+
+
+def test_counted_distinct_rows_stand_for_all_rows(spark):
+    """Correlation, VIF and signs of binned columns need one grouped scan; missing values keep their rows."""
+    df = spark.range(3000).select(
+        (F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 11 > 0, F.col("id") % 5 + F.col("id") % 7).cast("double").alias("b"),
+        (F.col("id") % 3 + F.col("id") % 2).cast("double").alias("c"), ((F.col("id") * 13) % 17 < F.col("id") % 7 + 3).cast("int").alias("y"),
+    )
+    cols, n = ["a", "b", "c"], correlation.ROWS
+    few = correlation.distinct_rows(df, [*cols, "y"]).cache()
+    assert few.count() < 600 and few.agg(F.sum(n)).first()[0] == 3000
+    pairs = {(r["feature1"], r["feature2"]): r["corr"] for r in correlation.correlation(df, cols).collect()}
+    assert pairs == pytest.approx({(r["feature1"], r["feature2"]): r["corr"] for r in correlation.correlation(few, cols, count=n).collect()})
+    assert [r["vif"] for r in correlation.vif(few, cols, n).collect()] == pytest.approx([r["vif"] for r in correlation.vif(df, cols).collect()])
+    want = {r["feature"]: r["coef"] for r in logit.coefficient_signs(df, cols, "y")[1].collect()}
+    assert {r["feature"]: r["coef"] for r in logit.coefficient_signs(few, cols, "y", weight=n)[1].collect()} == pytest.approx(want)
