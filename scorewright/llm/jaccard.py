@@ -1,42 +1,47 @@
-"""Near-duplicate texts by a Jaccard join on word shingles with prefix filters under several token orders.
+"""Near-duplicate texts by a Jaccard join on word shingles, with whole parts of the sets as signatures.
 
-Two sets with similarity t share one of the first n - ceil(t * n) + 1 tokens of each, whatever the order of tokens, and
-k of the first n - ceil(t * n) + k.
-Every order here puts tokens of crowded sketch cells last (cells are counted over the whole corpus) and breaks ties by
-its own hash, so its prefixes hold rare tokens and differ from the other orders' prefixes. A candidate shares prefix
-tokens under all of the orders; only those are verified on whole sets.
+If a set's tokens are dealt into parts by their hash, every token that two sets do not share changes one part. Similar sets
+differ in few tokens, so with one part more than these one at least is the same in both. Parts hold several tokens, so
+other sets seldom have one in common, however large the corpus; those that do are compared whole.
 
-Equal sets are one node. Lists of nodes under one token are not expanded into pairs at once: nodes are first
-linked through a few representatives, and pairs are formed only where a list still holds different components.
+Equal sets are one node. Lists of nodes under one part are not expanded into pairs at once: nodes are first
+linked through a few representatives, and pairs are formed only where a list still holds different components. Long lists
+are then compared block by block of sets, so that only links become rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import dropped, small_batches, small_side, staged, text_key, worker_tables
+from scorewright.llm.common import dropped, small_side, staged, text_key, worker_tables
 from scorewright.llm.components import components
 
 SIMILARITY = (9, 10)
 SHINGLE_WORDS = 3
-#: Orders that share the counts and differ in hashes: the first one finds candidates, the others filter them.
-ORDERS = 3
-#: Tokens that two sets must share in their prefixes under the first order; the prefixes grow by as many, less one.
-SHARED = 4
-#: Cells of the count sketch, as a power of 2: its size is fixed, and so is what goes to driver and tasks.
+#: Ratio of the largest sizes of neighbouring schemes of parts.
+SIZE_STEP = 1.4
+#: Cells of the ranks that an order of tokens puts first to last, as a power of 2.
 SKETCH_BITS = 18
-#: Representatives a list links through in each round.
-REPRESENTATIVES = 16
+#: Representatives a list links through in each round after the first, which has one.
+REPRESENTATIVES = 4
 #: Pairs may be formed once they are at most so many times the entries of the lists.
 PAIRS_PER_ENTRY = 16
 MAX_ROUNDS = 6
+#: Lists of more nodes are compared in blocks of sets, not as pairs.
+LONG_LIST = 32
+#: Sets and tokens of a block, about.
+BLOCK_SETS = 2048
+BLOCK_TOKENS = 1 << 18
 
+_LARGEST = 2**40
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes.maketrans(_UPPER, bytes(range(0x61, 0x7B)))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -70,33 +75,6 @@ def prefix_length(n: int, similarity: tuple[int, int], shared: int = 1) -> int:
     return n - overlap + min(shared, overlap)
 
 
-def _sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Sets per sketch cell, counted over all documents; each task adds up its own first."""
-    cells = 1 << SKETCH_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_tables("jaccard")
-        n = np.zeros(cells, np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                for text in batch.column(0).slice(i, 500).to_pylist():
-                    np.add.at(n, (shingles(text, words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["cell", "n"])
-
-    with small_batches(docs.sparkSession):
-        table = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(cells, np.int64)
-    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    return out
-
-
-def _ranks(sketch: np.ndarray) -> np.ndarray:
-    """Class of a cell: whole powers of sqrt(2) by which its count exceeds the mean; rarer cells are one class."""
-    mean = max(1.0, float(sketch.mean()))
-    return np.maximum(0, np.floor(2 * np.log2(np.maximum(sketch, 1) / mean))).astype(np.uint8)
-
-
 def _prefix(s: np.ndarray, ranks: np.ndarray, order: int, similarity: tuple[int, int], shared: int = 1) -> np.ndarray:
     """The tokens of ``s`` that come first under the order, as signed numbers."""
     k = prefix_length(len(s), similarity, shared) if len(s) else 0
@@ -106,10 +84,68 @@ def _prefix(s: np.ndarray, ranks: np.ndarray, order: int, similarity: tuple[int,
     return s.view(np.int64)
 
 
-def _described(docs: DataFrame, ranks: np.ndarray, words: int, similarity: tuple[int, int], orders: int) -> DataFrame:
-    """(doc_id, key, n, node, p0, p1, ...): set size, a 128-bit name of the set, and its prefix under each order."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    prefixes = [f"p{o}" for o in range(orders)]
+@cache
+def _schemes(similarity: tuple[int, int]) -> list[tuple[int, int, int, int]]:
+    """(largest size, parts, kept back, least tokens) of every scheme; the first has no parts: there only equal sets are similar.
+
+    A pair uses the scheme of its larger set. Of parts = most differences + kept back, at least ``kept back`` are equal in
+    both sets. Parts of fewer than ``least tokens`` say little; about as many as are expected are kept back for them.
+    """
+    num, den = similarity
+    if num >= den:
+        return [(_LARGEST, 0, 0, 0)]
+    top = -(-(den + num) // (2 * (den - num))) - 1
+    out = [(top, 0, 0, 0)]
+    while top < _LARGEST:
+        smallest, top = max(1, (top + 1) * num // den), int(top * SIZE_STEP) + 1
+        most = 2 * top * (den - num) // (den + num)
+        least = 2 if smallest >= 5 * (most + 1) else 1
+        back = 1
+        for _ in range(50):
+            mean = smallest / (most + back)
+            small = (most + back) * exp(-mean) * (1 + mean * (least > 1))
+            back = max(back, 1 + ceil(small + 2 * sqrt(small)))
+            if back > most + 1:
+                back = most + 1
+                break
+        out.append((top, most + back, back, least))
+    return out
+
+
+def signatures(s: np.ndarray, similarity: tuple[int, int]) -> tuple[int, list[np.ndarray]]:
+    """The first scheme of a set, and hashes of its parts by scheme; two different sets of this similarity have one hash in common at least.
+
+    A scheme deals all tokens into parts by their hash. A set takes the scheme of its own size, and the next ones if a
+    similar set may be of their sizes. Small parts are left out if there are fewer of them than equal parts of similar sets.
+    Of the least number of hashes that one of two similar sets has, at most as many as they differ in tokens are missing
+    in the other: an equal part is small in both.
+    """
+    schemes, n, first, out = _schemes(similarity), len(s), 0, []
+    reach = n * similarity[1] // similarity[0]
+    for i, (top, parts, back, least) in enumerate(schemes):
+        if not parts or top < n:
+            continue
+        if schemes[i - 1][0] >= max(n, reach):
+            break
+        at = (mixed(s, 200 + i) % np.uint64(parts)).astype(np.int64)
+        sizes = np.bincount(at, minlength=parts)
+        sums = np.zeros(parts, np.uint64)
+        filled = np.flatnonzero(sizes)
+        sums[filled] = np.add.reduceat(mixed(s, 300)[np.argsort(at)], (np.cumsum(sizes) - sizes)[filled])
+        names = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64), 1000 + i), 301)
+        small = sizes < least
+        first = first or i
+        out.append((names[~small] if small.sum() < back else names).view(np.int64))
+    return first, out
+
+
+def _name(s: np.ndarray) -> int:
+    """64-bit name of a set, signed."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+
+
+def _described(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, key, n, node, scheme, parts): set size, a 64-bit name of the set, and its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_tables("jaccard")
@@ -117,63 +153,160 @@ def _described(docs: DataFrame, ranks: np.ndarray, words: int, similarity: tuple
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 sets = [shingles(t, words) for t in part.column("text").to_pylist()]
+                signed = [signatures(s, similarity) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        *[pa.array([_prefix(s, shared.value, o, similarity, 1 if o else SHARED) for s in sets], pa.list_(pa.int64())) for o in range(orders)],
+                        part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()),
+                        pa.array([first for first, _ in signed], pa.int32()), pa.array([parts for _, parts in signed], pa.list_(pa.list_(pa.int64()))),
                     ],
-                    ["doc_id", "key", "n", "node", *prefixes],
+                    ["doc_id", "key", "n", "node", "scheme", "parts"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    return rows.mapInArrow(run, ", ".join(["doc_id long, key long, n long, node binary", *[f"{p} array<long>" for p in prefixes]]))
+    return rows.mapInArrow(run, "doc_id long, key long, n long, node long, scheme int, parts array<array<long>>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, tokens) of the wanted (key, id, node), from the texts."""
+    """(node, tokens) of the wanted (key, id), from the texts, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_tables("jaccard")
+        seen: set[tuple[int, int | None]] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                sets = [shingles(t, words) for t in batch.column("text").slice(i, 500).to_pylist()]
-                names = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "tokens"])
+                part = batch.slice(i, 500)
+                sets = []
+                for at, *row in zip(range(part.num_rows), part.column("key").to_pylist(), part.column("id").to_pylist(), strict=True):
+                    if tuple(row) not in seen:
+                        seen.add(tuple(row))
+                        sets.append(shingles(part.column("text")[at].as_py(), words))
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", text_key(F.col("text")).alias("key"))
-    chosen = small_side(wanted.select(F.col("key").alias("key_"), F.col("id").alias("id_")))
-    # one document of each set, so copies of a text are never shuffled; only rows equal in id and text remain to be merged
-    rows = rows.join(chosen, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")), "left_semi").dropDuplicates(["key", "id"])
-    return rows.select("text").mapInArrow(run, "node binary, tokens array<long>")
-
-
-def _long_enough(a: Column, b: Column, similarity: tuple[int, int]) -> Column:
-    return F.least(a, b) * similarity[1] >= F.greatest(a, b) * similarity[0]
+    n = wanted.count()
+    chosen = small_side(wanted.select(F.col("key").alias("key_"), F.col("id").alias("id_")), n)
+    # one document of each set, so copies of a text are never shuffled
+    rows = rows.join(chosen, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")), "left_semi")
+    sets = staged(rows.select("text", "key", "id").mapInArrow(run, "node long, tokens array<long>"), "jaccard", texts=True)
+    if sets.count() == n:
+        return sets
+    # rows equal in id and text that different tasks have read
+    once = staged(sets.dropDuplicates(["node"]), "jaccard")
+    dropped(sets)
+    return once
+
+
+def _both(pairs: DataFrame, rows: DataFrame, columns: list[str], n_pairs: int) -> DataFrame:
+    """Pairs (a, b) with the columns of both nodes. Rows travel to their pairs once: those of ``a``, and of ``b``, which has many ``a``."""
+    side = lambda x: rows.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    heads = side("b").join(small_side(pairs.select("b"), n_pairs), "b", "left_semi")
+    return side("a").join(small_side(pairs.select("a", "b"), n_pairs), "a").join(heads, "b")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: tuple[int, int], n_pairs: int) -> DataFrame:
+    """Pairs whose sizes and equal parts allow the similarity, with both texts' key and id."""
+    num, den = similarity
+    both = _both(pairs, nodes, ["n", "scheme", "parts", "key", "id"], n_pairs).where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
+    # in the scheme of the larger set; both have it
+    of = lambda x: F.get(f"{x}_parts", F.greatest("a_scheme", "b_scheme") - F.col(f"{x}_scheme"))
+    differ = F.floor((F.col("a_n") + F.col("b_n")) * (den - num) / (den + num))
+    equal = F.size(F.array_intersect(of("a"), of("b")))
+    return both.where(equal + differ >= F.least(F.size(of("a")), F.size(of("b")))).select("a", "b", "a_key", "a_id", "b_key", "b_id")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], n_pairs: int) -> DataFrame:
+    """Pairs whose whole sets are similar."""
+    both = _both(pairs, sets, ["tokens"], n_pairs)
+    inter = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    union = F.size("a_tokens") + F.size("b_tokens") - inter
+    return both.where(inter * similarity[1] >= union * similarity[0]).select("a", "b")
 
 
-def _filtered(pairs: DataFrame, nodes: DataFrame, orders: int) -> DataFrame:
-    """Pairs (a, b) that share prefix tokens under every further order."""
-    others = [f"p{o}" for o in range(1, orders)]
-    if not others:
-        return pairs
-    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(p).alias(f"{x}_{p}") for p in others])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    for p in others:
-        both = both.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
-    return both.select("a", "b")
+def _common(rows: list[np.ndarray], tokens: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """Numbers of common tokens of every left and right set, from the (row, token) of either side."""
+    out = np.zeros(shape, np.int64)
+    n = 1 + max((int(t.max()) for t in tokens if len(t)), default=-1)
+    of = [np.bincount(t, minlength=n) for t in tokens]
+    product = of[0] * of[1]
+    # tokens of few pairs are counted pair by pair, the others by matrix products
+    few = (product > 0) & (product <= 256)
+    order = np.argsort(tokens[1], kind="stable")
+    start = np.cumsum(of[1]) - of[1]
+    at = few[tokens[0]]
+    left, t = rows[0][at], tokens[0][at]
+    times = of[1][t]
+    within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    right = rows[1][order[np.repeat(start[t], times) + within]]
+    out += np.bincount(np.repeat(left, times) * shape[1] + right, minlength=shape[0] * shape[1]).reshape(shape)
+    many = np.flatnonzero(product > 256)
+    column = np.full(n, -1)
+    for i in range(0, len(many), 2048):
+        column[:] = -1
+        column[many[i : i + 2048]] = np.arange(len(many[i : i + 2048]))
+        sides = []
+        for r, t, size in zip(rows, tokens, shape, strict=True):
+            side = np.zeros((size, len(many[i : i + 2048])), np.float32)
+            at = column[t] >= 0
+            side[r[at], column[t[at]]] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_t"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    inter = F.size(F.array_intersect("a_t", "b_t"))
-    union = F.size("a_t") + F.size("b_t") - inter
-    return both.where(inter * similarity[1] >= union * similarity[0]).select("a", "b")
+def _spanning(edges: np.ndarray) -> list[int]:
+    """Places of edges that connect all that the edges connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(edges.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            root[a] = b
+            kept.append(i)
+    return kept
+
+
+def _in_blocks(lists: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links between different components in each list (part, node, component, main): blocks of the sets outside the list's
+    largest component meet blocks of all its sets, each two in one group; links that close a circle there are left out."""
+    sized = lists.join(small_side(sets.select("node", F.size("tokens").alias("n"))), "node")
+    blocks = lambda which: F.greatest(
+        F.ceil(F.sum(F.when(which, F.col("n"))) / BLOCK_TOKENS), F.ceil(F.count(F.when(which, F.lit(1))) / BLOCK_SETS)
+    ).cast("int")
+    outside = F.col("component") != F.col("main")
+    rows = lists.join(sized.groupBy("part").agg(blocks(outside).alias("few"), blocks(F.lit(True)).alias("all")), "part")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where(outside).select("part", block("few").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "node", "component")
+    right = rows.select("part", every("few").alias("i"), block("all").alias("j"), F.lit(1).alias("side"), "node", "component")
+    met = staged(left.unionByName(right), "jaccard")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sides, names, found = table["side"].to_numpy(), table["node"].to_numpy(), table["component"].to_numpy()
+        arrays = table["tokens"].combine_chunks()
+        n = np.diff(arrays.offsets.to_numpy())
+        token = np.unique(arrays.flatten().to_numpy(), return_inverse=True)[1]
+        place = np.where(sides == 0, np.cumsum(sides == 0), np.cumsum(sides == 1)) - 1
+        row, side = np.repeat(place, n), np.repeat(sides, n)
+        at = [np.flatnonzero(sides == x) for x in (0, 1)]
+        inter = _common([row[side == x] for x in (0, 1)], [token[side == x] for x in (0, 1)], (len(at[0]), len(at[1])))
+        union = n[at[0]][:, None] + n[at[1]][None, :] - inter
+        a, b = np.nonzero((inter * similarity[1] >= union * similarity[0]) & (found[at[0]][:, None] != found[at[1]][None, :]))
+        a, b = at[0][a], at[1][b]
+        kept = _spanning(np.stack([found[a], found[b]], axis=1))
+        return pa.table({"a": pa.array(names[a[kept]], pa.int64()), "b": pa.array(names[b[kept]], pa.int64())})
+
+    return met.join(sets, "node").groupBy("part", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = SHINGLE_WORDS, orders: int = ORDERS,
+    docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = SHINGLE_WORDS,
     representatives: int = REPRESENTATIVES, pairs_per_entry: float = PAIRS_PER_ENTRY,
 ) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, group), one row per row of ``docs`` (doc_id, text).
@@ -184,23 +317,20 @@ def near_duplicates(
     names the component, null for documents without words.
     An empty table gives an empty one. ``similarity`` is a fraction of whole numbers, so the comparison is exact.
     """
-    ranks = _ranks(_sketch(docs, words))
-    described = staged(_described(docs, ranks, words, similarity, orders), "jaccard", texts=True)
-    prefixes = [f"p{o}" for o in range(orders)]
-    nodes = described.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.min(F.struct("key", F.col("doc_id").alias("id"))).alias("at"), *[F.any_value(p).alias(p) for p in prefixes])
-    nodes = staged(nodes.select("node", "n", "at.key", "at.id", *prefixes), "jaccard")
+    described = staged(_described(docs, words, similarity), "jaccard", texts=True)
+    nodes = described.where("n > 0").groupBy("node").agg(F.min(F.struct("key", F.col("doc_id").alias("id"))).alias("at"), *[F.any_value(c).alias(c) for c in ("n", "scheme", "parts")])
+    nodes = staged(nodes.select("node", "at.key", "at.id", "n", "scheme", "parts"), "jaccard")
     named = staged(described.select("doc_id", "key", "n", "node"), "jaccard")
     dropped(described)
-    entries = nodes.select("node", "n", F.explode("p0").alias("token"))
-    # only lists with two nodes or more are kept
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    lists = staged(entries.join(shared, "token"), "jaccard")
-    links = _linked(docs, words, lists, nodes, similarity, orders, representatives, pairs_per_entry)
+    # only lists with two nodes or more are kept, each entry with the list's smallest node
+    of = Window.partitionBy("part")
+    entries = nodes.select("node", F.explode(F.flatten("parts")).alias("part")).select("part", "node", F.min("node").over(of).alias("head"), F.count(F.lit(1)).over(of).alias("m"))
+    lists = staged(entries.where("m > 1"), "jaccard")
+    labels = _labels(docs, words, lists, nodes, similarity, representatives, pairs_per_entry)
     dropped(nodes)
 
-    labels = components(links).select("node", "component") if links is not None else None
     if labels is not None:
-        named = named.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        named = named.join(small_side(labels), "node", "left").withColumn("group", F.coalesce("component", "node"))
     else:
         named = named.withColumn("group", F.col("node"))
     least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
@@ -210,60 +340,68 @@ def near_duplicates(
     )
 
 
-def _linked(
-    docs: DataFrame, words: int, lists: DataFrame, nodes: DataFrame, similarity: tuple[int, int], orders: int, representatives: int, pairs_per_entry: float
+def _labels(
+    docs: DataFrame, words: int, lists: DataFrame, nodes: DataFrame, similarity: tuple[int, int], representatives: int, pairs_per_entry: float
 ) -> DataFrame | None:
-    """Verified links whose components are those of all links."""
-    links: DataFrame | None = None
-    n_entries = lists.count()
+    """(node, component) by verified links, whose components are those of all links; None without candidates."""
+    n_entries, left = lists.agg(F.count(F.lit(1)), F.sum(F.col("m") - 1) / 2).first()
     if n_entries == 0:
         return None
-    current, stored = lists.withColumn("component", F.col("node")), lists
+
+    def joined(pairs: DataFrame, labels: DataFrame | None, long: DataFrame | None = None) -> DataFrame:
+        """Components after the similar ones of the pairs, and of those in the long lists, are linked."""
+        pairs = staged(pairs.distinct(), "jaccard")
+        possible = staged(_possible(pairs, nodes, similarity, pairs.count()), "jaccard")
+        dropped(pairs)
+        ends = possible.select(F.inline(F.array(*[F.struct(F.col(f"{x}_key").alias("key"), F.col(f"{x}_id").alias("id")) for x in "ab"])))
+        if long is not None:
+            members = small_side(staged(long.select("node").distinct(), "jaccard"))
+            ends = ends.unionByName(nodes.join(members, "node", "left_semi").select("key", "id"))
+        sets = _sets(docs, staged(ends.distinct(), "jaccard"), words)
+        found = _verified(possible, sets, similarity, possible.count())
+        if long is not None:
+            found = found.unionByName(_in_blocks(long, sets, similarity))
+        found = staged(found, "jaccard")
+        dropped(possible, sets)
+        if labels is not None:
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return staged(components(found), "jaccard")
+
+    # the same node heads most lists of a group of near copies, so they soon are one component
+    labels = joined(lists.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), None)
+    current = lists.select("part", "node")
     for round_ in range(MAX_ROUNDS + 1):
-        parts = current.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-        open_lists = parts.groupBy("token").agg(
+        current = current.join(small_side(labels), "node", "left").select("part", "node", F.coalesce("component", "node").alias("component"))
+        parts = current.groupBy("part", "component").agg(F.count(F.lit(1)).alias("c"))
+        open_lists = parts.groupBy("part").agg(
             F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("largest"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares")
         ).where("components > 1")
-        open_lists = staged(open_lists.select("token", F.col("largest.component").alias("main"), ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")), "jaccard")
-        left = open_lists.agg(F.sum("pairs")).first()[0] or 0
-        if left == 0:
-            return links
-        current = staged(current.join(open_lists.select("token", "main"), "token"), "jaccard")
-        dropped(stored, open_lists)
-        stored = current
-        last = left <= pairs_per_entry * n_entries or round_ == MAX_ROUNDS
-        if last:
-            pairs = _pairs(current, similarity)
-        else:
-            salt = F.pmod(F.xxhash64(F.lit(round_), "node"), F.lit(representatives))
-            heads = current.groupBy("token", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), "node", "n", "component")).alias("head"))
-            heads = heads.select("token", F.col("head.node").alias("to"), F.col("head.n").alias("to_n"), F.col("head.component").alias("to_component"))
-            pairs = current.join(heads, "token").where((F.col("component") != F.col("to_component")) & _long_enough(F.col("n"), F.col("to_n"), similarity))
-            pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
-        pairs = staged(_filtered(pairs.distinct(), nodes, orders), "jaccard")
-        if last:
-            dropped(current)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = staged(_sets(docs, staged(nodes.select("node", "key", "id").join(ends, "node", "left_semi"), "jaccard"), words), "jaccard", texts=True)
-        found = staged(_verified(pairs, sets, similarity), "jaccard")
-        dropped(pairs, sets)
-        links = found if links is None else links.unionByName(found)
+        open_lists = open_lists.select("part", F.col("largest.component").alias("main"), F.col("all").alias("m"), ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"))
+        open_lists = staged(open_lists, "jaccard")
+        n_open, before, left, n_long = open_lists.agg(F.count(F.lit(1)), F.lit(left), F.sum("pairs"), F.sum((F.col("m") > LONG_LIST).cast("long"))).first()
+        if n_open == 0:
+            return labels
+        current = staged(current.join(small_side(open_lists.select("part", "main", "m"), n_open), "part"), "jaccard")
+        dropped(lists, open_lists)
+        lists = current
+        # lists of sets that resemble each other but are not similar do not shrink by linking
+        last = left <= pairs_per_entry * n_entries or left > before / 2 or round_ == MAX_ROUNDS
         if last:
-            return links
-        labels = staged(components(links), "jaccard").withColumnRenamed("component", "to")
-        current = current.drop("main", "component").join(labels, "node", "left").select("token", "node", "n", F.coalesce("to", "node").alias("component"))
-    return links
-
-
-def _pairs(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs in different components that share as many prefix tokens as they must. In each list at least one of a pair
-    lies outside the list's largest component, so the rows joined are those few against the list."""
-    few = lists.where(F.col("component") != F.col("main")).select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"))
-    once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("x"))
-    met = lists.join(few, "token").where((F.col("component") != F.col("x_c")) & once & _long_enough(F.col("n"), F.col("x_n"), similarity))
-    overlap = F.ceil(F.least("n", "x_n") * similarity[0] / similarity[1])
-    met = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), F.least(F.lit(SHARED), overlap).alias("least"))
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.any_value("least").alias("least")).where("m >= least").select("a", "b")
+            return joined(_pairs(current.where(F.col("m") <= LONG_LIST)), labels, current.where(F.col("m") > LONG_LIST) if n_long else None)
+        salt = F.pmod(F.xxhash64(F.lit(round_), "node"), F.lit(representatives))
+        heads = current.groupBy("part", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), "node", "component")).alias("head"))
+        heads = heads.select("part", F.col("head.node").alias("b"), F.col("head.component").alias("b_component"))
+        labels = joined(current.join(heads, "part").where(F.col("component") != F.col("b_component")).select(F.col("node").alias("a"), "b"), labels)
+        current = current.select("part", "node")
+    return labels
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """Pairs in different components. In each list at least one of a pair lies outside the list's largest component, so
+    the rows joined are those few against the list."""
+    few = lists.where(F.col("component") != F.col("main")).select("part", F.col("node").alias("b"), F.col("component").alias("b_component"))
+    once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("b"))
+    return lists.join(few, "part").where((F.col("component") != F.col("b_component")) & once).select(F.col("node").alias("a"), "b")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

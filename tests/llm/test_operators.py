@@ -181,6 +181,68 @@ def test_prefixes_of_similar_sets_meet_under_every_order():
                 assert len(met) >= min(shared, -(-min(len(a), len(b)) * 9 // 10))
 
 
+@pytest.mark.parametrize("similarity", [(9, 10), (4, 5), (2, 3), (1, 1)])
+def test_similar_sets_have_parts_in_common(similarity):
+    num, den = similarity
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 60), *rng.integers(60, 700, 60)]:
+        for _ in range(5):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            kept = len(a) - int(rng.integers(0, len(a) * (den - num) // den + 1))
+            more = rng.integers(0, 2**63, max(0, kept * den // num - len(a)), dtype=np.uint64)
+            b = np.unique(np.append(rng.permutation(a)[:kept], more))
+            common = len(np.intersect1d(a, b))
+            assert common * den >= (len(a) + len(b) - common) * num
+            if common == len(a) == len(b):
+                continue
+            (i, x), (j, y) = (jaccard.signatures(s, similarity) for s in (a, b))
+            x, y = x[max(i, j) - i], y[max(i, j) - j]
+            least = min(len(x), len(y)) - (len(a) + len(b)) * (den - num) // (den + num)
+            assert len(np.intersect1d(x, y)) >= max(1, least)
+
+
+def near_copies(n, edits, words=200):
+    base, r = passage(words, 9), random.Random(3)
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in r.sample(range(words), edits):
+            w[at] = f"n{r.randrange(30)}"
+        rows.append((i, " ".join(w), "a"))
+    return rows
+
+
+def test_jaccard_forms_no_rows_for_pairs_of_a_large_group(spark, monkeypatch):
+    rows, sizes, staged = near_copies(240, 5), [], jaccard.staged
+
+    def counted(df, *args, **kwargs):
+        out = staged(df, *args, **kwargs)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(table(spark, rows)).collect()}
+    assert got == brute.jaccard([(d, t) for d, t, _ in rows], 3, 9, 10)
+    assert max(sizes) < len(rows) * (len(rows) - 1) / 4
+
+
+def test_jaccard_compares_long_lists_in_blocks(spark, monkeypatch):
+    rows = [*near_copies(60, 2), *[(100 + i, t, s) for i, t, s in near_copies(20, 1, 70)]]
+    monkeypatch.setattr(jaccard, "LONG_LIST", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(table(spark, rows)).collect()}
+    assert got == brute.jaccard([(d, t) for d, t, _ in rows], 3, 9, 10)
+    assert 2 < len({c for _, c in got.values()}) < len(rows)
+
+
+def test_common_tokens_of_blocks():
+    rng = np.random.default_rng(6)
+    sides = [rng.random((n, 90)) < rng.random(90) for n in (40, 25)]
+    at = [np.nonzero(s) for s in sides]
+    got = jaccard._common([r for r, _ in at], [t for _, t in at], (40, 25))
+    assert (got == sides[0].astype(int) @ sides[1].astype(int).T).all()
+
+
 @pytest.mark.parametrize("edges", [[(0, 0)], [(i, i + 1) for i in range(40)] + [(90, 91), (91, 90)], [(7 * i % 31, 7 * (i * i + 3) % 31) for i in range(12)]])
 def test_components(spark, edges):
     df = spark.createDataFrame(edges, "a long, b long")
