@@ -40,6 +40,8 @@ LONG_LIST = 32
 #: Sets and tokens of a block, about.
 BLOCK_SETS = 2048
 BLOCK_TOKENS = 1 << 18
+#: The lowest bits of a part's hash hold its scheme.
+SCHEME_BITS = 7
 
 _LARGEST = 2**40
 _UPPER = bytes(range(0x41, 0x5B))
@@ -118,7 +120,7 @@ def signatures(s: np.ndarray, similarity: tuple[int, int]) -> tuple[int, list[np
     A scheme deals all tokens into parts by their hash. A set takes the scheme of its own size, and the next ones if a
     similar set may be of their sizes. Small parts are left out if there are fewer of them than equal parts of similar sets.
     Of the least number of hashes that one of two similar sets has, at most as many as they differ in tokens are missing
-    in the other: an equal part is small in both.
+    in the other: an equal part is small in both. The lowest bits of a hash are its scheme.
     """
     schemes, n, first, out = _schemes(similarity), len(s), 0, []
     reach = n * similarity[1] // similarity[0]
@@ -133,6 +135,7 @@ def signatures(s: np.ndarray, similarity: tuple[int, int]) -> tuple[int, list[np
         filled = np.flatnonzero(sizes)
         sums[filled] = np.add.reduceat(mixed(s, 300)[np.argsort(at)], (np.cumsum(sizes) - sizes)[filled])
         names = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64), 1000 + i), 301)
+        names = names >> np.uint64(SCHEME_BITS) << np.uint64(SCHEME_BITS) | np.uint64(i)
         small = sizes < least
         first = first or i
         out.append((names[~small] if small.sum() < back else names).view(np.int64))
@@ -144,8 +147,8 @@ def _name(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-def _described(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """(doc_id, key, n, node, scheme, parts): set size, a 64-bit name of the set, and its signatures."""
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key, n, node): set size and a 64-bit name of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_tables("jaccard")
@@ -153,17 +156,39 @@ def _described(docs: DataFrame, words: int, similarity: tuple[int, int]) -> Data
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 sets = [shingles(t, words) for t in part.column("text").to_pylist()]
-                signed = [signatures(s, similarity) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()),
-                        pa.array([first for first, _ in signed], pa.int32()), pa.array([parts for _, parts in signed], pa.list_(pa.list_(pa.int64()))),
-                    ],
-                    ["doc_id", "key", "n", "node", "scheme", "parts"],
+                    [part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64())],
+                    ["doc_id", "key", "n", "node"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, n long, node long, scheme int, parts array<array<long>>")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, node long")
+
+
+def _signed(docs: DataFrame, described: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(node, of, part): the signatures of each node, from its text; ``of`` is how many it has in the part's scheme."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("jaccard")
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                sets = [shingles(t, words) for t in batch.column("text").slice(i, 500).to_pylist()]
+                signed = [(_name(s), parts) for s in sets for parts in signatures(s, similarity)[1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _ in signed], pa.int64()), pa.array([len(x) for _, x in signed], pa.int32()), pa.array([x for _, x in signed], pa.list_(pa.int64()))], ["node", "of", "parts"]
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", text_key(F.col("text")).alias("key"))
+    same = (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_"))
+    named = lambda x: x.select(F.col("key").alias("key_"), F.col("id").alias("id_"))
+    # only copies are looked up and left out; texts that repeat under one id are shuffled to be merged
+    texts = described.where("n > 0").select("key", F.col("doc_id").alias("id")).distinct()
+    skipped = small_side(staged(texts.join(named(nodes.where("rows = 1")), same, "left_anti"), "jaccard"))
+    once = rows.join(named(skipped), same, "left_anti")
+    several = nodes.where("rows > 1")
+    if not several.isEmpty():
+        once = once.unionByName(rows.join(small_side(named(several)), same, "left_semi").dropDuplicates(["key", "id"]))
+    return once.select("text").mapInArrow(run, "node long, of int, parts array<long>").select("node", "of", F.explode("parts").alias("part"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -206,12 +231,14 @@ def _both(pairs: DataFrame, rows: DataFrame, columns: list[str], n_pairs: int) -
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: tuple[int, int], n_pairs: int) -> DataFrame:
     """Pairs whose sizes and equal parts allow the similarity, with both texts' key and id."""
     num, den = similarity
-    both = _both(pairs, nodes, ["n", "scheme", "parts", "key", "id"], n_pairs).where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
-    # in the scheme of the larger set; both have it
-    of = lambda x: F.get(f"{x}_parts", F.greatest("a_scheme", "b_scheme") - F.col(f"{x}_scheme"))
+    both = _both(pairs, nodes, ["n", "scheme", "parts", "of", "key", "id"], n_pairs).where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
+    # in the scheme of the larger set; both have it, but no part there is in any list if they have none in common
+    scheme = F.greatest("a_scheme", "b_scheme")
+    parts = lambda x: F.filter(f"{x}_parts", lambda p: p.bitwiseAND((1 << SCHEME_BITS) - 1) == scheme)
+    of = lambda x: F.get(F.filter(f"{x}_of", lambda s: s["scheme"] == scheme), F.lit(0))["of"]
     differ = F.floor((F.col("a_n") + F.col("b_n")) * (den - num) / (den + num))
-    equal = F.size(F.array_intersect(of("a"), of("b")))
-    return both.where(equal + differ >= F.least(F.size(of("a")), F.size(of("b")))).select("a", "b", "a_key", "a_id", "b_key", "b_id")
+    equal = F.size(F.array_intersect(parts("a"), parts("b")))
+    return both.where((equal > 0) & (equal + differ >= F.least(of("a"), of("b")))).select("a", "b", "a_key", "a_id", "b_key", "b_id")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], n_pairs: int) -> DataFrame:
@@ -317,17 +344,23 @@ def near_duplicates(
     names the component, null for documents without words.
     An empty table gives an empty one. ``similarity`` is a fraction of whole numbers, so the comparison is exact.
     """
-    described = staged(_described(docs, words, similarity), "jaccard", texts=True)
-    nodes = described.where("n > 0").groupBy("node").agg(F.min(F.struct("key", F.col("doc_id").alias("id"))).alias("at"), *[F.any_value(c).alias(c) for c in ("n", "scheme", "parts")])
-    nodes = staged(nodes.select("node", "at.key", "at.id", "n", "scheme", "parts"), "jaccard")
-    named = staged(described.select("doc_id", "key", "n", "node"), "jaccard")
-    dropped(described)
-    # only lists with two nodes or more are kept, each entry with the list's smallest node
+    named = staged(_described(docs, words), "jaccard", texts=True)
+    copies = named.where("n > 0").groupBy("node", "key", F.col("doc_id").alias("id")).agg(F.any_value("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    nodes = staged(copies.groupBy("node").agg(F.min(F.struct("key", "id", "rows")).alias("at"), F.any_value("n").alias("n")).select("node", "at.*", "n"), "jaccard")
+    # signatures go from the texts to their lists without being written in between; only lists with two nodes or more are
+    # kept, each entry with the list's smallest node
     of = Window.partitionBy("part")
-    entries = nodes.select("node", F.explode(F.flatten("parts")).alias("part")).select("part", "node", F.min("node").over(of).alias("head"), F.count(F.lit(1)).over(of).alias("m"))
-    lists = staged(entries.where("m > 1"), "jaccard")
-    labels = _labels(docs, words, lists, nodes, similarity, representatives, pairs_per_entry)
+    entries = _signed(docs, named, nodes, words, similarity).select("part", "node", "of", F.min("node").over(of).alias("head"), F.count(F.lit(1)).over(of).alias("m"))
+    lists = staged(entries.where("m > 1"), "jaccard", texts=True)
+    # parts that are in no list are in no other set, so pairs are judged by those in lists
+    scheme = F.col("part").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int").alias("scheme")
+    listed = lists.groupBy("node").agg(F.collect_list("part").alias("parts"), F.collect_set(F.struct(scheme, "of")).alias("of"))
+    tops = F.array(*[F.lit(top) for top, parts, _, _ in _schemes(similarity) if parts]).cast("array<long>")
+    first = (1 + F.size(F.filter(tops, lambda top: top < F.col("n")))).alias("scheme")
+    members = staged(nodes.join(listed, "node").select("node", "key", "id", "n", first, "parts", "of"), "jaccard")
     dropped(nodes)
+    labels = _labels(docs, words, lists.drop("of"), members, similarity, representatives, pairs_per_entry)
+    dropped(members)
 
     if labels is not None:
         named = named.join(small_side(labels), "node", "left").withColumn("group", F.coalesce("component", "node"))

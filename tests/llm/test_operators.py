@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -235,6 +236,40 @@ def test_jaccard_compares_long_lists_in_blocks(spark, monkeypatch):
     assert 2 < len({c for _, c in got.values()}) < len(rows)
 
 
+def test_jaccard_writes_no_parts_that_one_set_has_alone(spark, monkeypatch):
+    rows = [(i, " ".join(passage(250, i)), "a") for i in range(120)]
+    rows += [(200 + i, f"{t} more words at the end", s) for i, t, s in rows[:9]]
+    parts, written, staged, possible = [], [], jaccard.staged, jaccard._possible
+
+    def counted(df, *args, **kwargs):
+        out = staged(df, *args, **kwargs)
+        written.append(sum(Path(f.removeprefix("file://").removeprefix("file:")).stat().st_size for f in out.inputFiles()))
+        return out
+
+    def judged(pairs, nodes, *args):
+        parts.extend(x for r in nodes.select(F.explode("parts").alias("part")).collect() for x in (r.part if isinstance(r.part, list) else [r.part]))
+        return possible(pairs, nodes, *args)
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    monkeypatch.setattr(jaccard, "_possible", judged)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(table(spark, rows), (4, 5), 5).collect()}
+    assert got == brute.jaccard([(d, t) for d, t, _ in rows], 5, 4, 5)
+    assert all(got[200 + i][1] == i for i in range(9))
+    assert parts and min(Counter(parts).values()) > 1
+    assert max(written) < 8 * 250 * len(rows) / 2
+
+
+@pytest.mark.parametrize("similarity", [(1, 1), (999, 1000), (1, 2)])
+def test_schemes_fit_their_bits(spark, similarity):
+    assert len(jaccard._schemes(similarity)) <= 1 << jaccard.SCHEME_BITS
+    rows = [(i % 4, " ".join(passage(40, i % 3)), "a") for i in range(8)] + [(9, " ".join([*passage(40, 1), "end"]), "a"), (None, "one two", "a"), (None, "one two", "a")]
+    num, den = similarity
+    known = [(d, t) for d, t, _ in rows if d is not None]
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(table(spark, rows), similarity).collect()}
+    want = brute.jaccard([(1000 * d + j, t) for j, (d, t) in enumerate(known)], 3, num, den)
+    assert got == {(k // 1000, n, c // 1000) for k, (n, c) in want.items()} | {(None, 1, None)}
+
+
 def test_common_tokens_of_blocks():
     rng = np.random.default_rng(6)
     sides = [rng.random((n, 90)) < rng.random(90) for n in (40, 25)]
