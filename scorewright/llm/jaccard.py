@@ -6,7 +6,7 @@ other sets seldom have one in common, however large the corpus; those that do ar
 
 Equal sets are one node. Lists of nodes under one part are not expanded into pairs at once: nodes are first
 linked through a few representatives, and pairs are formed only where a list still holds different components. Long lists
-are then compared block by block of sets, so that only links become rows.
+that share nodes are then one, and compared block by block of sets, so that only links become rows.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ PAIRS_PER_ENTRY = 16
 MAX_ROUNDS = 6
 #: Lists of more nodes are compared in blocks of sets, not as pairs.
 LONG_LIST = 32
+#: Sending a set to a group counts as much as comparing so many pairs (an estimate, not measured).
+PAIRS_PER_ROW = 256
 #: Sets and tokens of a block, about.
 BLOCK_SETS = 2048
 BLOCK_TOKENS = 1 << 18
@@ -298,6 +300,31 @@ def _spanning(edges: np.ndarray) -> list[int]:
     return kept
 
 
+def _bundled(lists: DataFrame) -> DataFrame:
+    """The lists (part, node, component, main) with those of one scheme that share nodes made one, in which each node stands once.
+
+    All pairs of the lists are pairs of their bundle. Lists whose bundle costs more than they cost together, in pairs and
+    in rows, stay as they are: long chains of lists, for example.
+    """
+    scheme = F.col("part").bitwiseAND((1 << SCHEME_BITS) - 1).alias("scheme")
+    least = F.min("part").over(Window.partitionBy("node", scheme))
+    linked = small_side(staged(components(lists.select(F.col("part").alias("a"), least.alias("b"))), "jaccard").select(F.col("node").alias("part"), F.col("component").alias("bundle")))
+    bundle = F.coalesce("bundle", "part").alias("bundle")
+    members = lists.groupBy("node", "component", scheme).agg(F.min("part").alias("part")).join(linked, "part", "left")
+    members = staged(members.select(bundle, "node", "component"), "jaccard")
+    cost = lambda few, every: few.cast("double") * every + PAIRS_PER_ROW * (few + every)
+    outside = F.sum((F.col("component") != F.col("main")).cast("long"))
+    alone = staged(lists.groupBy("part").agg(cost(outside, F.count(F.lit(1))).alias("cost")).join(linked, "part", "left").select("part", "cost", bundle), "jaccard")
+    parts = members.groupBy("bundle", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = parts.groupBy("bundle").agg(F.max(F.struct("c", "component")).alias("largest"), F.sum("c").alias("all"))
+    one = largest.join(alone.groupBy("bundle").agg(F.sum("cost").alias("cost")), "bundle")
+    one = one.where(cost(F.col("all") - F.col("largest.c"), F.col("all")) <= F.col("cost"))
+    one = small_side(staged(one.select("bundle", F.col("largest.component").alias("main")), "jaccard"))
+    together = members.join(one, "bundle").select(F.col("bundle").alias("part"), "node", "component", "main")
+    done = small_side(staged(alone.join(one, "bundle", "left_semi").select("part"), "jaccard"))
+    return staged(lists.select(together.columns).join(done, "part", "left_anti").unionByName(together), "jaccard")
+
+
 def _in_blocks(lists: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Links between different components in each list (part, node, component, main): blocks of the sets outside the list's
     largest component meet blocks of all its sets, each two in one group; links that close a circle there are left out."""
@@ -393,7 +420,7 @@ def _labels(
         sets = _sets(docs, staged(ends.distinct(), "jaccard"), words)
         found = _verified(possible, sets, similarity, possible.count())
         if long is not None:
-            found = found.unionByName(_in_blocks(long, sets, similarity))
+            found = found.unionByName(_in_blocks(_bundled(long), sets, similarity))
         found = staged(found, "jaccard")
         dropped(possible, sets)
         if labels is not None:

@@ -236,6 +236,43 @@ def test_jaccard_compares_long_lists_in_blocks(spark, monkeypatch):
     assert 2 < len({c for _, c in got.values()}) < len(rows)
 
 
+def test_jaccard_sends_a_set_once_to_each_block(spark, monkeypatch):
+    rows, met, staged = near_copies(240, 8), [], jaccard.staged
+
+    def counted(df, *args, **kwargs):
+        out = staged(df, *args, **kwargs)
+        if "side" in out.columns:
+            met.extend((r.node, r.part & (1 << jaccard.SCHEME_BITS) - 1, r.i, r.j, r.side) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(table(spark, rows)).collect()}
+    assert got == brute.jaccard([(d, t) for d, t, _ in rows], 3, 9, 10)
+    assert met and max(Counter(met).values()) == 1
+
+
+@pytest.mark.parametrize("chain", [False, True])
+def test_bundled_lists_keep_all_pairs(spark, chain):
+    rng, step = random.Random(4), 1 << jaccard.SCHEME_BITS
+    if chain:
+        lists = {step * p + 3: range(10 * p, 10 * p + 12) for p in range(9)}
+    else:
+        lists = {step * p + scheme: [100 * (p % 2) + n for n in rng.sample(range(15), 9)] for p in range(8) for scheme in (3, 4)}
+    found = {n: n - n % 3 for m in lists.values() for n in m}
+    rows = [(p, n, found[n], max(Counter(found[x] for x in m).items(), key=lambda x: x[::-1])[0]) for p, m in lists.items() for n in m]
+
+    def pairs(rows):
+        of = defaultdict(list)
+        for p, n, c, main in rows:
+            of[p].append((n, c, main))
+        return [(p % step, a, b) for p, m in of.items() for a, c, main in m if c != main for b, d, _ in m if c != d]
+
+    out = [tuple(r) for r in jaccard._bundled(spark.createDataFrame(rows, "part long, node long, component long, main long")).collect()]
+    either = lambda x: {(s, *sorted(ab)) for s, *ab in x}
+    assert either(pairs(rows)) <= either(pairs(out)) and len(out) == len(set(out))
+    assert sorted(out) == sorted(rows) if chain else len({p for p, *_ in out}) == 4 and len(pairs(out)) < len(pairs(rows))
+
+
 def test_jaccard_writes_no_parts_that_one_set_has_alone(spark, monkeypatch):
     rows = [(i, " ".join(passage(250, i)), "a") for i in range(120)]
     rows += [(200 + i, f"{t} more words at the end", s) for i, t, s in rows[:9]]
