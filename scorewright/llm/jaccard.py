@@ -2,10 +2,12 @@
 
 If a set's tokens are dealt into parts by their hash, every token that two sets do not share changes one part. Similar sets
 differ in few tokens, so with one part more than these one at least is the same in both. Parts hold several tokens, so
-other sets seldom have one in common, however large the corpus; those that do are compared whole.
+other sets seldom have one in common, however large the corpus; those that do are compared whole. Signatures, far more than
+documents, are shuffled packed; those that one set has alone never become rows.
 
 Equal sets are one node. Lists of nodes under one part are not expanded into pairs at once: nodes are first
-linked through a few representatives, and pairs are formed only where a list still holds different components. Long lists
+linked through a few representatives, and pairs are formed only where a list still holds different components; a pair's
+rows, one from each list, are its count of equal parts. Long lists
 that share nodes are then one, and compared block by block of sets, so that only links become rows.
 """
 
@@ -18,7 +20,7 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import dropped, small_side, staged, text_key, worker_tables
@@ -44,6 +46,10 @@ BLOCK_SETS = 2048
 BLOCK_TOKENS = 1 << 18
 #: The lowest bits of a part's hash hold its scheme.
 SCHEME_BITS = 7
+#: Signatures that a worker packs at a time, that a row holds, and that a bucket gets, about.
+PACKED, PACKED_ROW, BUCKET = 1 << 19, 1 << 10, 1 << 19
+#: Bits of hashes and names that are sent beyond those that number them; one in 2^SPARE_BITS then meets a stranger.
+SPARE_BITS, MOST_BITS = 10, 44
 
 _LARGEST = 2**40
 _UPPER = bytes(range(0x41, 0x5B))
@@ -124,7 +130,21 @@ def signatures(s: np.ndarray, similarity: tuple[int, int]) -> tuple[int, list[np
     Of the least number of hashes that one of two similar sets has, at most as many as they differ in tokens are missing
     in the other: an equal part is small in both. The lowest bits of a hash are its scheme.
     """
-    schemes, n, first, out = _schemes(similarity), len(s), 0, []
+    first, out = 0, []
+    for i, at, sizes, kept in _dealt(s, similarity):
+        sums = np.zeros(len(sizes), np.uint64)
+        filled = np.flatnonzero(sizes)
+        sums[filled] = np.add.reduceat(mixed(s, 300)[np.argsort(at)], (np.cumsum(sizes) - sizes)[filled])
+        names = mixed(sums ^ mixed(np.arange(len(sizes), dtype=np.uint64), 1000 + i), 301)
+        names = names >> np.uint64(SCHEME_BITS) << np.uint64(SCHEME_BITS) | np.uint64(i)
+        first = first or i
+        out.append(names[kept].view(np.int64))
+    return first, out
+
+
+def _dealt(s: np.ndarray, similarity: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(scheme, part of each token, sizes of the parts, which parts' hashes are kept) for every scheme of a set."""
+    schemes, n = _schemes(similarity), len(s)
     reach = n * similarity[1] // similarity[0]
     for i, (top, parts, back, least) in enumerate(schemes):
         if not parts or top < n:
@@ -133,15 +153,40 @@ def signatures(s: np.ndarray, similarity: tuple[int, int]) -> tuple[int, list[np
             break
         at = (mixed(s, 200 + i) % np.uint64(parts)).astype(np.int64)
         sizes = np.bincount(at, minlength=parts)
-        sums = np.zeros(parts, np.uint64)
-        filled = np.flatnonzero(sizes)
-        sums[filled] = np.add.reduceat(mixed(s, 300)[np.argsort(at)], (np.cumsum(sizes) - sizes)[filled])
-        names = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64), 1000 + i), 301)
-        names = names >> np.uint64(SCHEME_BITS) << np.uint64(SCHEME_BITS) | np.uint64(i)
         small = sizes < least
-        first = first or i
-        out.append((names[~small] if small.sum() < back else names).view(np.int64))
-    return first, out
+        yield i, at, sizes, ~small if small.sum() < back else np.ones(parts, bool)
+
+
+def packed(parts: np.ndarray, names: np.ndarray, buckets: int, bits: int, name_bytes: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, bytes): the first ``bits`` bits and the scheme of the parts' hashes, and the first bytes of the names.
+
+    Equal hashes are of one bucket. Hashes ascend in a row and are sent as differences, byte by byte of all, so that the
+    high bytes, nearly all zero, shrink in the shuffle.
+    """
+    scheme = np.uint64((1 << SCHEME_BITS) - 1)
+    parts = parts >> np.uint64(64 - bits) << np.uint64(SCHEME_BITS) | parts & scheme
+    order = np.argsort(parts)
+    parts, names = parts[order], names[order] >> np.uint64(64 - 8 * name_bytes)
+    of = ((parts >> np.uint64(SCHEME_BITS)) * np.uint64(buckets) >> np.uint64(bits)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    starts = np.concatenate([np.arange(a, z, PACKED_ROW) for a, z in zip(starts, np.r_[starts[1:], len(of)], strict=True)])
+    steps = np.diff(parts, prepend=np.uint64(0))
+    steps[starts] = parts[starts]
+    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:n] for x, n in ((steps, _part_bytes(bits)), (names, name_bytes))]
+    for a, z in zip(starts, np.r_[starts[1:], len(of)], strict=True):
+        yield int(of[a]), b"".join(x[:, a:z].tobytes() for x in planes)
+
+
+def unpacked(row: bytes, bits: int, name_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shortened hashes and names of a row of ``packed``."""
+    planes = np.frombuffer(row, np.uint8).reshape(_part_bytes(bits) + name_bytes, -1)
+    sides = planes[: _part_bytes(bits)], planes[_part_bytes(bits) :]
+    steps, names = (sum(x.astype(np.uint64) << np.uint64(8 * i) for i, x in enumerate(side)) for side in sides)
+    return np.cumsum(steps, dtype=np.uint64), names
+
+
+def _part_bytes(bits: int) -> int:
+    return -(-(bits + SCHEME_BITS) // 8)
 
 
 def _name(s: np.ndarray) -> int:
@@ -149,8 +194,8 @@ def _name(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-def _described(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, n, node): set size and a 64-bit name of the set."""
+def _described(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, key, n, node, of): set size, a 64-bit name of the set, and how many signatures it has in each of its schemes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_tables("jaccard")
@@ -159,26 +204,75 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(i, 500)
                 sets = [shingles(t, words) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64())],
-                    ["doc_id", "key", "n", "node"],
+                    [
+                        part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()),
+                        pa.array([[int(kept.sum()) for *_, kept in _dealt(s, similarity)] for s in sets], pa.list_(pa.int32())),
+                    ],
+                    ["doc_id", "key", "n", "node", "of"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, n long, node long")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, node long, of array<int>")
 
 
 def _signed(docs: DataFrame, described: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """(node, of, part): the signatures of each node, from its text; ``of`` is how many it has in the part's scheme."""
+    """(part, node, n, of): shortened signatures that more than one node has; ``of`` is how many the node has in the part's
+    scheme. Names are shortened too, so few nodes may be among them that do not have the part; none is missing.
+
+    Nearly all signatures are of one node alone. They are shuffled packed, some 8 bytes each, and only the others become rows.
+    """
+    spark = docs.sparkSession
+    n_nodes, n_signatures = nodes.agg(F.count(F.lit(1)), F.sum(F.aggregate("of", F.lit(0).cast("long"), lambda x, y: x + y))).first()
+    bits = min(MOST_BITS, int(n_signatures or 0).bit_length() + SPARE_BITS)
+    name_bytes = min(8, -(-(n_nodes.bit_length() + SPARE_BITS) // 8))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_signatures or 0) // BUCKET))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_tables("jaccard")
+        held: list[tuple[int, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            parts = np.concatenate([x for _, x in held]).view(np.uint64)
+            names = np.repeat(np.array([x for x, _ in held], np.int64).view(np.uint64), [len(x) for _, x in held])
+            held.clear()
+            rows = list(packed(parts, names, buckets, bits, name_bytes)) if len(parts) else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "packed"])
+
+        n = 0
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                sets = [shingles(t, words) for t in batch.column("text").slice(i, 500).to_pylist()]
-                signed = [(_name(s), parts) for s in sets for parts in signatures(s, similarity)[1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in signed], pa.int64()), pa.array([len(x) for _, x in signed], pa.int32()), pa.array([x for _, x in signed], pa.list_(pa.int64()))], ["node", "of", "parts"]
-                )
+                for text in batch.column("text").slice(i, 500).to_pylist():
+                    s = shingles(text, words)
+                    signed = signatures(s, similarity)[1]
+                    held.extend((_name(s), x) for x in signed)
+                    n += sum(len(x) for x in signed)
+                    if n >= PACKED:
+                        yield sent()
+                        n = 0
+        if held:
+            yield sent()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("jaccard")
+        bucket, held = None, []
+
+        def repeated() -> pa.RecordBatch:
+            parts, names = (np.concatenate(x) for x in zip(*[unpacked(x, bits, name_bytes) for x in held], strict=True))
+            held.clear()
+            order = np.argsort(parts)
+            parts, names = parts[order], names[order]
+            same = parts[1:] == parts[:-1]
+            kept = np.r_[False, same] | np.r_[same, False]
+            return pa.RecordBatch.from_arrays([pa.array(parts[kept].view(np.int64)), pa.array(names[kept].view(np.int64))], ["part", "name"])
+
+        for batch in batches:
+            for at, row in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if at != bucket and held:
+                    yield repeated()
+                bucket = at
+                held.append(row)
+        if held:
+            yield repeated()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", text_key(F.col("text")).alias("key"))
     same = (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_"))
@@ -190,7 +284,12 @@ def _signed(docs: DataFrame, described: DataFrame, nodes: DataFrame, words: int,
     several = nodes.where("rows > 1")
     if not several.isEmpty():
         once = once.unionByName(rows.join(small_side(named(several)), same, "left_semi").dropDuplicates(["key", "id"]))
-    return once.select("text").mapInArrow(run, "node long, of int, parts array<long>").select("node", "of", F.explode("parts").alias("part"))
+    dealt = once.select("text").mapInArrow(run, "bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = staged(dealt.mapInArrow(met, "part long, name long"), "jaccard", texts=True)
+    named = nodes.select("node", "n", "scheme", F.col("of").alias("each"), F.shiftrightunsigned("node", 64 - 8 * name_bytes).alias("name"))
+    rows = found.join(named, "name").select("part", "node", "n", F.get("each", _scheme() - F.col("scheme")).cast("long").alias("of"))
+    # a node stands in a part once, also if another one's name begins as its own
+    return rows.repartition("part").dropDuplicates(["part", "node"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -230,6 +329,30 @@ def _both(pairs: DataFrame, rows: DataFrame, columns: list[str], n_pairs: int) -
     return side("a").join(small_side(pairs.select("a", "b"), n_pairs), "a").join(heads, "b")
 
 
+def _scheme() -> Column:
+    """The scheme of a list."""
+    return F.col("part").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int")
+
+
+def _tops(similarity: tuple[int, int]) -> Column:
+    """The largest sizes of all schemes."""
+    return F.array(*[F.lit(top) for top, *_ in _schemes(similarity)]).cast("array<long>")
+
+
+def _fit(n: Column, m: Column, similarity: tuple[int, int]) -> Column:
+    """Sets of these sizes may be similar, and their list is in the scheme of the larger one."""
+    num, den = similarity
+    least, most, tops = F.least(n, m), F.greatest(n, m), _tops(similarity)
+    own = (F.get(tops, _scheme()) >= most) & ((_scheme() == 1) | (F.get(tops, _scheme() - 1) < most))
+    return (least * den >= most * num) & own
+
+
+def _least_equal(n: Column, m: Column, of: Column, of_m: Column, similarity: tuple[int, int]) -> Column:
+    """Parts that similar sets of n and m tokens, of so many signatures in the scheme, have in common at least."""
+    num, den = similarity
+    return F.greatest(F.least(of, of_m) - F.floor((n + m) * (den - num) / (den + num)), F.lit(1).cast("long"))
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: tuple[int, int], n_pairs: int) -> DataFrame:
     """Pairs whose sizes and equal parts allow the similarity, with both texts' key and id."""
     num, den = similarity
@@ -237,10 +360,9 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: tuple[int, int], n
     # in the scheme of the larger set; both have it, but no part there is in any list if they have none in common
     scheme = F.greatest("a_scheme", "b_scheme")
     parts = lambda x: F.filter(f"{x}_parts", lambda p: p.bitwiseAND((1 << SCHEME_BITS) - 1) == scheme)
-    of = lambda x: F.get(F.filter(f"{x}_of", lambda s: s["scheme"] == scheme), F.lit(0))["of"]
-    differ = F.floor((F.col("a_n") + F.col("b_n")) * (den - num) / (den + num))
+    of = lambda x: F.get(F.col(f"{x}_of"), scheme - F.col(f"{x}_scheme"))
     equal = F.size(F.array_intersect(parts("a"), parts("b")))
-    return both.where((equal > 0) & (equal + differ >= F.least(of("a"), of("b")))).select("a", "b", "a_key", "a_id", "b_key", "b_id")
+    return both.where(equal >= _least_equal(F.col("a_n"), F.col("b_n"), of("a"), of("b"), similarity)).select("a", "b", "a_key", "a_id", "b_key", "b_id")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], n_pairs: int) -> DataFrame:
@@ -371,22 +493,20 @@ def near_duplicates(
     names the component, null for documents without words.
     An empty table gives an empty one. ``similarity`` is a fraction of whole numbers, so the comparison is exact.
     """
-    named = staged(_described(docs, words), "jaccard", texts=True)
-    copies = named.where("n > 0").groupBy("node", "key", F.col("doc_id").alias("id")).agg(F.any_value("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    nodes = staged(copies.groupBy("node").agg(F.min(F.struct("key", "id", "rows")).alias("at"), F.any_value("n").alias("n")).select("node", "at.*", "n"), "jaccard")
-    # signatures go from the texts to their lists without being written in between; only lists with two nodes or more are
-    # kept, each entry with the list's smallest node
+    named = staged(_described(docs, words, similarity), "jaccard", texts=True)
+    copies = named.where("n > 0").groupBy("node", "key", F.col("doc_id").alias("id"), "n", "of").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = copies.groupBy("node", "n", "of").agg(F.min(F.struct("key", "id", "rows")).alias("at")).select("node", "at.*", "n", "of")
+    scheme = F.greatest(F.size(F.filter(_tops(similarity), lambda top: top < F.col("n"))), F.lit(1))
+    nodes = staged(nodes.withColumn("scheme", scheme), "jaccard")
+    # only lists with two nodes or more are kept, each entry with the list's smallest node
     of = Window.partitionBy("part")
-    entries = _signed(docs, named, nodes, words, similarity).select("part", "node", "of", F.min("node").over(of).alias("head"), F.count(F.lit(1)).over(of).alias("m"))
-    lists = staged(entries.where("m > 1"), "jaccard", texts=True)
+    entries = _signed(docs, named, nodes, words, similarity).withColumn("head", F.min(F.struct("node", "n")).over(of)).withColumn("m", F.count(F.lit(1)).over(of))
+    lists = staged(entries.where("m > 1").select("part", "node", "n", "of", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"), "m"), "jaccard")
     # parts that are in no list are in no other set, so pairs are judged by those in lists
-    scheme = F.col("part").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int").alias("scheme")
-    listed = lists.groupBy("node").agg(F.collect_list("part").alias("parts"), F.collect_set(F.struct(scheme, "of")).alias("of"))
-    tops = F.array(*[F.lit(top) for top, parts, _, _ in _schemes(similarity) if parts]).cast("array<long>")
-    first = (1 + F.size(F.filter(tops, lambda top: top < F.col("n")))).alias("scheme")
-    members = staged(nodes.join(listed, "node").select("node", "key", "id", "n", first, "parts", "of"), "jaccard")
+    listed = lists.groupBy("node").agg(F.collect_list("part").alias("parts"))
+    members = staged(nodes.join(listed, "node").select("node", "key", "id", "n", "scheme", "parts", "of"), "jaccard")
     dropped(nodes)
-    labels = _labels(docs, words, lists.drop("of"), members, similarity, representatives, pairs_per_entry)
+    labels = _labels(docs, words, lists, members, similarity, representatives, pairs_per_entry)
     dropped(members)
 
     if labels is not None:
@@ -408,10 +528,12 @@ def _labels(
     if n_entries == 0:
         return None
 
-    def joined(pairs: DataFrame, labels: DataFrame | None, long: DataFrame | None = None) -> DataFrame:
-        """Components after the similar ones of the pairs, and of those in the long lists, are linked."""
-        pairs = staged(pairs.distinct(), "jaccard")
-        possible = staged(_possible(pairs, nodes, similarity, pairs.count()), "jaccard")
+    def joined(pairs: DataFrame, labels: DataFrame | None, long: DataFrame | None = None, judged: bool = False) -> DataFrame:
+        """Components after the similar ones of the pairs, and of those in the long lists, are linked. ``judged``: the pairs
+        are distinct, and their sizes and equal parts allow the similarity."""
+        pairs = staged(pairs if judged else pairs.distinct(), "jaccard")
+        n = pairs.count()
+        possible = staged(_both(pairs, nodes, ["key", "id"], n) if judged else _possible(pairs, nodes, similarity, n), "jaccard")
         dropped(pairs)
         ends = possible.select(F.inline(F.array(*[F.struct(F.col(f"{x}_key").alias("key"), F.col(f"{x}_id").alias("id")) for x in "ab"])))
         if long is not None:
@@ -428,10 +550,11 @@ def _labels(
         return staged(components(found), "jaccard")
 
     # the same node heads most lists of a group of near copies, so they soon are one component
-    labels = joined(lists.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), None)
-    current = lists.select("part", "node")
+    heads = lists.where((F.col("node") != F.col("head")) & _fit(F.col("n"), F.col("head_n"), similarity))
+    labels = joined(heads.select(F.col("node").alias("a"), F.col("head").alias("b")), None)
+    current = lists.select("part", "node", "n", "of")
     for round_ in range(MAX_ROUNDS + 1):
-        current = current.join(small_side(labels), "node", "left").select("part", "node", F.coalesce("component", "node").alias("component"))
+        current = current.join(small_side(labels), "node", "left").select("part", "node", "n", "of", F.coalesce("component", "node").alias("component"))
         parts = current.groupBy("part", "component").agg(F.count(F.lit(1)).alias("c"))
         open_lists = parts.groupBy("part").agg(
             F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("largest"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares")
@@ -447,21 +570,32 @@ def _labels(
         # lists of sets that resemble each other but are not similar do not shrink by linking
         last = left <= pairs_per_entry * n_entries or left > before / 2 or round_ == MAX_ROUNDS
         if last:
-            return joined(_pairs(current.where(F.col("m") <= LONG_LIST)), labels, current.where(F.col("m") > LONG_LIST) if n_long else None)
+            long = current.where(F.col("m") > LONG_LIST).drop("n", "of") if n_long else None
+            return joined(_pairs(current.where(F.col("m") <= LONG_LIST), similarity), labels, long, judged=True)
         salt = F.pmod(F.xxhash64(F.lit(round_), "node"), F.lit(representatives))
-        heads = current.groupBy("part", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), "node", "component")).alias("head"))
-        heads = heads.select("part", F.col("head.node").alias("b"), F.col("head.component").alias("b_component"))
-        labels = joined(current.join(heads, "part").where(F.col("component") != F.col("b_component")).select(F.col("node").alias("a"), "b"), labels)
-        current = current.select("part", "node")
+        heads = current.groupBy("part", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), "node", "component", "n")).alias("head"))
+        heads = heads.select("part", F.col("head.node").alias("b"), F.col("head.component").alias("b_component"), F.col("head.n").alias("b_n"))
+        apart = (F.col("component") != F.col("b_component")) & _fit(F.col("n"), F.col("b_n"), similarity)
+        labels = joined(current.join(heads, "part").where(apart).select(F.col("node").alias("a"), "b"), labels)
+        current = current.select("part", "node", "n", "of")
     return labels
 
 
-def _pairs(lists: DataFrame) -> DataFrame:
-    """Pairs in different components. In each list at least one of a pair lies outside the list's largest component, so
-    the rows joined are those few against the list."""
-    few = lists.where(F.col("component") != F.col("main")).select("part", F.col("node").alias("b"), F.col("component").alias("b_component"))
+def _pairs(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) in different components whose sizes and equal parts allow the similarity. In each list at least one of
+    a pair lies outside the list's largest component, so the rows joined are those few against the list.
+
+    A pair comes once from each of its lists in the larger set's scheme, so its rows count the equal parts. Those in lists
+    that are not given (longer ones, compared in blocks) do not count: such pairs are compared there.
+    """
+    few = lists.where(F.col("component") != F.col("main")).select(
+        "part", F.col("node").alias("b"), F.col("component").alias("b_component"), F.col("n").alias("b_n"), F.col("of").alias("b_of")
+    )
     once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("b"))
-    return lists.join(few, "part").where((F.col("component") != F.col("b_component")) & once).select(F.col("node").alias("a"), "b")
+    met = lists.join(few, "part").where((F.col("component") != F.col("b_component")) & once & _fit(F.col("n"), F.col("b_n"), similarity))
+    least = _least_equal(F.col("n"), F.col("b_n"), F.col("of"), F.col("b_of"), similarity).alias("least")
+    rows = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), least)
+    return rows.groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("equal")).where("equal >= least").select("a", "b")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -475,13 +609,17 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     keep = staged(chosen.unionByName(wordless), "jaccard")
     key = text_key(F.col("text"))
 
-    def rows(those: DataFrame) -> DataFrame:
+    def rows(those: DataFrame, how: str) -> DataFrame:
         those = small_side(those)
-        return docs.join(those, docs["doc_id"].eqNullSafe(those["__id"]) & (key == those["__key"]), "left_semi")
+        return docs.join(those, docs["doc_id"].eqNullSafe(those["__id"]) & (key == those["__key"]), how)
 
-    # only texts that repeat under one id are shuffled to be merged
+    # the documents that go are far fewer than those that stay, as a rule: texts are not shuffled to meet a long table
+    texts = found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    same = texts["__id"].eqNullSafe(keep["__id"]) & (texts["__key"] == keep["__key"])
     several = keep.where("__several")
-    out = rows(keep.where(~F.col("__several")))
+    gone = staged(texts.join(keep.where(~F.col("__several")), same, "left_anti"), "jaccard")
+    out = rows(gone, "left_anti") if gone.count() <= keep.count() else rows(keep.where(~F.col("__several")), "left_semi")
+    # only texts that repeat under one id are shuffled to be merged
     if several.isEmpty():
         return out
-    return out.unionByName(rows(several).withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key"))
+    return out.unionByName(rows(several, "left_semi").withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key"))

@@ -296,6 +296,58 @@ def test_jaccard_writes_no_parts_that_one_set_has_alone(spark, monkeypatch):
     assert max(written) < 8 * 250 * len(rows) / 2
 
 
+@pytest.mark.parametrize("buckets,bits,name_bytes", [(1, 20, 2), (7, 37, 4), (3000, 44, 8)])
+def test_packed_signatures_meet(buckets, bits, name_bytes):
+    rng = np.random.default_rng(7)
+    known = rng.integers(0, 2**64, 20_000, dtype=np.uint64) >> np.uint64(7) << np.uint64(7) | rng.integers(1, 30, 20_000).astype(np.uint64)
+    parts, names = rng.choice(known, 40_000), rng.integers(0, 2**64, 40_000, dtype=np.uint64)
+    rows = list(jaccard.packed(parts, names, buckets, bits, name_bytes))
+    assert all(0 <= b < buckets for b, _ in rows)
+    assert sum(len(x) for _, x in rows) <= 40_000 * (-(-(bits + jaccard.SCHEME_BITS) // 8) + name_bytes)
+    met = [(b, int(p), int(n)) for b, x in rows for p, n in zip(*jaccard.unpacked(x, bits, name_bytes), strict=True)]
+    short = lambda p: p >> 64 - bits << jaccard.SCHEME_BITS | p & (1 << jaccard.SCHEME_BITS) - 1
+    assert sorted((p, n) for _, p, n in met) == sorted((short(int(p)), int(n) >> 64 - 8 * name_bytes) for p, n in zip(parts, names, strict=True))
+    assert len({(b, p) for b, p, _ in met}) == len({p for _, p, _ in met})
+
+
+def test_signatures_of_one_node_alone_are_no_rows(spark):
+    """Signatures are shuffled packed; of some 10,000 only those become rows that two sets have: a copy's, and a few of empty parts."""
+    rows = [(i, " ".join(passage(250, i)), "a") for i in range(120)] + [(200, " ".join([*passage(250, 5), "end"]), "a")]
+    df = table(spark, rows)
+    named = common.staged(jaccard._described(df, 5, (4, 5)), "jaccard")
+    nodes = named.select("node", "n", "of", F.lit(12).alias("scheme"), F.col("doc_id").alias("id"), "key", F.lit(1).alias("rows"))
+    out = jaccard._signed(df, named, nodes, 5, (4, 5))
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    out = [tuple(r) for r in out.collect()]
+    sets = {r.doc_id: (r.node, r.n, r.of) for r in named.collect()}
+    assert len(out) == len({x[:2] for x in out}) < sum(sum(of) for _, _, of in sets.values()) / 4
+    assert {(node, n, of[0]) for node, n, of in sets.values()} >= {(node, n, of) for p, node, n, of in out if p % 128 == 12}
+    of = [{p for p, node, *_ in out if node == sets[i][0]} for i in (5, 200)]
+    assert len(of[0] & of[1]) > 30
+
+
+def test_pairs_are_judged_by_their_lists(spark):
+    """Three sets of 200 tokens (62 parts in scheme 11): 1 and 2 share 41 lists, 1 and 3 share 40, fewer than similar sets share."""
+    part = lambda k: k << jaccard.SCHEME_BITS | 11
+    rows = [(part(k), n, 200, 85, n, main, 2) for k, pair, main in [*[(k, (1, 2), 2) for k in range(41)], *[(k, (1, 3), 1) for k in range(50, 90)]] for n in pair]
+    rows += [(200 << jaccard.SCHEME_BITS | 12, n, 200, 1, n, 1, 2) for n in (1, 3)]  # in no scheme of theirs
+    lists = spark.createDataFrame(rows, "part long, node long, n long, of long, component long, main long, m long")
+    assert 85 - 2 * 200 // 9 == 41
+    assert [tuple(r) for r in jaccard._pairs(lists, (4, 5)).collect()] == [(1, 2)]
+
+
+def test_one_of_each_shuffles_no_texts(spark, monkeypatch):
+    """More documents stay than a broadcast holds; those that go are few."""
+    rows = [(i, " ".join(passage(60, i)), "a") for i in range(60)] + [(100, " ".join([*passage(60, 1), "end"]), "a"), (None, "one two", "a"), (None, None, "a")]
+    df = table(spark, rows)
+    found = jaccard.near_duplicates(df)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    out = jaccard.one_of_each(df, found)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.doc_id, r.text) for r in out.where("doc_id is not null").collect()) == sorted((d, t) for d, t, _ in rows[:60])
+    assert sorted(r.text or "" for r in out.where("doc_id is null").collect()) == ["", "one two"]
+
+
 @pytest.mark.parametrize("similarity", [(1, 1), (999, 1000), (1, 2)])
 def test_schemes_fit_their_bits(spark, similarity):
     assert len(jaccard._schemes(similarity)) <= 1 << jaccard.SCHEME_BITS
