@@ -419,3 +419,42 @@ def test_co_membership_does_not_shuffle_finished_counts(spark):
                 if a <= b:
                     want[a, b] = want.get((a, b), 0) + 1
     assert n == want
+
+
+def _counted(sets):
+    out = {}
+    for s in sets:
+        for a in s:
+            for b in s:
+                if a <= b:
+                    out[a, b] = out.get((a, b), 0) + 1
+    return out
+
+
+def test_co_membership_blocks_meet_without_being_shuffled_again(spark):
+    """Each block is shuffled once for either side, however many others it meets; 21 blocks, 231 pairs."""
+    sets = [set(range(0, 400, k + 1)) for k in range(3)] + [{1, 9}]
+    df = spark.createDataFrame([(f"e{i}", g) for i, s in enumerate(sets) for g in s], "e string, g int")
+    got = adhoc.co_membership(df, "e", "g", block=20)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan and "Aggregate" not in plan
+    sent = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sent.count("RepartitionByExpression") == 2 and sent.count("Relation") == 2
+    assert {(r["g1"], r["g2"]): r["n"] for r in got.collect()} == _counted(sets)
+
+
+@pytest.mark.parametrize("listed,held,row", [(64, 8, 1 << 18), (3, 1, 40), (0, 2, 200), (10**9, 8, 7)])
+def test_co_membership_in_chunks_and_shares(spark, monkeypatch, listed, held, row):
+    """Heavy entities in any groups, light ones in groups of heavy ones, of their own and of both; repeated and missing values."""
+    monkeypatch.setattr(adhoc, "PAIRS_LISTED", listed)
+    monkeypatch.setattr(adhoc, "BLOCKS_HELD", held)
+    monkeypatch.setattr(adhoc, "MEMBERS_PER_ROW", row)
+    rng = np.random.default_rng(8)
+    sets = [{f"g{x}" for x in rng.integers(0, 90, int(rng.integers(18, 60)))} for _ in range(15)]
+    sets += [{f"g{x}" for x in rng.integers(0, 120, int(rng.integers(1, 7)))} for _ in range(80)]
+    rows = [(f"e{i}", g) for i, s in enumerate(sets) for g in s]
+    df = spark.createDataFrame([*rows, *rows[::3], (None, "g1"), ("e1", None)], "e string, g string")
+    for block in (9, 40, 1024):
+        got = adhoc.co_membership(df, "e", "g", block=block).collect()
+        assert len(got) == len({(r["g1"], r["g2"]) for r in got})
+        assert {(r["g1"], r["g2"]): r["n"] for r in got} == _counted(sets)
