@@ -342,8 +342,9 @@ def test_one_of_each_shuffles_no_texts(spark, monkeypatch):
     df = table(spark, rows)
     found = jaccard.near_duplicates(df)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
-    out = jaccard.one_of_each(df, found)
-    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    with common.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        out = jaccard.one_of_each(df, found)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
     assert sorted((r.doc_id, r.text) for r in out.where("doc_id is not null").collect()) == sorted((d, t) for d, t, _ in rows[:60])
     assert sorted(r.text or "" for r in out.where("doc_id is null").collect()) == ["", "one two"]
 
